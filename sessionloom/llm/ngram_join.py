@@ -7,14 +7,15 @@ result is the connected components of all links. Documents with equal sets form
    documents lifts heavy shingles to the end, the hash decides between the others.
 2. Linked sets share a shingle among their first ``|A| - ceil(0.8 |A|) + 1``; those prefixes are dealt out by
    shingle and only shingles that two classes share are kept.
-3. Each class is compared with the leaders (least class) of the shingles it shares most. This finds nearly all
-   links of a family of copies with work linear in its size.
+3. Each class joins the leader (least class) of the shingles it shares most; a leader's followers are compared, in
+   tries of bounded size, with it and with one another. This joins up a family of copies with work linear in its size.
 4. Pairs that share a prefix shingle and still lie in different components are compared as well, unless the shared
-   prefix bounds their overlap below the threshold. No link between components is lost.
+   prefix bounds their overlap below the threshold. Where many classes share a shingle, those outside its largest
+   component visit the tries of all its classes instead of pairing up. No link between components is lost.
 
-A comparison puts the sets of a leader's partners, in global order, into a path-compressed trie and walks it with
-the leader's set: partial overlaps are shared along common paths, and a subtree goes when the overlap so far plus
-what can remain is too small. Groups are salted into tries of bounded size.
+A comparison puts sets in global order into a path-compressed trie and walks it with a probing set: partial overlaps
+are shared along common paths; a subtree goes when the overlap so far plus what can remain is too small, or when all
+of it is in the probe's component already.
 
 Cases: null, empty or blank text has an empty set, ``n_shingles`` 0 and links with nothing; fewer words than five
 make one shingle; repeated rows are one class; ``component_id`` is the smallest ``doc_id``; ids are expected to be
@@ -34,8 +35,8 @@ from ._work import Workspace, semi_by_id, shuffle_width
 from ._words import mix, shingle_sets
 from .components import connected_components
 
-#: log2 of the sketch's counters, the rows it travels in, and the sets of one trie.
-SKETCH_BITS, SKETCH_ROWS, TRIE_SETS = 18, 32, 256
+#: log2 of the sketch's counters, the rows it travels in, the sets of one trie, and the most classes of a shingle paired directly.
+SKETCH_BITS, SKETCH_ROWS, TRIE_SETS, CROWD = 18, 32, 256, 64
 _PLACE = np.uint64(6)
 
 
@@ -157,7 +158,7 @@ def needed(a: int, b: int) -> int:
 
 
 class Trie:
-    """A path-compressed prefix tree of ordered sets: (segment, end depth, least and greatest size, ends here, children)."""
+    """A path-compressed prefix tree of ordered sets: (segment, end depth, least and greatest size, ends here, all keys, children)."""
 
     def __init__(self, sets: dict[int, np.ndarray]):
         items = sorted((x.astype(">u8").tobytes(), key) for key, x in sets.items() if len(x))
@@ -170,21 +171,21 @@ class Trie:
         unlike = np.flatnonzero(low[:n] != high[:n])
         end = depth + (int(unlike[0]) if len(unlike) else n)
         sizes = [len(self.sets[k]) for k in keys]
-        here, deeper, children = [], {}, []
+        here, deeper = [], {}
         for k in keys:
             if len(self.sets[k]) == end:
                 here.append(k)
             else:
                 deeper.setdefault(int(self.sets[k][end]), []).append(k)
-        for group in deeper.values():
-            children.append(self._node(group, end))
-        return low[: end - depth], end, min(sizes), max(sizes), here, children
+        return low[: end - depth], end, min(sizes), max(sizes), here, keys, [self._node(group, end) for group in deeper.values()]
 
-    def links(self, probe: np.ndarray) -> list[int]:
-        """Keys of the sets that link with the probe."""
+    def links(self, probe: np.ndarray, done=lambda key: False) -> list[int]:
+        """Keys of the sets that link with the probe; subtrees of keys that are all ``done`` are passed over."""
         found, stack = [], [(self.root, 0)] if self.root is not None else []
         while stack:
-            (segment, end, least, most, here, children), overlap = stack.pop()
+            (segment, end, least, most, here, keys, children), overlap = stack.pop()
+            if all(map(done, keys)):
+                continue
             left = len(probe)
             if len(segment):
                 at = np.searchsorted(probe, segment)
@@ -197,44 +198,72 @@ class Trie:
         return found
 
 
+def spanning_links(sets: dict[int, np.ndarray], parts: dict[int, int], probes: list[int]) -> list[tuple[int, int]]:
+    """Links that join up what links with the probes make of the sets; ``parts``: components known before."""
+    head: dict[int, int] = {}
+    parent = {k: head.setdefault(parts[k], k) for k, x in sets.items() if len(x)}
+    left = len(head) - 1
+
+    def find(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    trie, out = Trie(sets), []
+    for probe in probes:
+        if not left:
+            break
+        if probe not in parent:
+            continue
+        root = find(probe)
+        for k in trie.links(sets[probe], lambda key, root=root: find(key) == root):
+            if (other := find(k)) != root:
+                parent[other] = root
+                left -= 1
+                out.append((probe, k))
+    return out
+
+
 def compare(level: np.ndarray):
-    """Task function over (leader, salt, doc, text), sorted: the links between each leader and its partners."""
+    """Task function over sorted (leader, salt, doc, part, probe, text): the links that each group adds."""
 
-    def group_links(leader: int, docs: list[int], texts: list[str]) -> list[tuple[int, int]]:
-        sets = {k: ordered(t, level) for k, t in shingle_sets(pa.array(docs, pa.int64()), pa.array(texts, pa.string()))}
-        probe = sets.pop(leader)
-        return [(leader, k) for k in Trie(sets).links(probe)] if len(probe) else []
+    def group_links(leader: int, rows: list[tuple]) -> list[tuple[int, int]]:
+        sets = {k: ordered(t, level) for k, t in shingle_sets(pa.array([r[0] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string()))}
+        probes = sorted((r[0] for r in rows if r[2]), key=lambda k: k != leader)
+        return spanning_links(sets, {r[0]: r[1] for r in rows}, probes)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, texts, out = None, [], [], []
+        key, rows, out = None, [], []
         for batch in batches:
-            for leader, salt, doc, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for leader, salt, *row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if (leader, salt) != key:
-                    if docs:
-                        out += group_links(key[0], docs, texts)
-                    key, docs, texts = (leader, salt), [], []
-                docs.append(doc)
-                texts.append(text)
-        if docs:
-            out += group_links(key[0], docs, texts)
+                    if rows:
+                        out += group_links(key[0], rows)
+                    key, rows = (leader, salt), []
+                rows.append(row)
+        if rows:
+            out += group_links(key[0], rows)
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
     return task
 
 
-def verified(docs: DataFrame, pairs: DataFrame, level: np.ndarray, work: Workspace, name: str) -> DataFrame:
-    """The pairs (a, b) of documents whose sets link, compared around each ``a`` in tries of bounded size."""
-    width = shuffle_width(work.spark)
-    pairs = work.save(pairs, f"{name}-pairs")
-    tries = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TRIE_SETS).alias("tries"))
-    dealt = pairs.join(tries, "a").select("a", F.expr("pmod(xxhash64(b), tries)").alias("salt"), "b")
-    members = work.save(dealt.select("a", "salt", F.col("b").alias("doc")).unionByName(dealt.select("a", "salt", F.col("a").alias("doc")).distinct()), f"{name}-members")
+def compared(docs: DataFrame, members: DataFrame, level: np.ndarray, work: Workspace, name: str) -> DataFrame:
+    """The links (a, b) found in the groups (a, salt) of ``members(a, salt, doc, part, probe)``."""
+    members = work.save(members, f"{name}-members")
     ids = work.save(members.select("doc").distinct(), f"{name}-ids")
     texts = semi_by_id(docs, ids, "doc", ids.count())
-    rows = members.join(texts, "doc").select("a", "salt", "doc", "text").repartition(width, "a", "salt").sortWithinPartitions("a", "salt", "doc")
+    rows = members.join(texts, "doc").select("a", "salt", "doc", "part", "probe", "text").repartition(shuffle_width(work.spark), "a", "salt").sortWithinPartitions("a", "salt")
     return work.save(rows.mapInArrow(compare(level), "a long, b long"), f"{name}-links")
 
 
+def _salted(rows: DataFrame, key: list[str], by: str) -> DataFrame:
+    """Adds ``salt``: groups of ``key`` split by ``by`` into parts of about TRIE_SETS rows."""
+    parts = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / TRIE_SETS).alias("parts"))
+    return rows.join(parts, key).withColumn("salt", F.expr(f"pmod(xxhash64({by}), parts)")).drop("parts")
+
+
 def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each document."""
     spark = documents.sparkSession
@@ -253,23 +282,44 @@ def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_co
     posts = work.save(dealt.mapInArrow(shared_postings, "tok long, cls long, n long, pos long, leader long"), "posts")
 
     led = posts.filter("cls <> leader").groupBy("cls", "leader").agg(F.count(F.lit(1)).alias("shared"))
-    led = led.groupBy("cls").agg(F.max(F.struct("shared", "leader")).alias("best"), F.min("leader").alias("least")).select("cls", F.explode(F.array_distinct(F.array("best.leader", "least"))).alias("leader"))
-    named = led.join(classes.select("cls", F.col("rep").alias("b"), F.col("n").alias("nb")), "cls").join(classes.select(F.col("cls").alias("leader"), F.col("rep").alias("a"), F.col("n").alias("na")), "leader")
-    links = verified(docs, named.filter("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b").distinct(), level, work, "led")
-
-    found = connected_components(links, work, "first")
-    placed = work.save(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "rep", F.coalesce("component", "rep").alias("comp")), "placed")
-    known = posts.join(placed, "cls").select("tok", "rep", "comp", "n", "pos")
-    mixed = known.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("tok")
+    led = led.groupBy("cls").agg(F.max(F.struct("shared", "leader")).alias("best")).select("cls", "best.leader")
+    named = led.join(classes.select("cls", F.col("rep").alias("doc")), "cls").join(classes.select(F.col("cls").alias("leader"), F.col("rep").alias("a")), "leader")
+    cells = work.save(_salted(named.select("a", "doc"), ["a"], "doc"), "cells")
+    heads = cells.select("a", "salt", F.col("a").alias("doc")).distinct()
+    members = cells.select("a", "salt", "doc").unionByName(heads).select("*", F.col("doc").alias("part"), F.lit(True).alias("probe"))
+    links = compared(docs, members, level, work, "led")
+
+    found = connected_components(links, work, "first").withColumnRenamed("node", "rep")
+    own = cells.select(F.col("doc").alias("rep"), F.col("a").alias("cell"), F.col("salt").alias("cell_salt"))
+    placed = classes.join(found, "rep", "left").join(own, "rep", "left")
+    placed = work.save(placed.select("cls", "rep", F.coalesce("component", "rep").alias("comp"), F.coalesce("cell", "rep").alias("cell"), F.coalesce("cell_salt", F.lit(0)).cast("long").alias("cell_salt")), "placed")
+    known = posts.join(placed, "cls").select("tok", "rep", "comp", "n", "pos", "cell", "cell_salt")
+    mixed = known.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi").select("tok", (F.col("size") > CROWD).alias("crowded"))
     open_ = work.save(known.join(mixed, "tok"), "open")
     work.drop("posts")
-    left, right = (open_.select("tok", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "comp", "n", "pos"))) for s in "ab")
+
+    crowds = open_.filter("crowded")
+    in_crowds = crowds.groupBy("rep").agg(F.count(F.lit(1)).alias("crowds"))
+    few = work.save(open_.filter("not crowded").join(in_crowds, "rep", "left").fillna(0, ["crowds"]), "few")
+    left, right = (few.select("tok", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "comp", "n", "crowds"))) for s in "ab")
     met = left.join(right, "tok").filter("rep_a < rep_b and comp_a <> comp_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
-    met = met.groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.max(F.expr("9 * least(n_a - pos_a, n_b - pos_b) >= 4 * (n_a + n_b)")).alias("early"), F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b"))
+    met = met.groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("doc")).agg(F.count(F.lit(1)).alias("shared"), *(F.min(c).alias(c) for c in ("n_a", "n_b", "comp_a", "comp_b", "crowds_a", "crowds_b")))
     rest = "greatest(n_a - (n_a - ceil(n_a * 4 / 5) + 1), n_b - (n_b - ceil(n_b * 4 / 5) + 1))"
-    late = verified(docs, met.filter(f"early and 9 * (shared + {rest}) >= 4 * (n_a + n_b)").select("a", "b"), level, work, "met")
-
-    final = connected_components(links.unionByName(late), work, "last")
+    met = _salted(work.save(met.filter(f"9 * (shared + least(crowds_a, crowds_b) + {rest}) >= 4 * (n_a + n_b)"), "met"), ["a"], "doc")
+    members = met.select("a", "salt", "doc", F.col("comp_b").alias("part"), F.lit(False).alias("probe"))
+    members = members.unionByName(met.select("a", "salt", F.col("a").alias("doc"), F.col("comp_a").alias("part"), F.lit(True).alias("probe")).distinct())
+    late = compared(docs, members, level, work, "met")
+
+    main = crowds.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("tok").agg(F.max(F.struct("size", "comp")).alias("top")).select("tok", F.col("top.comp").alias("main"))
+    strays = crowds.join(main, "tok").filter("comp <> main").select("tok", "rep", "comp", "n")
+    targets = crowds.groupBy("tok", "cell", "cell_salt").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    visits = strays.join(targets, "tok").filter("5 * n >= 4 * least and 4 * n <= 5 * most and not (lo = comp and hi = comp)").select("cell", "cell_salt", "rep", "comp").distinct()
+    visits = work.save(_salted(visits, ["cell", "cell_salt"], "rep").withColumn("salt", F.expr("shiftleft(cell_salt, 20) + salt")), "visits")
+    hosts = visits.select("cell", "cell_salt", "salt").distinct().join(placed.select("cell", "cell_salt", F.col("rep").alias("doc"), F.col("comp").alias("part")), ["cell", "cell_salt"])
+    members = hosts.select(F.col("cell").alias("a"), "salt", "doc", "part", F.lit(False).alias("probe"))
+    members = members.unionByName(visits.select(F.col("cell").alias("a"), "salt", F.col("rep").alias("doc"), F.col("comp").alias("part"), F.lit(True).alias("probe")))
+    last = compared(docs, members.groupBy("a", "salt", "doc", "part").agg(F.max("probe").alias("probe")), level, work, "strays")
+
+    final = connected_components(links.unionByName(late).unionByName(last), work, "last")
     named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     return signs.join(named, "cls", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
