@@ -3,10 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontam import contaminated
 from .ngram_join import near_duplicate_classes
+from .packing import pack
+from .suffix_dedup import repeated_passages
+from .token_files import token_files
+
+#: Where the public tokenizer files lie; the package that installs them knows, this is the documented place.
+TOKENIZERS = Path("/opt/tokenizers")
+
+
+def tokenizer_path(name: str) -> str:
+    try:
+        import public_tokenizers
+    except ImportError:
+        return str(TOKENIZERS / name)
+    return str(public_tokenizers.path(name))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +34,26 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op7_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_simple8b_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = token_files(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op7_power_of_two_packing, op8_simple8b_token_files, op10_simhash_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
