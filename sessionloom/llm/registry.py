@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from .decontam import contaminated
 from .ngram_join import near_duplicate_classes
 from .packing import pack
+from .quality import oracle_sql as quality_sql
+from .quality import quality
 from .suffix_dedup import repeated_passages
 from .token_files import token_files
+from .warc import MIN_REVISIT, archive_round_trip
 
 #: Where the public tokenizer files lie; the package that installs them knows, this is the documented place.
 TOKENIZERS = Path("/opt/tokenizers")
@@ -48,13 +51,39 @@ def op8_simple8b_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"))
+
+
+def op9_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op7_power_of_two_packing, op8_simple8b_token_files, op10_simhash_decontamination)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_ngram_jaccard_join,
+            op2_suffix_array_dedup,
+            op5_robust_quality,
+            op7_power_of_two_packing,
+            op8_simple8b_token_files,
+            op9_seekable_warc,
+            op10_simhash_decontamination,
+        )
+    }
+
+
+WARC_SQL = f"""WITH named AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT payload_digest, min(page_id) AS first FROM named WHERE payload_bytes >= {MIN_REVISIT} GROUP BY payload_digest)
+SELECT page_id, payload_bytes, n.payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM named n LEFT JOIN firsts f ON n.payload_digest = f.payload_digest AND payload_bytes >= {MIN_REVISIT}"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries it can express; the others are tested against brute force or a round trip."""
+    return {"op5_robust_quality": quality_sql(), "op9_seekable_warc": WARC_SQL}
