@@ -311,9 +311,15 @@ def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_co
     late = compared(docs, members, level, work, "met")
 
     main = crowds.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("tok").agg(F.max(F.struct("size", "comp")).alias("top")).select("tok", F.col("top.comp").alias("main"))
-    strays = crowds.join(main, "tok").filter("comp <> main").select("tok", "rep", "comp", "n")
+    fews = few.groupBy("rep").agg(F.count(F.lit(1)).alias("fews"))
+    strays = crowds.join(main, "tok").filter("comp <> main").join(fews, "rep", "left").fillna(0, ["fews"]).select("tok", "rep", "comp", "n", "fews")
     targets = crowds.groupBy("tok", "cell", "cell_salt").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    visits = strays.join(targets, "tok").filter("5 * n >= 4 * least and 4 * n <= 5 * most and not (lo = comp and hi = comp)").select("cell", "cell_salt", "rep", "comp").distinct()
+    visits = strays.join(targets, "tok").filter("5 * n >= 4 * least and 4 * n <= 5 * most and not (lo = comp and hi = comp)")
+    visits = visits.groupBy("cell", "cell_salt", "rep", "comp").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("n"), F.min("fews").alias("fews"), F.min("least").alias("least"), F.max("most").alias("most"))
+    # at most this many prefix shingles are shared with any set of the cell; the bound is largest at an extreme size
+    rest = "9 * (shared + fews + greatest(n - (n - ceil(n * 4 / 5) + 1), {m} - ({m} - ceil({m} * 4 / 5) + 1))) >= 4 * (n + {m})"
+    sizes = ("greatest(least, ceil(n * 4 / 5))", "least(most, floor(n * 5 / 4))")
+    visits = visits.filter(" or ".join(f"({rest.format(m=m)})" for m in sizes)).select("cell", "cell_salt", "rep", "comp")
     visits = work.save(_salted(visits, ["cell", "cell_salt"], "rep").withColumn("salt", F.expr("shiftleft(cell_salt, 20) + salt")), "visits")
     hosts = visits.select("cell", "cell_salt", "salt").distinct().join(placed.select("cell", "cell_salt", F.col("rep").alias("doc"), F.col("comp").alias("part")), ["cell", "cell_salt"])
     members = hosts.select(F.col("cell").alias("a"), "salt", "doc", "part", F.lit(False).alias("probe"))
