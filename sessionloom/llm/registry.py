@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontam import contaminated
+from .license_scan import oracle_sql as license_sql
+from .license_scan import scan_licenses
 from .ngram_join import near_duplicate_classes
 from .packing import pack
+from .pii import replace_pii
 from .quality import oracle_sql as quality_sql
 from .quality import quality
+from .quotes import link_quotations
 from .suffix_dedup import repeated_passages
 from .token_files import token_files
 from .warc import MIN_REVISIT, archive_round_trip
@@ -41,6 +45,10 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotations(_table(spark, sf_dir, "conversations"))
+
+
 def op7_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -51,6 +59,14 @@ def op8_simple8b_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(_table(spark, sf_dir, "documents"), count_col="n_mentions").select("doc_id", "text", "n_mentions")
+
+
 def op5_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"))
 
@@ -69,7 +85,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_ngram_jaccard_join,
             op2_suffix_array_dedup,
+            op3_license_scan,
+            op4_pii_surrogates,
             op5_robust_quality,
+            op6_quotation_linking,
             op7_power_of_two_packing,
             op8_simple8b_token_files,
             op9_seekable_warc,
@@ -86,4 +105,4 @@ FROM named n LEFT JOIN firsts f ON n.payload_digest = f.payload_digest AND paylo
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries it can express; the others are tested against brute force or a round trip."""
-    return {"op5_robust_quality": quality_sql(), "op9_seekable_warc": WARC_SQL}
+    return {"op3_license_scan": license_sql(), "op5_robust_quality": quality_sql(), "op9_seekable_warc": WARC_SQL}
