@@ -13,7 +13,7 @@ from array import array
 from collections.abc import Iterable
 
 #: Pieces that a worker keeps; beyond them pieces are encoded anew for each group of texts.
-KEEP = 600_000
+KEEP = 1_200_000
 
 
 class PieceEncoder:
@@ -28,6 +28,7 @@ class PieceEncoder:
         self.spaced = kind == "byte"  # a piece takes the space before it along
         self.odd = re.compile(r"[^\S \n]|  | \n|\n |\n\n\n|^\s|\s\Z" if self.spaced else r"[^\S \n\r\t]")
         self.known: dict[str, bytes] = {"": b""}
+        self.stops = dict(zip(".,", self._encode([".", ","]), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -43,9 +44,14 @@ class PieceEncoder:
                 pieces.append(text.split())
         known = self.known
         fresh = list(set().union(*(x for x in pieces if isinstance(x, list))).difference(known))
-        for lo in range(0, len(fresh), 20_000):
-            own = fresh[lo : lo + 20_000]
+        # a stop or comma after nothing but letters is a token of its own: such pieces are put together
+        stopped = [x for x in fresh if x[-1] in ".," and x[:-1].isalpha()]
+        alone = list(set(fresh).difference(stopped).union(x[:-1] for x in stopped).difference(known))
+        for lo in range(0, len(alone), 20_000):
+            own = alone[lo : lo + 20_000]
             known.update(zip(own, self._encode([x if x[0] == "\n" else " " + x for x in own] if self.spaced else own), strict=True))
+        known.update([(x, known[x[:-1]] + self.stops[x[-1]]) for x in stopped])
+        fresh = alone + stopped
         skip = 4 if self.spaced else 0  # the id of the line feed set before the text
         out = [b"".join(map(known.__getitem__, x))[skip:] if isinstance(x, list) else self._encode([x])[0] for x in pieces]
         for x in fresh[max(0, len(fresh) - max(0, len(known) - KEEP)) :]:
