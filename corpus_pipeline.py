@@ -1,15 +1,67 @@
-"""A corpus-preparation pipeline: quality rules, near duplicates, decontamination, PII, packing."""
+"""A corpus-preparation pipeline: quality rules, near duplicates, decontamination, PII, packing.
+
+Each stage reads what the one before it wrote, works on all of it and puts its decisions into effect; all but the last
+return the columns of ``documents``. Rows that a stage rejects are named by id and taken out by an anti-join: a
+broadcast where the ids are few, a shuffled join beyond that.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sessionloom.llm._work import Workspace
+from sessionloom.llm.decontam import contaminated
+from sessionloom.llm.ngram_join import near_duplicate_classes
+from sessionloom.llm.packing import pack
+from sessionloom.llm.pii import replace_pii
+from sessionloom.llm.quality import quality
+from sessionloom.llm.registry import tokenizer_path
+
+#: Most ids that are broadcast.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The documents whose id is not among ``ids(doc_id)``."""
+    gone = Workspace(docs.sparkSession, name).save(ids.select("doc_id").distinct(), "rejected")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return without(docs, quality(docs).filter("NOT kept"), "pipeline-quality")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id stays."""
+    return without(docs, near_duplicate_classes(docs).filter("doc_id <> component_id"), "pipeline-duplicates")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item is found go."""
+    return without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "pipeline-benchmark")
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gets surrogates."""
+    return replace_pii(docs).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of power-of-two length."""
+    packed = pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
+
+
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]
 
-STAGES: list = []
-ORACLE_SQL: str | None = None
+#: Token ids cannot be expressed in SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs, work = spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = work.save(stage(spark, docs, sf_dir), f"stage-{k}")
     return docs
