@@ -3,8 +3,8 @@
 Two documents link when ``100 * |A & B| >= 80 * |A | B|`` for their sets of distinct five-word shingles, and the
 result is the connected components of all links. Documents with equal sets form one class from the start.
 
-1. Every shingle gets a place in one global order, rare before frequent: a fixed-size count sketch over all
-   documents lifts heavy shingles to the end, the hash decides between the others.
+1. Every shingle gets a place in one global order, rare before frequent: all shingles are counted, and a table of fixed
+   size has the level (half the bits of the count) of each slot of hashes; the hash decides between equal levels.
 2. Linked sets share a shingle among their first ``|A| - ceil(0.8 |A|) + 1``; those prefixes are dealt out by
    shingle and only shingles that two classes share are kept.
 3. Each class joins the leader (least class) of the shingles it shares most; a leader's followers are compared, in
@@ -24,10 +24,12 @@ unique; columns other than id and text are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,9 @@ from ._work import Workspace, semi_by_id, shuffle_width
 from ._words import mix, shingle_sets
 from .components import connected_components
 
-#: log2 of the sketch's counters, the rows it travels in, the sets of one trie, and the most classes of a shingle paired directly.
-SKETCH_BITS, SKETCH_ROWS, TRIE_SETS, CROWD = 18, 32, 256, 64
+#: log2 of the level table's slots (a byte each), the rows it travels in, the sets of one trie, and the most classes of a
+#: shingle paired directly. A larger table tells rare shingles apart better; results do not depend on it.
+LEVEL_BITS, LEVEL_ROWS, TRIE_SETS, CROWD = 24, 64, 256, 64
 _PLACE = np.uint64(6)
 
 
@@ -46,50 +49,84 @@ def set_class(tokens: np.ndarray) -> int:
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, cls, n) of each document and, once a task, its share of the sketch as rows of negative n."""
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+    """(doc, cls, n) of each document."""
     for batch in batches:
-        docs, classes, sizes, seen = [], [], [], []
-        for key, tokens in shingle_sets(batch.column(0), batch.column(1)):
-            docs.append(key)
-            classes.append(set_class(tokens))
-            sizes.append(len(tokens))
-            seen.append(tokens)
-            if len(seen) == 256:
-                sketch += np.bincount((np.concatenate(seen) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-                seen = []
-        if seen:
-            sketch += np.bincount((np.concatenate(seen) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(docs), pa.binary())], ["doc", "cls", "n", "counts"])
-    if sketch.any():
-        rows = [x.astype("<i8").tobytes() for x in np.split(sketch, SKETCH_ROWS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_ROWS), pa.int64()), pa.nulls(SKETCH_ROWS, pa.int64()), pa.array([-1] * SKETCH_ROWS, pa.int64()), pa.array(rows, pa.binary())], ["doc", "cls", "n", "counts"])
-
-
-def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up a task's sketch rows of each number."""
-    total: dict[int, np.ndarray] = {}
+        rows = [(key, set_class(tokens), len(tokens)) for key, tokens in shingle_sets(batch.column(0), batch.column(1))]
+        columns = zip(*rows, strict=True) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "cls", "n"])
+
+
+def distinct_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(class, shingles) of a task's documents, most repeats of a class left out."""
+    seen: set[int] = set()
     for batch in batches:
-        for k, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = np.frombuffer(row.as_buffer(), "<i8")
-            total[k] = total[k] + own if k in total else own.copy()
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["doc", "counts"])
+        for _, tokens in shingle_sets(batch.column(0), batch.column(1)):
+            if len(tokens) and (cls := set_class(tokens)) not in seen:
+                if len(seen) >= 200_000:  # only saves repeats: a forgotten class is passed on again
+                    seen.clear()
+                seen.add(cls)
+                yield cls, tokens
+
+
+def dealt_shingles(buckets: int):
+    """Task function: the lower halves of all shingles, dealt out by their upper halves."""
+
+    def pack(parts: list[np.ndarray]) -> pa.RecordBatch:
+        tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        to = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        low, to = tokens[order].astype(np.uint32), to[order]
+        keys, first = np.unique(to, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x.tobytes() for x in np.split(low, first[1:])] if len(keys) else [], pa.binary())], ["bucket", "rows"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for _, tokens in distinct_sets(batches):
+            parts.append(tokens)
+            size += len(tokens)
+            if size >= 1 << 21:
+                yield pack(parts)
+                parts, size = [], 0
+        yield pack(parts)
+
+    return task
+
 
+def _packed_levels(table: np.ndarray) -> pa.RecordBatch:
+    rows = [zlib.compress(x.tobytes(), 1) for x in np.split(table, LEVEL_ROWS)]
+    return pa.RecordBatch.from_arrays([pa.array(range(LEVEL_ROWS), pa.int64()), pa.array(rows, pa.binary())], ["part", "levels"])
 
-def levels(rows: list[tuple[int, bytes]]) -> np.ndarray:
-    """The level (0: ordinary, then up to 63 with the count) of each sketch counter."""
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    width = len(counts) // SKETCH_ROWS
-    for k, row in rows:
-        counts[k * width : (k + 1) * width] += np.frombuffer(row, "<i8")
-    usual = max(counts.mean(), 1.0)
-    heavy = usual + 6 * np.sqrt(usual) + 8
-    return np.where(counts <= heavy, 0, np.clip(1 + 4 * np.log2(np.maximum(counts, 1) / heavy), 1, 63)).astype(np.uint64)
+
+def counted_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The level table of this task's buckets: half the bits of a shingle's count, the greatest of each slot."""
+    by_bucket: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for bucket, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            by_bucket.setdefault(bucket, []).append(np.frombuffer(row.as_buffer(), np.uint32))
+    table = np.zeros(1 << LEVEL_BITS, np.uint8)
+    for bucket in list(by_bucket):
+        low = np.sort(np.concatenate(by_bucket.pop(bucket)))
+        first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+        count = np.diff(np.append(first, len(low)))
+        often = count >= 4
+        level = (np.floor(np.log2(count[often])) / 2).astype(np.uint8)
+        np.maximum.at(table, (low[first][often] & np.uint32(len(table) - 1)).astype(np.int64), level)
+    yield _packed_levels(table)
+
+
+def merged_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The greatest level of each slot over a task's tables, part by part."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = np.frombuffer(zlib.decompress(row.as_py()), np.uint8)
+            total[part] = np.maximum(total[part], own) if part in total else own
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["part", "levels"])
 
 
 def ordered(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
     """Tokens that sort in the global order: the level in the upper six bits, the hash below."""
-    return np.sort((tokens >> _PLACE) | (level[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(58)))
+    return np.sort((tokens >> _PLACE) | (level[(tokens & np.uint64(len(level) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)))
 
 
 def prefix_size(n: int) -> int:
@@ -99,7 +136,7 @@ def prefix_size(n: int) -> int:
 _POSTING = np.dtype([("tok", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
 
-def postings(level: np.ndarray, buckets: int):
+def postings(level: Broadcast, buckets: int):
     """Task function: prefix postings of each class once a task, packed by bucket of the shingle."""
 
     def pack(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -111,22 +148,16 @@ def postings(level: np.ndarray, buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array([x.tobytes() for x in np.split(rows, first[1:])] if len(keys) else [], pa.binary())], ["bucket", "rows"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size, seen = [], 0, set()
-        for batch in batches:
-            for _, tokens in shingle_sets(batch.column(0), batch.column(1)):
-                if not len(tokens) or (cls := set_class(tokens)) in seen:
-                    continue
-                if len(seen) >= 200_000:  # only saves repeats: a forgotten class is emitted again
-                    seen.clear()
-                seen.add(cls)
-                p = prefix_size(len(tokens))
-                part = np.empty(p, _POSTING)
-                part["tok"], part["cls"], part["n"], part["pos"] = ordered(tokens, level)[:p], cls, len(tokens), np.arange(p)
-                parts.append(part)
-                size += p
-                if size >= 1 << 20:
-                    yield pack(parts)
-                    parts, size = [], 0
+        parts, size = [], 0
+        for cls, tokens in distinct_sets(batches):
+            p = prefix_size(len(tokens))
+            part = np.empty(p, _POSTING)
+            part["tok"], part["cls"], part["n"], part["pos"] = ordered(tokens, level.value)[:p], cls, len(tokens), np.arange(p)
+            parts.append(part)
+            size += p
+            if size >= 1 << 20:
+                yield pack(parts)
+                parts, size = [], 0
         yield pack(parts)
 
     return task
@@ -225,11 +256,11 @@ def spanning_links(sets: dict[int, np.ndarray], parts: dict[int, int], probes: l
     return out
 
 
-def compare(level: np.ndarray):
+def compare(level: Broadcast):
     """Task function over sorted (leader, salt, doc, part, probe, text): the links that each group adds."""
 
     def group_links(leader: int, rows: list[tuple]) -> list[tuple[int, int]]:
-        sets = {k: ordered(t, level) for k, t in shingle_sets(pa.array([r[0] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string()))}
+        sets = {k: ordered(t, level.value) for k, t in shingle_sets(pa.array([r[0] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string()))}
         probes = sorted((r[0] for r in rows if r[2]), key=lambda k: k != leader)
         return spanning_links(sets, {r[0]: r[1] for r in rows}, probes)
 
@@ -249,7 +280,7 @@ def compare(level: np.ndarray):
     return task
 
 
-def compared(docs: DataFrame, members: DataFrame, level: np.ndarray, work: Workspace, name: str) -> DataFrame:
+def compared(docs: DataFrame, members: DataFrame, level: Broadcast, work: Workspace, name: str) -> DataFrame:
     """The links (a, b) found in the groups (a, salt) of ``members(a, salt, doc, part, probe)``."""
     members = work.save(members, f"{name}-members")
     ids = work.save(members.select("doc").distinct(), f"{name}-ids")
@@ -269,20 +300,23 @@ def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_co
     spark = documents.sparkSession
     work, width = Workspace(spark, "ngram-join"), shuffle_width(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    signed = work.save(docs.mapInArrow(describe, "doc long, cls long, n long, counts binary"), "signed")
-    summed = signed.filter("n < 0").select("doc", "counts").mapInArrow(_sum_rows, "doc long, counts binary")
-    for _ in range(2):  # the sketch's rows are of a fixed number and size; two rounds of partial sums before the last
-        summed = summed.repartition(SKETCH_ROWS, "doc").mapInArrow(_sum_rows, "doc long, counts binary")
-    level = levels([(r.doc, bytes(r.counts)) for r in summed.collect()])
-    signs = signed.filter("n >= 0").select("doc", "cls", "n")
+    signs = work.save(docs.mapInArrow(describe, "doc long, cls long, n long"), "signed")
+    buckets = 8 * width
+    tables = docs.mapInArrow(dealt_shingles(buckets), "bucket int, rows binary").repartition(width, "bucket").mapInArrow(counted_levels, "part long, levels binary")
+    tables = work.save(tables, "levels").repartition(LEVEL_ROWS, "part").mapInArrow(merged_levels, "part long, levels binary")
+    level = np.zeros((LEVEL_ROWS, (1 << LEVEL_BITS) // LEVEL_ROWS), np.uint8)
+    for row in tables.collect():
+        level[row.part] = np.frombuffer(zlib.decompress(bytes(row.levels)), np.uint8)
+    level = spark.sparkContext.broadcast(level.reshape(-1))
     classes = work.save(signs.filter("n > 0").groupBy("cls").agg(F.min("doc").alias("rep"), F.min("n").alias("n")), "classes")
 
-    buckets = 8 * width
     dealt = docs.mapInArrow(postings(level, buckets), "bucket int, rows binary").repartition(width, "bucket")
     posts = work.save(dealt.mapInArrow(shared_postings, "tok long, cls long, n long, pos long, leader long"), "posts")
 
     led = posts.filter("cls <> leader").groupBy("cls", "leader").agg(F.count(F.lit(1)).alias("shared"))
-    led = led.groupBy("cls").agg(F.max(F.struct("shared", "leader")).alias("best")).select("cls", "best.leader")
+    led = work.save(led, "led")  # of the leaders with half of the most shared shingles, the one with most followers
+    popular, best = led.groupBy("leader").agg(F.count(F.lit(1)).alias("followers")), led.groupBy("cls").agg(F.max("shared").alias("most"))
+    led = led.join(popular, "leader").join(best, "cls").filter("2 * shared >= most").groupBy("cls").agg(F.max(F.struct("followers", "shared", "leader")).alias("best")).select("cls", "best.leader")
     named = led.join(classes.select("cls", F.col("rep").alias("doc")), "cls").join(classes.select(F.col("cls").alias("leader"), F.col("rep").alias("a")), "leader")
     cells = work.save(_salted(named.select("a", "doc"), ["a"], "doc"), "cells")
     heads = cells.select("a", "salt", F.col("a").alias("doc")).distinct()
