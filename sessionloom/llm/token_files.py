@@ -35,6 +35,8 @@ _IDS_OF = np.array([0, *COUNTS, 1])
 
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bits of each value, 1 at least."""
+    if len(values) and values.max() < 1 << 53:  # exact in a double
+        return np.maximum(np.frexp(values.astype(np.float64))[1], 1).astype(np.uint8)
     out = np.ones(len(values), np.uint8)
     for k in (1 << j for j in range(5, -1, -1)):
         big = values >> np.uint64(k) > 0
@@ -62,7 +64,10 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             grown = most.copy()
             grown[:-step] = np.maximum(most[:-step], most[step:])
             most, width = grown, width + step
-        selector[(most <= WIDTHS[s]) & (left >= COUNTS[s])] = s + 1
+        fits = most <= WIDTHS[s]
+        if not fits.any():  # nor do more ids of fewer bits
+            break
+        selector[fits & (left >= COUNTS[s])] = s + 1
     jump = _IDS_OF[selector]
     at, ends, chain = np.arange(blocks) * BLOCK, np.minimum((np.arange(blocks) + 1) * BLOCK, n), []
     while len(at):
