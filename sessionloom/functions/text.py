@@ -114,7 +114,7 @@ def user_utterances(text) -> Column:
     c = col(text)
     lines = F.filter(F.split(c, "\n"), lambda x: F.trim(x).startswith("User:"))
     said = F.array_join(F.transform(lines, lambda x: F.trim(F.substr(F.trim(x), F.lit(6)))), " ")
-    sentences = F.filter(F.transform(F.split(c, r"[.!?]+"), F.trim), lambda s: (F.length(s) > 10) & ~F.lower(s).rlike("|".join(NOT_USER)))
+    sentences = F.filter(F.transform(F.split(c, r"[.!?]+"), lambda s: F.trim(s)), lambda s: (F.length(s) > 10) & ~F.lower(s).rlike("|".join(NOT_USER)))
     return F.when(F.size(lines) > 0, said).when(F.size(sentences) > 0, F.array_join(F.slice(sentences, 1, 2), ". ")).otherwise(F.concat(F.substring(c, 1, 200), F.lit("...")))
 
 
@@ -149,7 +149,7 @@ def answer_match(expected, output) -> Column:
 
 def origin_ids(origin) -> Column:
     """Session ids of a string split at commas and semicolons, trimmed, non-empty."""
-    return F.filter(F.transform(F.split(col(origin), "[,;]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(col(origin), "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def session_union(session_ids, session_id) -> Column:
