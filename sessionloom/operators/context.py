@@ -42,7 +42,7 @@ def chunks_for_triples(triples: DataFrame, chunks: DataFrame, k: int) -> DataFra
 def chunk_fallback(wanted: DataFrame, chunks: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
     """(chunk_id, text): the stored text, else the first k edges of the chunk as sentences."""
     missing = wanted.join(chunks.select("chunk_id"), "chunk_id", "left_anti")
-    lines = ranked(edges.join(missing, "chunk_id", "left_semi"), ["chunk_id"], [F.col("ordinal")]).filter(F.col("rank") <= k)
+    lines = ranked(edges.join(missing, "chunk_id", "left_semi"), ["chunk_id"], [F.col("ordinal"), F.col("src"), F.col("dst")]).filter(F.col("rank") <= k)
     made = lines.groupBy("chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(" ", "src", "relation", "dst").alias("s")))), lambda x: x["s"]), ". ").alias("made"))
     rows = wanted.join(chunks.select("chunk_id", "text"), "chunk_id", "left").join(made, "chunk_id", "left")
     return rows.select("chunk_id", F.coalesce("text", "made").alias("text"))

@@ -135,10 +135,10 @@ def document_splitter(t):
     return C.document_chunks(t["documents"].withColumn("title", F.lit("")))
 
 
-@query("""WITH RECURSIVE steps AS (
+@query("""WITH RECURSIVE folds AS (
     SELECT session_id, turn, context AS acc FROM session_docs WHERE turn = 0
-    UNION ALL SELECT s.session_id, s.turn, CASE WHEN contains(p.acc, s.context) THEN p.acc ELSE concat(p.acc, chr(10), chr(10), s.context) END FROM steps p JOIN session_docs s ON s.session_id = p.session_id AND s.turn = p.turn + 1)
-    SELECT a.session_id, b.session_time, a.acc AS context FROM steps a JOIN (SELECT session_id, max(turn) AS last, min(session_time) AS session_time FROM session_docs GROUP BY session_id) b ON a.session_id = b.session_id AND a.turn = b.last""")
+    UNION ALL SELECT s.session_id, s.turn, CASE WHEN contains(p.acc, s.context) THEN p.acc ELSE concat(p.acc, chr(10), chr(10), s.context) END FROM folds p JOIN session_docs s ON s.session_id = p.session_id AND s.turn = p.turn + 1)
+    SELECT a.session_id, b.session_time, a.acc AS context FROM folds a JOIN (SELECT session_id, max(turn) AS last, min(session_time) AS session_time FROM session_docs GROUP BY session_id) b ON a.session_id = b.session_id AND a.turn = b.last""")
 def merge_session_docs(t):
     return I.merge_session_docs(t["session_docs"].select(F.col("turn").alias("doc_id"), "session_id", "session_time", "context"))
 
