@@ -84,7 +84,7 @@ def dealt_shingles(buckets: int):
         for _, tokens in distinct_sets(batches):
             parts.append(tokens)
             size += len(tokens)
-            if size >= 1 << 21:
+            if size >= 1 << 19:
                 yield pack(parts)
                 parts, size = [], 0
         yield pack(parts)
@@ -155,7 +155,7 @@ def postings(level: Broadcast, buckets: int):
             part["tok"], part["cls"], part["n"], part["pos"] = ordered(tokens, level.value)[:p], cls, len(tokens), np.arange(p)
             parts.append(part)
             size += p
-            if size >= 1 << 20:
+            if size >= 1 << 18:
                 yield pack(parts)
                 parts, size = [], 0
         yield pack(parts)
