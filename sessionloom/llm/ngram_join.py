@@ -360,6 +360,7 @@ def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_co
     members = members.unionByName(visits.select(F.col("cell").alias("a"), "salt", F.col("rep").alias("doc"), F.col("comp").alias("part"), F.lit(True).alias("probe")))
     last = compared(docs, members.groupBy("a", "salt", "doc", "part").agg(F.max("probe").alias("probe")), level, work, "strays")
 
+    level.destroy()  # every comparison is written
     final = connected_components(links.unionByName(late).unionByName(last), work, "last")
     named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     return signs.join(named, "cls", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))

@@ -1,0 +1,329 @@
+"""The training-data operators against brute force, on hand-made edge cases and planted copies."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from sessionloom.llm import decontam, license_scan, packing, pii, quality, quotes, token_files, warc
+from sessionloom.llm import suffix_dedup as sd
+from sessionloom.llm.ngram_join import near_duplicate_classes
+from sessionloom.llm.registry import tokenizer_path
+from sessionloom.llm.tokens import PieceEncoder
+
+CLASHING = ["doc", "cls", "n", "rs", "_doc", "_rs", "pos", "rank", "grp", "d2", "x0", "spans", "offs", "m0", "kind"]
+SCHEMA = "doc_id bigint, text string, lang string, source string"
+
+
+def _words(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(n))
+
+
+def documents():
+    """Null, empty, blank and very long texts, ties, repeated texts, near copies around the threshold, shared passages."""
+    rng = random.Random(5)
+    base = [_words(rng, n) for n in (3, 4, 5, 6, 40, 80, 200, 400)]
+    texts = [None, "", " \n\t ", *base, *base[:6], base[5].upper()]
+    for text in (base[5], base[6], base[7]):
+        for edits in (1, 2, 3, 4, 8, 30):
+            words = text.split()
+            for _ in range(edits):
+                words[rng.randrange(len(words))] = _words(rng, 1)
+            texts.append(" ".join(words))
+    passage = _words(rng, 60)
+    texts += [f"{_words(rng, 30)} {passage} {_words(rng, 30)}" for _ in range(4)]
+    texts += ["ab" * 300, "é" * 120, "é" * 121 + "x", " ".join([base[4]] * 3), _words(rng, 30_000)]
+    langs = ["en", "fr", None]
+    return [(i * 3 + 1, t, langs[i % 3], f"s{i % 2}" if i % 5 else None) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = spark.createDataFrame(documents(), SCHEMA).repartition(3)
+    return rows.select("*", *(F.lit(k).alias(c) for k, c in enumerate(CLASHING))).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def _shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+
+
+def _classes(texts):
+    sets, head = {k: _shingles(t) for k, t in texts.items()}, {k: k for k in texts}
+
+    def find(k):
+        while head[k] != k:
+            k = head[k]
+        return k
+
+    for a in texts:
+        for b in texts:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                head[y] = x
+    return {k: (len(sets[k]), find(k)) for k in texts}
+
+
+def test_near_duplicates(docs, empty):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicate_classes(docs).collect()}
+    assert got == _classes({r[0]: r[1] for r in documents()})
+    assert near_duplicate_classes(empty).count() == 0
+
+
+def test_near_duplicates_in_a_crowd(spark):
+    """A large family whose members are often just below the threshold, so strays visit the tries of the crowd."""
+    rng = random.Random(1)
+    base, texts = _words(rng, 100).split(), {}
+    for k in range(400):
+        words = list(base)
+        for _ in range(rng.choice((1, 2, 3, 4))):
+            words[rng.randrange(100)] = _words(rng, 1)
+        texts[k] = " ".join(words)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicate_classes(rows).collect()} == _classes(texts)
+
+
+def _cut(texts):
+    seen, out = set(), {}
+    for k in sorted(texts):
+        raw = (texts[k] or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for i in range(len(raw) - 99):
+            if raw[i : i + 100] in seen:
+                gone[i : i + 100] = True
+            seen.add(raw[i : i + 100])
+        edges = np.diff(np.concatenate(([0], gone.astype(int))))
+        out[k] = len(raw), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(bytes(np.frombuffer(raw, np.uint8)[~gone])).hexdigest()
+    return out
+
+
+def test_repeated_passages(docs, empty):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.repeated_passages(docs).collect()}
+    assert got == _cut({r[0]: r[1] for r in documents()})
+    assert sd.repeated_passages(empty).count() == 0
+
+
+def test_suffix_order_with_long_ties():
+    rng = np.random.default_rng(3)
+    text = np.concatenate([np.tile(np.frombuffer(b"abcabd", np.uint8), 90), rng.integers(97, 99, 900).astype(np.uint8), np.zeros(700, np.uint8) + 97, np.tile(np.frombuffer(b"abcabd", np.uint8), 60)])
+    starts = rng.permutation(len(text) - 100)
+    order, equal = sd.sorted_windows(text, starts)
+    windows = [text[i : i + 100].tobytes() for i in order]
+    assert windows == sorted(text[i : i + 100].tobytes() for i in starts)
+    assert equal.tolist() == [False] + [a == b for a, b in zip(windows, windows[1:])]
+
+
+def test_licenses(spark, empty):
+    mit = license_scan.KNOWN["MIT"]
+    cases = {1: ("Copyright (c) 2020 A\n" + mit.upper().replace(" ", "\n"), "MIT"), 2: ("# © 2021 B\n" + mit.replace("sublicense", "sublicence"), "MIT"), 3: (mit + " more", None), 4: (None, None), 5: ("", None), 6: ("released under the MIT Licence", "MIT-notice")}
+    rows = spark.createDataFrame([(k, t, 0, "x") for k, (t, _) in cases.items()], "doc_id bigint, text string, digest int, license string")
+    assert {r.doc_id: r.license for r in license_scan.scan_licenses(rows).collect()} == {k: v for k, (_, v) in cases.items()}
+    assert license_scan.scan_licenses(empty).count() == 0
+
+
+def test_pii_surrogates(spark, empty):
+    text = "Mr John Smith met Mrs Anna-Maria Lopez. Mr. Smith called +1 (743) 555-3824 or +1 743-555-3824; A.b@Mail.Example.COM, a.b@mail.example.com; DE44 5001 0517 5407 3249 31, 4111 1111 1111 1111, 123-45-6789, 1.2.3.4, 1.2.3.5. Г-жа Анна Иванова. v4.0 2023-05-20"
+    rows = [(1, text), (2, None), (3, ""), (4, "no data"), (5, "call +1 (743) 555-3824"), *((k, f"{k % 9 + 1}.{k % 7 + 1}.{k % 8 + 1}.{k % 5 + 1} x{k}@a.example.com") for k in range(10, 300))]
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, _doc int, rs int")
+    got = {r.doc_id: r for r in pii.replace_pii(frame, key="k", count_col="n").collect()}
+    out = got[1].text
+    assert (got[2].text, got[3].text, got[4].text, got[1].n) == (None, "", "no data", 13)
+    assert got[1]._doc == 1 and got[1].rs == 2
+    for gone in ("John", "Smith", "Anna", "Lopez", "555-3824", "a.b@", "5001", "4111 1", "123-45", "1.2.3.4", "Иванова"):
+        assert gone.lower() not in out.lower()
+    assert "v4.0 2023-05-20" in out
+    phones = re.findall(r"\+1 \((\d{3})\) (\d{3}-\d{4})", out)
+    assert f"+1 {phones[0][0]}-{phones[0][1]}" in out and f"({phones[0][0]}) {phones[0][1]}" in got[5].text
+    first = re.match(r"Mr (\w+) (\w+) met Mrs (\w+)-(\w+) (\w+)\. Mr\. (\w+) ", out)
+    assert first[2] == first[6] and first[3].endswith("a") and not first[1].endswith("a")
+    assert re.search(r"Г-жа [А-Я][а-я]+а [А-Я][а-я]+", out)
+    card = out.split("; ")[2].split(", ")[1].replace(" ", "")
+    assert sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(card)) % 10 == 0
+    pairs = {}
+    for k in range(10, 300):
+        for old, new in zip(dict(rows)[k].split(" "), got[k].text.split(" "), strict=True):
+            assert pairs.setdefault(old, new) == new != old
+    assert len(set(pairs.values())) == len(pairs) and not set(pairs.values()) & set(pairs)
+    assert pii.replace_pii(empty).count() == 0 and pii.replace_pii(empty).columns == empty.columns
+
+
+def _statistics(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = collections.defaultdict(list)
+    for i in range(len(words) - 2):
+        windows[tuple(words[i : i + 3])].append(i)
+    again = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    symbols = sum(c in "#*$%&|<>" for c in text or "")
+    return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(again), len(words) < 50 or 100 * len(again) > 50 * len(words)
+
+
+def test_quality_statistics(docs, empty):
+    got = {r.doc_id: tuple(r)[1:] for r in quality.quality(docs).collect()}
+    assert {k: v[:6] for k, v in got.items()} == {r[0]: _statistics(r[1]) for r in documents()}
+    assert all(not v[6] for v in got.values() if v[5])
+    assert quality.quality(empty).count() == 0
+
+
+def test_quality_rejects_outliers_only(spark):
+    rng = random.Random(2)
+    clean = [(k, _words(rng, rng.randint(60, 400)), "en", "hot" if k % 3 else "s") for k in range(600)]
+    junk = [(1000 + k, "### ".join(_words(rng, 200).split()), "en", "hot") for k in range(60)]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(clean + junk, SCHEMA)).collect()}
+    assert all(got[k] for k, *_ in clean) and not any(got[k] for k, *_ in junk)
+
+
+def test_quotes(spark):
+    rows = [(1, 0, "user", "Hello there.\nHow are you?"), (1, 1, "assistant", "> How are you?\nFine!"), (1, 2, "user", "On Monday X wrote:\n>> How are you?\n> Fine!\nGood\n\n> unknown"), (2, 0, "user", "> hello THERE\n> how are you\nlinked"), (3, 0, None, None), (4, 0, "user", "a > b"), (5, 0, "user", ">\n> !!\nx")]
+    frame = spark.createDataFrame([(*r, 9) for r in rows], "conv_id bigint, turn bigint, role string, text string, hash int")
+    linked = quotes.link_quotations(frame)
+    got = {(r.conv_id, r.turn): (r.text, r.n_quoted_lines, r.n_passages, r.n_linked, r.reply_conv, r.reply_turn, r.thread_id) for r in linked.collect()}
+    assert got == {(1, 0): (rows[0][3], 0, 0, 0, None, None, 1), (1, 1): ("Fine!", 1, 1, 1, 1, 0, 1), (1, 2): ("Good", 3, 3, 2, 1, 1, 1), (2, 0): ("linked", 2, 1, 1, 1, 0, 1), (3, 0): ("", 0, 0, 0, None, None, 3), (4, 0): ("a > b", 0, 0, 0, None, None, 4), (5, 0): ("x", 2, 1, 0, None, None, 5)}
+    threads = {r.thread_id: [m.content for m in r.messages] for r in quotes.conversations(linked).collect()}
+    assert threads[1] == ["Hello there.\nHow are you?", "Fine!", "linked", "Good"]
+    assert quotes.link_quotations(frame.limit(0)).count() == 0
+
+
+TRICKY = ["", " ", "a  b", "\n\n\nx", "x\n\ny \n", "\tz", "don't we'll  go", "a b", "x\x1cy z", "Ünïcödé, très.  bien", "<|endoftext|> end", "<|startoftext|>", "word.word, a. b,", "日本語 テキスト。", "é ́x", "trailing ", "a\r\nb", " ", "1,000.5 3.", "😀 emoji. 😀"]
+
+
+@pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_pieces_give_the_tokenizers_ids(name, kind):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path(name))
+    plain.encode_special_tokens = True
+    texts = [*TRICKY, *(t for _, t, *_ in documents() if t)]
+    got = PieceEncoder(tokenizer_path(name), kind).ids(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_packing(docs, empty):
+    enc = PieceEncoder(tokenizer_path("byte_bpe_50k.json"), "byte")
+    expected = {r[0]: enc.ids([r[1] or ""])[0] + b"\0\0\0\0" for r in documents()}
+    rows, whole = packing.pack(docs, tokenizer_path("byte_bpe_50k.json")).collect(), collections.defaultdict(dict)
+    assert len({r.sequence_id for r in rows}) == len(rows)
+    for r in rows:
+        assert r.length & (r.length - 1) == 0 and r.length <= 1024 and r.offset == 0 and r.bucket == r.length and len(r.ids) == 4 * r.length and r.doc_tokens * 4 == len(expected[r.doc_id])
+        whole[r.doc_id][r.start] = bytes(r.ids)
+    assert {k: b"".join(v[s] for s in sorted(v)) for k, v in whole.items()} == expected
+    assert packing.pack(empty, tokenizer_path("byte_bpe_50k.json")).count() == 0
+    assert packing.pieces(2051, 1024) == [1024, 1024, 2, 1]
+
+
+def test_simple8b_codec():
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 1 << 62, 9000, dtype=np.uint64) >> rng.integers(0, 62, 9000).astype(np.uint64)
+    values[100:900] = 1
+    values[7:9] = [2**64 - 1, 15 << 60]
+    words, blocks = token_files.encode(values)
+    assert (token_files.decode(words) == values).all() and len(words) < len(values)
+    for first, count in ((0, 1), (1023, 2), (5000, 3000), (8999, 1)):
+        assert (token_files.ids_at(blocks, words, first, count) == values[first : first + count]).all()
+    assert len(token_files.encode(values[:0])[0]) == 0
+
+
+def test_token_files(docs, empty):
+    enc, at = PieceEncoder(tokenizer_path("word_bpe_49k.json"), "word"), 0
+    got = {r.doc_id: (r.start, bytes(r.ids)) for r in token_files.token_files(docs, tokenizer_path("word_bpe_49k.json")).collect()}
+    for key, text, *_ in sorted(documents(), key=lambda r: r[0]):
+        ids = enc.ids([text or ""])[0] + b"\x02\0\0\0"
+        assert got[key] == (at, ids)
+        at += len(ids) // 4
+    assert token_files.crc32(b"abc") == zlib.crc32(b"abc")
+    assert token_files.token_files(empty, tokenizer_path("word_bpe_49k.json")).count() == 0
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "<p>é\r\n\r\nWARC/1.1</p>" * 30_000
+    rows = [(5, "http://a/ü b", "x" * 100), (3, None, "x" * 100), (9, "u", "x" * 99), (8, "u", "x" * 99), (1, "u", None), (2, "u\r\nEvil: 1", ""), (7, "u", big), (6, "u", big)]
+    frame = spark.createDataFrame([(*r, 0) for r in rows], "page_id bigint, url string, html string, digest int").repartition(3)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_round_trip(frame).collect()}
+    first = {5: 3, 7: 6}
+    for page, _, html in rows:
+        raw = (html or "").encode()
+        assert got[page] == (len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if page in first else "response", first.get(page))
+    index = warc.write_archives(frame, f"file://{tmp_path}/w").collect()
+    place = next(r for r in index if r.page == 6)
+    headers, block = warc.read_record(place.file, place.frame, place.place)
+    assert headers["WARC-Record-ID"] == "<urn:page:6>" and block.endswith(big.encode())
+    assert warc.archive_round_trip(frame.limit(0)).count() == 0
+
+
+def _leaks(texts, items):
+    out = {}
+    listed = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+    runs = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
+    for i, item in items.items():
+        own, m = collections.Counter(runs(listed(item))), len(listed(item))
+        for k, text in texts.items():
+            words, best = listed(text), 0
+            if not words or not m:
+                continue
+            span = min(m, len(words))
+            for s in range(len(words) - span + 1):
+                here = collections.Counter(runs(words[s : s + span]))
+                least, most = sum((own & here).values()), sum((own | here).values())
+                if 10 * least >= 8 * most:
+                    best = max(best, round(least / most, 6))
+            if best:
+                out[k, i] = best
+    return out
+
+
+def test_decontamination(spark, docs, empty):
+    rng = random.Random(9)
+    items = {1: _words(rng, 30), 2: _words(rng, 12), 3: "only three words", 4: None, 5: "", 6: " ".join([_words(rng, 6)] * 5)}
+    items[7] = items[1]
+    texts = {k: _words(rng, 50) for k in range(40)}
+    for k in range(0, 20):
+        words = items[1 + k % 2].split() if k % 5 else items[6].split()
+        for _ in range(k // 6):
+            words[rng.randrange(len(words))] = "changed"
+        texts[k] = f"{texts[k]} {' '.join(words).upper()} {texts[k]}"
+    texts |= {50: "it has only three words inside", 51: "only three words", 52: None, 53: "", 54: items[1][: len(items[1]) * 9 // 10]}
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    frame = spark.createDataFrame([(*x, 0, 0) for x in texts.items()], "doc_id bigint, text string, item int, start int")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(frame, bench).collect()}
+    assert got == _leaks(texts, items)
+    assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(frame, bench.limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path):
+    rng = random.Random(4)
+    clean = [(k, _words(rng, 120), "en", "s") for k in range(150)]
+    item = _words(rng, 30)
+    bad = [(200, "short", "en", "s"), (201, clean[3][1] + " x", "en", "s"), (202, f"{_words(rng, 60)} {item} {_words(rng, 60)}", "en", "s"), (203, f"{_words(rng, 90)} mail a.b@c.example.com", None, None), (204, None, "en", "s")]
+    spark.createDataFrame(clean + bad, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert docs.columns == ["doc_id", "text", "lang", "source"]
+        kept.append({r.doc_id: r.text for r in docs.collect()})
+    every = {k for k, *_ in clean}
+    assert set(kept[0]) == every | {201, 202, 203} and set(kept[1]) == every | {202, 203} and set(kept[2]) == set(kept[3]) == every | {203}
+    assert "a.b@c" not in kept[3][203] and all(kept[3][k] == t for k, t, *_ in clean)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == set(kept[3])
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()} == set(kept[3])
+
+
+def test_text_chunks_respect_slices():
+    from sessionloom.llm._words import text_chunks
+
+    texts = pa.array(["ab", None, "", "cdé"])[1:]
+    got = [(k.tolist(), bytes(d), b.tolist()) for k, d, b in text_chunks(pa.array([1, 2, 3]), texts)]
+    assert got == [([1, 2, 3], "cdé".encode(), [0, 0, 0, 4])]
