@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import cosine, minmax, name_similarity
+from ..functions.similarity import dot, minmax, name_similarity, norm
 from .topk import ranked, top_k
 
 
@@ -14,14 +14,15 @@ def cosine_scores(questions: DataFrame, items: DataFrame, dim: int | None = None
 
     Questions are a stated, small set; each scan of the items serves all of them.
     """
-    q = questions.select("query_id", F.col("embedding").alias("_q"))
-    return items.select("id", F.col("embedding").alias("_e")).filter("_e IS NOT NULL").crossJoin(q).select("query_id", "id", cosine("_q", "_e", dim).alias("score"))
+    q = questions.select("query_id", F.col("embedding").alias("_q"), norm("embedding").alias("_nq"))
+    e = items.select("id", F.col("embedding").alias("_e"), norm("embedding").alias("_ne")).filter("_e IS NOT NULL")
+    return e.crossJoin(q).select("query_id", "id", F.try_divide(dot("_q", "_e", dim), F.col("_nq") * F.col("_ne")).alias("score"))
 
 
 def similar_pairs(items: DataFrame, threshold: float, dim: int | None = None) -> DataFrame:
     """(a, b, score) with a < b of items whose cosine similarity reaches the threshold."""
-    left, right = items.select(F.col("id").alias("a"), F.col("embedding").alias("_a")), items.select(F.col("id").alias("b"), F.col("embedding").alias("_b"))
-    return left.join(right, F.col("a") < F.col("b")).select("a", "b", cosine("_a", "_b", dim).alias("score")).filter(F.col("score") >= threshold)
+    left, right = (items.select(F.col("id").alias(x), F.col("embedding").alias(f"_{x}"), norm("embedding").alias(f"_n{x}")) for x in "ab")
+    return left.join(right, F.col("a") < F.col("b")).select("a", "b", F.try_divide(dot("_a", "_b", dim), F.col("_na") * F.col("_nb")).alias("score")).filter(F.col("score") >= threshold)
 
 
 def channel_b(scored: DataFrame, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.text import summary_text
+from ..lineage import cut
 from ..operators import chunking, context, graph, ppr, retrieval
 from ..providers import answerer, embedder, extract_chunks, summarizer
 
@@ -14,43 +15,43 @@ from ..providers import answerer, embedder, extract_chunks, summarizer
 def build_memory(turns: DataFrame, dim: int = 64) -> dict[str, DataFrame]:
     """Chunks, edges, edge mentions and embedded summaries of turns (doc_id, session_id, session_time, turn, speaker, content)."""
     embed, chunks = embedder(dim), chunking.dialog_chunks(turns)
-    chunks = chunks.persist()
+    chunks = cut(chunks)
     entities, mentions = extract_chunks(chunks.select("chunk_id", "doc_id", "session_id", "session_time", "text"))
-    mentions = mentions.persist()  # a provider's output is computed once
+    mentions = cut(mentions)  # a provider's output is computed once
     edges = graph.build_edges(graph.dedup_relationships(mentions))
-    edges = edges.withColumn("embedding", embed(F.concat_ws(" ", "src", "relation", "dst"))).persist()
+    edges = cut(edges.withColumn("embedding", embed(F.concat_ws(" ", "src", "relation", "dst"))))
     whole = chunks.groupBy("session_id", "session_time").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
     made = whole.withColumn("s", summarizer()("text")).select("session_id", "session_time", "s.keys", "s.themes")
     summaries = context.legacy_summary(made)
-    summaries = summaries.withColumn("embedding", embed(summary_text("session_id", "session_time", "keys", "themes"))).persist()
+    summaries = cut(summaries.withColumn("embedding", embed(summary_text("session_id", "session_time", "keys", "themes"))))
     return {"chunks": chunks, "entities": entities, "edges": edges, "edge_mentions": mentions.select("src", "dst", "session_id").distinct(), "summaries": summaries}
 
 
 def answer(questions: DataFrame, memory: dict[str, DataFrame], dim: int = 64, config: Config | None = None) -> DataFrame:
     """(query_id, question, answer, prompt, top_session_ids) of questions (query_id, question, question_time)."""
     c = config or Config()
-    asked = questions.withColumn("embedding", embedder(dim)("question")).persist()
+    asked = cut(questions.withColumn("embedding", embedder(dim)("question")))
     edges, summaries = memory["edges"], memory["summaries"]
     vectors = edges.select(F.struct("src", "dst").alias("id"), "embedding")
-    scores = retrieval.cosine_scores(asked, vectors, dim).persist()
+    scores = cut(retrieval.cosine_scores(asked, vectors, dim))
     scored = edges.drop("embedding").join(scores.select("query_id", "id.src", "id.dst", "score"), ["src", "dst"])
-    top = retrieval.channel_b(scored, c.fusion.top_triples).persist()
+    top = cut(retrieval.channel_b(scored, c.fusion.top_triples))
     a = retrieval.cosine_scores(asked, summaries.select(F.col("session_id").alias("id"), "embedding"), dim).withColumnRenamed("id", "session_id")
-    fused = retrieval.dual_channel_fusion(a, retrieval.channel_b_sessions(top), c.fusion.top_summaries, c.fusion.alpha, c.fusion.sessions).persist()
-    local = graph.session_edges(edges.drop("embedding"), memory["edge_mentions"], fused).persist()
+    fused = cut(retrieval.dual_channel_fusion(a, retrieval.channel_b_sessions(top), c.fusion.top_summaries, c.fusion.alpha, c.fusion.sessions))
+    local = cut(graph.session_edges(edges.drop("embedding"), memory["edge_mentions"], fused))
     near = graph.context_edges(edges, memory["edge_mentions"], fused)
     none = near.filter("false").withColumn("score", F.lit(0.0))
-    net = graph.local_graph(local, near, none, c.graph.relation_weight, c.graph.context_weight, c.graph.synonym_factor).persist()
+    net = cut(graph.local_graph(local, near, none, c.graph.relation_weight, c.graph.context_weight, c.graph.synonym_factor))
     nodes = ppr.nodes_of(local)
     phrases = ppr.phrase_seeds(top, nodes, c.graph.phrase_seeds)
     latest = graph.session_latest(net, local)
     sessions = ppr.session_seeds(fused, latest, "2024/02/01", c.graph.session_weight, c.graph.decay_exponent)
     seed = ppr.seeds(phrases, phrases.filter("false"), sessions)
-    ranks = ppr.pagerank_local(net, seed, c.graph.damping, c.graph.max_iterations, c.graph.tolerance)
+    ranks = cut(ppr.pagerank_local(net, seed, c.graph.damping, c.graph.max_iterations, c.graph.tolerance))
     semantic = scores.select("query_id", "id.src", "id.dst", "score")
     ends = local.join(semantic, ["query_id", "src", "dst"]).withColumn("vec", F.xxhash64("src", "dst"))
     best = ppr.rank_triples(ends.drop("score"), ranks, ends.select("query_id", F.col("vec").alias("id"), "score").distinct(), 15, c.graph.beta_ppr, c.graph.beta_semantic)
-    best = best.persist()
+    best = cut(best)
     facts = context.format_triples(best, ["query_id"], "rank")
     passages = context.chunks_for_triples(best, memory["chunks"], 5).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: F.concat(F.lit("Chunk "), x["place"].cast("string"), F.lit(": "), x["text"])), "\n").alias("passages"))
     tops = best.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "session_id"))), lambda x: x["session_id"]).alias("top_session_ids"))

@@ -7,6 +7,7 @@ from functools import cached_property, wraps
 from pyspark.sql import functions as F
 
 from .catalogue import query
+from .lineage import cut
 from .operators import context as X
 from .operators import graph as G
 from .operators import ppr as P
@@ -17,8 +18,8 @@ DIM, SYNONYM, TIME, STEPS = 64, 0.4, "1998/05/02", 10
 
 
 def kept(step):
-    """A step that is planned once and persisted: later steps read it several times, none of them the whole input again."""
-    return cached_property(wraps(step)(lambda self: step(self).persist()))
+    """A step that is computed once and written: later steps read it several times."""
+    return cached_property(wraps(step)(lambda self: cut(step(self))))
 
 
 class Flow:
@@ -26,13 +27,27 @@ class Flow:
 
     def __init__(self, t):
         self.t = t
-        t.known["edges"] = t["edges"].persist()
-        items = t["embeddings"].select(F.col("vec_id").alias("id"), "embedding")
-        self.cos = S.cosine_scores(items.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), items, DIM).persist()
-        self.scored = t["edges"].join(self.cos, F.col("vec") == F.col("id")).drop("id")
-        self.top = S.channel_b(self.scored, 20).persist()
-        self.a = t["sessions"].join(self.cos, F.col("vec") == F.col("id")).select("query_id", "session_id", "score")
-        self.b = S.channel_b_sessions(self.top)
+
+    @kept
+    def cos(self):
+        items = self.t["embeddings"].select(F.col("vec_id").alias("id"), "embedding")
+        return S.cosine_scores(items.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), items, DIM)
+
+    @kept
+    def edges(self):
+        return self.t["edges"]
+
+    @kept
+    def top(self):
+        return S.channel_b(self.edges.join(self.cos, F.col("vec") == F.col("id")).drop("id"), 20)
+
+    @property
+    def a(self):
+        return self.t["sessions"].join(self.cos, F.col("vec") == F.col("id")).select("query_id", "session_id", "score")
+
+    @property
+    def b(self):
+        return S.channel_b_sessions(self.top)
 
     @kept
     def fused(self):
@@ -40,11 +55,11 @@ class Flow:
 
     @kept
     def relations(self):
-        return G.session_edges(self.t["edges"], self.t["edge_mentions"], self.fused)
+        return G.session_edges(self.edges, self.t["edge_mentions"], self.fused)
 
     @kept
     def contexts(self):
-        return G.context_edges(self.t["edges"], self.t["edge_mentions"], self.fused)
+        return G.context_edges(self.edges, self.t["edge_mentions"], self.fused)
 
     @kept
     def nodes(self):
