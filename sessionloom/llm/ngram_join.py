@@ -39,7 +39,7 @@ from .components import connected_components
 
 #: log2 of the level table's slots (a byte each), the rows it travels in, the sets of one trie, and the most classes of a
 #: shingle paired directly. A larger table tells rare shingles apart better; results do not depend on it.
-LEVEL_BITS, LEVEL_ROWS, TRIE_SETS, CROWD = 24, 64, 256, 64
+LEVEL_BITS, LEVEL_ROWS, TRIE_SETS, CROWD = 22, 16, 256, 64
 _PLACE = np.uint64(6)
 
 
@@ -62,7 +62,7 @@ def distinct_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.n
     for batch in batches:
         for _, tokens in shingle_sets(batch.column(0), batch.column(1)):
             if len(tokens) and (cls := set_class(tokens)) not in seen:
-                if len(seen) >= 200_000:  # only saves repeats: a forgotten class is passed on again
+                if len(seen) >= 50_000:  # only saves repeats: a forgotten class is passed on again
                     seen.clear()
                 seen.add(cls)
                 yield cls, tokens
@@ -84,7 +84,7 @@ def dealt_shingles(buckets: int):
         for _, tokens in distinct_sets(batches):
             parts.append(tokens)
             size += len(tokens)
-            if size >= 1 << 19:
+            if size >= 1 << 18:
                 yield pack(parts)
                 parts, size = [], 0
         yield pack(parts)
@@ -155,7 +155,7 @@ def postings(level: Broadcast, buckets: int):
             part["tok"], part["cls"], part["n"], part["pos"] = ordered(tokens, level.value)[:p], cls, len(tokens), np.arange(p)
             parts.append(part)
             size += p
-            if size >= 1 << 18:
+            if size >= 1 << 17:
                 yield pack(parts)
                 parts, size = [], 0
         yield pack(parts)
@@ -298,7 +298,7 @@ def _salted(rows: DataFrame, key: list[str], by: str) -> DataFrame:
 def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each document."""
     spark = documents.sparkSession
-    work, width = Workspace(spark, "ngram-join"), shuffle_width(spark)
+    work, width = Workspace(spark, "ngram-join"), 2 * shuffle_width(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     signs = work.save(docs.mapInArrow(describe, "doc long, cls long, n long"), "signed")
     buckets = 8 * width
@@ -346,12 +346,13 @@ def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_co
 
     main = crowds.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("tok").agg(F.max(F.struct("size", "comp")).alias("top")).select("tok", F.col("top.comp").alias("main"))
     fews = few.groupBy("rep").agg(F.count(F.lit(1)).alias("fews"))
-    strays = crowds.join(main, "tok").filter("comp <> main").join(fews, "rep", "left").fillna(0, ["fews"]).select("tok", "rep", "comp", "n", "fews")
-    targets = crowds.groupBy("tok", "cell", "cell_salt").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    visits = strays.join(targets, "tok").filter("5 * n >= 4 * least and 4 * n <= 5 * most and not (lo = comp and hi = comp)")
-    visits = visits.groupBy("cell", "cell_salt", "rep", "comp").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("n"), F.min("fews").alias("fews"), F.min("least").alias("least"), F.max("most").alias("most"))
+    strays = crowds.join(main, "tok").filter("comp <> main").join(in_crowds, "rep").join(fews, "rep", "left").fillna(0, ["fews"]).select("tok", "rep", "comp", "n", "pos", (F.col("crowds") + F.col("fews")).alias("shared"))
+    targets = crowds.groupBy("tok", "cell", "cell_salt").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.expr("9 * pos <= n")).alias("early"))
+    # the first shingle that linked sets share is within the first ninth of the smaller one
+    visits = strays.join(targets, "tok").filter("(9 * pos <= n or early) and 5 * n >= 4 * least and 4 * n <= 5 * most and not (lo = comp and hi = comp)")
+    visits = visits.groupBy("cell", "cell_salt", "rep", "comp").agg(F.min("shared").alias("shared"), F.min("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
     # at most this many prefix shingles are shared with any set of the cell; the bound is largest at an extreme size
-    rest = "9 * (shared + fews + greatest(n - (n - ceil(n * 4 / 5) + 1), {m} - ({m} - ceil({m} * 4 / 5) + 1))) >= 4 * (n + {m})"
+    rest = "9 * (shared + greatest(n - (n - ceil(n * 4 / 5) + 1), {m} - ({m} - ceil({m} * 4 / 5) + 1))) >= 4 * (n + {m})"
     sizes = ("greatest(least, ceil(n * 4 / 5))", "least(most, floor(n * 5 / 4))")
     visits = visits.filter(" or ".join(f"({rest.format(m=m)})" for m in sizes)).select("cell", "cell_salt", "rep", "comp")
     visits = work.save(_salted(visits, ["cell", "cell_salt"], "rep").withColumn("salt", F.expr("shiftleft(cell_salt, 20) + salt")), "visits")
