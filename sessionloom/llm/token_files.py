@@ -29,7 +29,7 @@ MAGIC = 0x5338424C53544F4B
 #: Ids a word and bits an id for the selectors 1 to 14.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
-BLOCK, SEGMENT = 1024, 1 << 21
+BLOCK, SEGMENT = 1024, 1 << 19
 _IDS_OF = np.array([0, *COUNTS, 1])
 
 

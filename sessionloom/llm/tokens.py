@@ -13,7 +13,7 @@ from array import array
 from collections.abc import Iterable
 
 #: Pieces that a worker keeps; beyond them pieces are encoded anew for each group of texts.
-KEEP = 1_200_000
+KEEP = 800_000
 
 
 class PieceEncoder:
