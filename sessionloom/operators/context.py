@@ -62,3 +62,19 @@ def relevance_bands(triples: DataFrame) -> DataFrame:
     span = nodes.groupBy("query_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     scaled = F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)
     return nodes.join(span, "query_id").select("query_id", "node", "score", F.when(scaled < 0.33, "low").when(scaled < 0.66, "medium").otherwise("high").alias("band"))
+
+
+def relevant_summaries(sessions: DataFrame, summaries: DataFrame, by_rank: bool = False) -> DataFrame:
+    """Summaries of the ranked sessions (query_id, session_id, rank) with their place: in order of the summaries' ids, or by rank."""
+    rows = summaries.join(sessions.select("query_id", "session_id", "rank"), "session_id")
+    return ranked(rows, ["query_id"], [F.col("rank") if by_rank else F.col("session_id")], "place")
+
+
+def relationship_chunks(triples: DataFrame) -> DataFrame:
+    """(query_id, chunk_id): the distinct chunks of relationships."""
+    return triples.filter("chunk_id IS NOT NULL").select("query_id", "chunk_id").distinct()
+
+
+def with_time(text: Column, session_time: Column, enabled: bool = True) -> Column:
+    """A chunk's text after its session's time, if there is one."""
+    return F.when(F.coalesce(session_time, F.lit("")) != "", F.concat_ws("\n", session_time, text)).otherwise(text) if enabled else text

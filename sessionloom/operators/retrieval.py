@@ -123,3 +123,9 @@ def summary_entity_max(scores: DataFrame, sessions: DataFrame, k: int) -> DataFr
     """(query_id, session_id, score, rank): sessions by their summary's greatest similarity, 0 at least."""
     rows = sessions.join(scores, F.col("vec") == F.col("id")).groupBy("query_id", "session_id").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("score"))
     return top_k(rows, k, ["query_id"], [F.desc("score"), F.col("session_id")])
+
+
+def lookup_entities(wanted: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(query_id, entity, place): the first k requested names (query_id, place, entity) that are nodes, in order of request."""
+    found = wanted.join(nodes.select(F.col("node").alias("entity")).distinct(), "entity", "left_semi")
+    return top_k(found.select("query_id", "entity", F.col("place").alias("_p")), k, ["query_id"], [F.col("_p"), F.col("entity")], "place").drop("_p")

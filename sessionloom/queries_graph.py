@@ -53,7 +53,14 @@ def dedup_entities_exact(t):
     return G.dedup_exact(t["parts"]).select("entity_type", "key", "ordinal", "name", "mentions")
 
 
-@query()
+_LIKE = "len(list_intersect(string_split(lower(x), ' '), string_split(r.key, ' '))) >= 0.3 * len(list_distinct(list_concat(string_split(lower(x), ' '), string_split(r.key, ' '))))"
+
+
+@query(f"""WITH RECURSIVE firsts AS (SELECT lower(entity_type) AS entity_type, lower(name) AS key, min(ordinal) AS ordinal, arg_min(name, ordinal) AS name FROM parts GROUP BY 1, 2),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY ordinal, key) AS rn FROM firsts),
+    walk AS (SELECT entity_type, key, ordinal, name AS canonical, [name] AS reps, rn FROM ordered WHERE rn = 1
+        UNION ALL SELECT entity_type, key, ordinal, coalesce(f, name), CASE WHEN f IS NULL THEN list_append(reps, name) ELSE reps END, rn FROM (SELECT r.*, w.reps, list_filter(w.reps, lambda x: {_LIKE})[1] AS f FROM walk w JOIN ordered r ON r.entity_type = w.entity_type AND r.rn = w.rn + 1))
+    SELECT entity_type, key, canonical, ordinal FROM walk""")
 def dedup_entities_greedy(t):
     return G.dedup_greedy(t["parts"], 0.3)
 
@@ -138,3 +145,12 @@ def triple_text(t):
     from .functions.text import triple_text as text
 
     return t["edges"].select("src", "relation", "dst", text("src", "relation", "dst").alias("text"), triple_embedding_text("src", "relation", "dst", F.concat(F.lit("chunk "), F.col("chunk_id").cast("string"))).alias("embedding_text"))
+
+
+_NODES = "SELECT name, arg_max(entity_type, ordinal) AS entity_type, arg_max(chunk_id, ordinal) AS chunk_id FROM entities WHERE chunk_id % 2 {} 0 GROUP BY name"
+
+
+@query(f"SELECT coalesce(b.name, d.name) AS name, coalesce(b.entity_type, d.entity_type) AS entity_type, coalesce(d.chunk_id, b.chunk_id) AS chunk_id FROM ({_NODES.format('=')}) b FULL JOIN ({_NODES.format('<>')}) d ON b.name = d.name")
+def incremental_nodes(t):
+    base, delta = (t["entities"].filter(f"chunk_id % 2 {sign} 0").groupBy("name").agg(F.max_by("entity_type", "ordinal").alias("entity_type"), F.lit("").alias("description"), F.max_by("chunk_id", "ordinal").alias("chunk_id")) for sign in ("=", "<>"))
+    return G.upsert_nodes(base, delta).select("name", "entity_type", "chunk_id")

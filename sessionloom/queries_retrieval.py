@@ -348,6 +348,28 @@ def viz_bands(t):
     return _round(X.relevance_bands(Flow(t).top), "score")
 
 
+@query("SELECT query_id, entity, row_number() OVER (PARTITION BY query_id ORDER BY p, entity) AS place FROM (SELECT query_id, entity, min(p) AS p FROM (SELECT query_id, src AS entity, rank AS p FROM toptriples UNION ALL SELECT query_id, lower(dst), rank FROM toptriples) WHERE entity IN (SELECT name FROM entities) GROUP BY query_id, entity) QUALIFY place <= 5")
+def entity_lookup(t):
+    top = Flow(t).top
+    wanted = top.select("query_id", F.col("rank").alias("place"), F.explode(F.array(F.col("src"), F.lower("dst"))).alias("entity")).groupBy("query_id", "entity").agg(F.min("place").alias("place"))
+    return S.lookup_entities(wanted, t["entities"].select(F.col("name").alias("node")), 5)
+
+
+@query("SELECT f.query_id, f.session_id, s.session_time, row_number() OVER (PARTITION BY f.query_id ORDER BY f.session_id) AS place FROM fused f JOIN sessions s ON s.session_id = f.session_id")
+def relevant_summaries(t):
+    return X.relevant_summaries(Flow(t).fused, t["sessions"].select("session_id", "session_time")).select("query_id", "session_id", "session_time", "place")
+
+
+@query("SELECT DISTINCT query_id, chunk_id FROM toptriples")
+def relationship_chunks(t):
+    return X.relationship_chunks(Flow(t).top)
+
+
+@query("SELECT query_id, session_id, round(score, 6) AS score, rank FROM (SELECT query_id, substr(node, 6) AS session_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, substr(node, 6)) AS rank FROM ranks WHERE starts_with(node, 'sess:')) WHERE rank <= 15")
+def ppr_rank_sessions(t):
+    return _round(P.rank_sessions(Flow(t).ranks, 15), "score")
+
+
 @query()
 def answer_flagship(t):
     from .plans.answering import answer_questions

@@ -299,3 +299,33 @@ def minmax_norm(t):
 def temporal_decay(t):
     gaps = t["dates"].select("id", T.time_gap("a", F.lit("1998/05/02")).alias("gap"))
     return gaps.crossJoin(F.broadcast(gaps.agg(F.greatest(F.median("gap"), F.lit(1.0)).alias("m")))).select("id", F.round(S.decay("gap", "m", 0.2), 6).alias("weight"))
+
+
+@query("SELECT event_type, round(sum(value), 6) AS total, count(*) AS n, round(avg(value), 6) AS mean, round(100 * sum(value) / (SELECT sum(value) FROM events), 6) AS percent FROM events GROUP BY event_type")
+def timer_stats(t):
+    rows = U.timers(t["events"], "event_type", "value")
+    return rows.select("event_type", *(F.round(c, 6).alias(c) if c != "n" else F.col(c) for c in ("total", "n", "mean", "percent")))
+
+
+@query(f"SELECT id, CASE id % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE {_EXACT} END AS label FROM answers")
+def judge_labels(t):
+    response = F.when(F.col("id") % 3 == 0, "Yes, it is").when(F.col("id") % 3 == 1, "No.")
+    return t["answers"].select("id", E.judge_label(response, F.col("expected"), F.col("output")).alias("label"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 100 THEN concat(substr(text, 1, 100), '...') ELSE text END AS preview FROM documents")
+def source_preview(t):
+    return t["documents"].select("doc_id", T.preview("text").alias("preview"))
+
+
+@query(f"SELECT chunk_id, CASE WHEN doc_id % 2 = 0 THEN concat(session_time, chr(10), text) ELSE text END AS text FROM ({_CHUNKS})")
+def chunk_with_time(t):
+    from .operators.context import with_time
+
+    return C.dialog_chunks(t["turns"]).select("chunk_id", with_time(F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.col("session_time"))).alias("text"))
+
+
+@query("SELECT question_type, n, CASE WHEN question_type = 'view' THEN 'Context insufficient to answer' ELSE question_type END AS answer FROM (SELECT event_type AS question_type, count(*) AS n FROM events GROUP BY event_type)")
+def default_answers(t):
+    rows = t["events"].groupBy(F.col("event_type").alias("question_type")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("question_type", "n", T.answer_or_default(F.when(F.col("question_type") != "view", F.col("question_type")).otherwise("0")).alias("answer"))

@@ -27,6 +27,18 @@ def upsert_batch(memory: Memory):
     return merge
 
 
+def ingest(memory: Memory, mentions: DataFrame, mode: str = "load") -> DataFrame:
+    """The memory's edges: ``load`` builds them only where there are none, ``force`` anew, ``add`` merges into what is there."""
+    if mode not in ("load", "force", "add"):
+        raise ValueError(mode)
+    last = memory.version("edges")
+    if last is None or mode == "force":
+        memory.write("edges", edge_state(mentions), 0 if last is None else last + 1)
+    elif mode == "add":
+        upsert_batch(memory)(mentions, last)
+    return memory.read("edges")
+
+
 def stream_mentions(spark: SparkSession, source: str, schema, root: str, checkpoint: str, files_per_batch: int = 1):
     """Starts the stream from a folder of mention files to the memory below ``root``; ends when all files are read."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)

@@ -71,6 +71,11 @@ def test_upserts_replay_and_repeat(spark, tmp_path):
     merge(mentions.filter("ordinal >= 6"), 1)
     assert sorted(map(str, store.read("edges").collect())) == whole
     assert streaming.replay(mentions).count() == len(whole)
+    other = Memory(spark, f"file://{tmp_path}/n")
+    first = streaming.ingest(other, mentions.filter("ordinal < 6")).count()
+    assert streaming.ingest(other, mentions).count() == first
+    assert sorted(map(str, streaming.ingest(other, mentions.filter("ordinal >= 6"), "add").collect())) == whole
+    assert streaming.ingest(other, mentions.filter("ordinal < 6"), "force").count() == first
 
 
 def test_session_windows_batch(spark):
