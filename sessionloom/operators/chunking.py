@@ -66,16 +66,22 @@ def dialog_chunks(turns: DataFrame, fixed: bool = False) -> DataFrame:
     return numbered(chunks, "doc_id", ["doc_id", "session_id", "pair"])
 
 
-def numbered(chunks: DataFrame, part: str, order: list[str]) -> DataFrame:
-    """Adds ``chunk_id``, a running number from 0 in the given order, by prefix sums over the parts' sizes.
+#: Documents that are numbered together.
+PART = 4096
 
-    Only one row for each part meets in one task; chunks are numbered within their part.
+
+def numbered(chunks: DataFrame, doc: str, order: list[str]) -> DataFrame:
+    """Adds ``chunk_id``, a running number from 0 in the given order, which starts with the document.
+
+    Chunks are numbered within ranges of PART documents and shifted by the sizes of the ranges before: one row for each
+    range, not each document, meets in one task.
     """
-    sizes = chunks.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order))
-    return chunks.withColumn("_place", inside).join(offsets, part).withColumn("chunk_id", (F.col("_before") + F.col("_place") - 1).cast("bigint")).drop("_place", "_before")
+    parted = chunks.withColumn("_part", F.floor(F.col(doc) / PART))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parted.withColumn("_place", inside).join(offsets, "_part").withColumn("chunk_id", (F.col("_before") + F.col("_place") - 1).cast("bigint")).drop("_place", "_before", "_part")
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
@@ -154,4 +160,4 @@ def document_chunks(docs: DataFrame, size: int = 1200, overlap: int = 100) -> Da
     """(chunk_id, doc_id, title, text, start_idx, end_idx, token_count) of (doc_id, title, text)."""
     whole = F.when(F.coalesce("title", F.lit("")) != "", F.concat_ws("\n\n", "title", "text")).otherwise(F.col("text"))
     rows = docs.select("doc_id", "title", F.posexplode(splitter(size, overlap)(whole)).alias("pos", "c"))
-    return numbered(rows.select("doc_id", "title", "pos", "c.*"), "doc_id", ["pos"]).drop("pos")
+    return numbered(rows.select("doc_id", "title", "pos", "c.*"), "doc_id", ["doc_id", "pos"]).drop("pos")

@@ -33,7 +33,7 @@ def anchor_seeds(entities: DataFrame, ordered: DataFrame, graph: DataFrame, mass
     """
     named = entities.filter(F.trim("entity") != "").select("query_id", F.trim("entity").alias("entity")).distinct()
     a, b = F.lower("entity"), F.lower("node")
-    pairs = ordered.join(F.broadcast(named), "query_id").filter(F.contains(a, b) | F.contains(b, a)).withColumn("order", F.struct((F.col("node") != F.col("entity")).alias("other"), "ordinal", "node"))
+    pairs = ordered.join(named, "query_id").filter(F.contains(a, b) | F.contains(b, a)).withColumn("order", F.struct((F.col("node") != F.col("entity")).alias("other"), "ordinal", "node"))
     picked = first_seen(pairs.select("query_id", "entity", "node", "order"), ["query_id", "entity"], "order").select("query_id", "node").distinct()
     return picked.join(node_degree(graph, ["query_id"]), ["query_id", "node"]).select("query_id", "node", (F.lit(mass) / F.greatest("degree", F.lit(1))).alias("score"))
 

@@ -89,7 +89,7 @@ def similar_entities(scores: DataFrame, nodes: DataFrame, wanted: DataFrame, k:
 def fuzzy_entities(terms: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
     """(term, node, score, rank): names equal to a term, or one within the other, apart from case. Empty terms match nothing."""
     t, n = F.lower("term"), F.lower("node")
-    pairs = nodes.join(F.broadcast(terms.filter(F.trim("term") != "")), F.contains(n, t) | F.contains(t, n)).withColumn("score", F.when(n == t, 1.0).otherwise(0.8))
+    pairs = nodes.join(terms.filter(F.trim("term") != ""), F.contains(n, t) | F.contains(t, n)).withColumn("score", F.when(n == t, 1.0).otherwise(0.8))
     return top_k(pairs.select("term", "node", "score"), k, ["term"], [F.desc("score"), F.col("node")])
 
 
@@ -114,7 +114,7 @@ def session_triples(edges: DataFrame, selected: DataFrame, scores: DataFrame, k:
 def summary_key_similarity(summaries: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, session_id, score): the mean name similarity of a query's terms and a summary's keys; 0 without keys."""
     keys = summaries.select("session_id", F.explode_outer(F.filter(F.transform(F.split("keys", ","), lambda k: F.trim(k)), lambda k: k != "")).alias("key"))
-    rows = keys.crossJoin(F.broadcast(terms.select("query_id", "term")))
+    rows = keys.crossJoin(terms.select("query_id", "term"))
     score = F.when(F.col("key").isNotNull(), name_similarity("term", "key")).otherwise(0.0)
     return rows.groupBy("query_id", "session_id").agg(F.avg(score).alias("score"))
 

@@ -21,3 +21,12 @@ def first_seen(rows: DataFrame, key: list[str], ordinal: str) -> DataFrame:
     rest = [c for c in rows.columns if c not in key]
     least = rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.col(ordinal)).alias("_r"))
     return least.select(*key, *(F.col(f"_r.{c}").alias(c) for c in rest))
+
+
+def number_rows(rows: DataFrame, name: str) -> DataFrame:
+    """Adds a running number from 0 in the order of the input's partitions, by prefix sums over the partitions' sizes."""
+    marked = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return marked.join(offsets, "_part").withColumn(name, (F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)).cast("bigint")).drop("_at", "_part", "_before")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import answer_or_default, build_context, date_prefix, evidence_prefix, parse_long_date
+from ..operators.topk import number_rows
 
 #: Folder suffixes of question types.
 SUFFIXES = {"single-session-user": "ssu", "single-session-assistant": "ssa", "single-session-preference": "ssp", "multi-session": "ms", "temporal-reasoning": "tr", "knowledge-update": "ku"}
@@ -69,16 +70,14 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, session_id, session_time, context, title) of a JSON array or of JSON lines, one line included."""
     rows = spark.read.schema(schemas.CORPUS).json(path, multiLine=starts_with_array(spark, path))
     stamp = F.translate(F.split_part(F.coalesce("session_time", F.lit("")), F.lit(" "), F.lit(1)), "-", "/")
-    rows = rows.select(F.monotonically_increasing_id().alias("_at"), "session_id", stamp.alias("session_time"), "context", "title")
-    return rows.withColumn("doc_id", F.row_number().over(Window.orderBy("_at")).cast("bigint") - 1).drop("_at")
+    return number_rows(rows.select("session_id", stamp.alias("session_time"), "context", "title"), "doc_id")
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """(id, question, answer, question_type, question_time, origin, label) of JSON lines; origin is always a list."""
     rows = spark.read.schema(schemas.QUESTIONS).json(path)
     origin = F.coalesce(F.from_json("origin", "array<string>"), F.array("origin"))
-    rows = rows.withColumn("origin", origin).withColumn("_at", F.monotonically_increasing_id())
-    return rows.withColumn("id", F.row_number().over(Window.orderBy("_at")).cast("bigint") - 1).drop("_at")
+    return number_rows(rows.withColumn("origin", origin), "id")
 
 
 def folder_index(rows: DataFrame, kind: str, order: str, taken: int = 0) -> DataFrame:
