@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,22 +18,12 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-#: Rows of an Arrow batch while an operator writes: whole texts travel in them.
+#: Rows of an Arrow batch in sessions that run these operators: whole texts travel in them, and the batch bounds what they
+#: take in a worker and in the executor beside it.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
 
 
-@contextmanager
-def small_batches(spark: SparkSession):
-    """Bounds what a batch of long texts takes in a worker and in the executor beside it."""
-    before = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, str(min(int(before), BATCH_ROWS)))
-    try:
-        yield
-    finally:
-        spark.conf.set(BATCH, before)
-
-
 class Workspace:
     """A folder of its own below the shared root, for the tables one operator writes and reads again."""
 
@@ -44,13 +33,14 @@ class Workspace:
         paths = spark.sparkContext.environment.get("PYTHONPATH", "")
         if root not in paths.split(":"):
             spark.sparkContext.environment["PYTHONPATH"] = ":".join(filter(None, (paths, root)))
+        if int(spark.conf.get(BATCH)) > BATCH_ROWS:
+            spark.conf.set(BATCH, str(BATCH_ROWS))
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and read it back: cuts the lineage and survives lost executors."""
         path = f"{self.path}/{name}"
-        with small_batches(self.spark):
-            df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

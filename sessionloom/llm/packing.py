@@ -46,6 +46,7 @@ def packer(path: str, kind: str, end_id: int, longest: int):
                         at += length
                         place += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 3 else pa.int64()) for k, x in enumerate(rows)], ["doc", "start", "length", "ids", "doc_tokens", "sequence_id"])
+        enc.trim()
 
     return task
 

@@ -159,6 +159,7 @@ def writer(root: str, path: str, kind: str, end_id: int):
             if docs:
                 out.write(segment(docs, ids))
                 n_docs, n_ids = n_docs + len(docs), n_ids + size
+        enc.trim()
         yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([part], pa.int64()), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], ["file", "number", "docs", "ids"])
 
     return task

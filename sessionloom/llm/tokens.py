@@ -11,9 +11,10 @@ import os
 import re
 from array import array
 from collections.abc import Iterable
+from itertools import islice
 
-#: Pieces that a worker keeps; beyond them pieces are encoded anew for each group of texts.
-KEEP = 800_000
+#: Pieces that a worker keeps within a task and from task to task; others are encoded anew for each group of texts.
+KEEP, HOLD = 600_000, 250_000
 
 
 class PieceEncoder:
@@ -58,6 +59,11 @@ class PieceEncoder:
             del known[x]
         return out
 
+    def trim(self) -> None:
+        """Lets go of all but the first pieces seen, which are the common ones: idle workers stay small."""
+        if len(self.known) > HOLD:
+            self.known = dict(islice(self.known.items(), HOLD))
+
 
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
 
