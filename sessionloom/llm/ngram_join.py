@@ -33,13 +33,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import Workspace, semi_by_id, shuffle_width
+from ._work import Workspace, routes, semi_by_id, shuffle_width
 from ._words import mix, shingle_sets
 from .components import connected_components
 
 #: log2 of the level table's slots (a byte each), the rows it travels in, the sets of one trie, and the most classes of a
 #: shingle paired directly. A larger table tells rare shingles apart better; results do not depend on it.
-LEVEL_BITS, LEVEL_ROWS, TRIE_SETS, CROWD = 22, 16, 256, 64
+LEVEL_BITS, LEVEL_ROWS, TRIE_SETS, CROWD = 22, 16, 512, 64
 _PLACE = np.uint64(6)
 
 
@@ -68,16 +68,16 @@ def distinct_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.n
                 yield cls, tokens
 
 
-def dealt_shingles(buckets: int):
+def dealt_shingles(keys: list[int]):
     """Task function: the lower halves of all shingles, dealt out by their upper halves."""
 
     def pack(parts: list[np.ndarray]) -> pa.RecordBatch:
         tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        to = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        to = ((tokens >> np.uint64(32)) * np.uint64(len(keys)) >> np.uint64(32)).astype(np.int32)
         order = np.argsort(to, kind="stable")
         low, to = tokens[order].astype(np.uint32), to[order]
-        keys, first = np.unique(to, return_index=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x.tobytes() for x in np.split(low, first[1:])] if len(keys) else [], pa.binary())], ["bucket", "rows"])
+        found, first = np.unique(to, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array([keys[k] for k in found], pa.int32()), pa.array([x.tobytes() for x in np.split(low, first[1:])] if len(found) else [], pa.binary())], ["bucket", "rows"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -136,16 +136,16 @@ def prefix_size(n: int) -> int:
 _POSTING = np.dtype([("tok", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
 
-def postings(level: Broadcast, buckets: int):
+def postings(level: Broadcast, keys: list[int]):
     """Task function: prefix postings of each class once a task, packed by bucket of the shingle."""
 
     def pack(parts: list[np.ndarray]) -> pa.RecordBatch:
         rows = np.concatenate(parts) if parts else np.zeros(0, _POSTING)
-        to = (mix(rows["tok"]) % np.uint64(buckets)).astype(np.int64)
+        to = (mix(rows["tok"]) % np.uint64(len(keys))).astype(np.int64)
         order = np.argsort(to, kind="stable")
         rows, to = rows[order], to[order]
-        keys, first = np.unique(to, return_index=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array([x.tobytes() for x in np.split(rows, first[1:])] if len(keys) else [], pa.binary())], ["bucket", "rows"])
+        found, first = np.unique(to, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array([keys[k] for k in found], pa.int32()), pa.array([x.tobytes() for x in np.split(rows, first[1:])] if len(found) else [], pa.binary())], ["bucket", "rows"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -301,8 +301,8 @@ def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_co
     work, width = Workspace(spark, "ngram-join"), 2 * shuffle_width(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     signs = work.save(docs.mapInArrow(describe, "doc long, cls long, n long"), "signed")
-    buckets = 8 * width
-    tables = docs.mapInArrow(dealt_shingles(buckets), "bucket int, rows binary").repartition(width, "bucket").mapInArrow(counted_levels, "part long, levels binary")
+    keys = routes(spark, width)
+    tables = docs.mapInArrow(dealt_shingles(keys), "bucket int, rows binary").repartition(width, "bucket").mapInArrow(counted_levels, "part long, levels binary")
     tables = work.save(tables, "levels").repartition(LEVEL_ROWS, "part").mapInArrow(merged_levels, "part long, levels binary")
     level = np.zeros((LEVEL_ROWS, (1 << LEVEL_BITS) // LEVEL_ROWS), np.uint8)
     for row in tables.collect():
@@ -310,7 +310,7 @@ def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_co
     level = spark.sparkContext.broadcast(level.reshape(-1))
     classes = work.save(signs.filter("n > 0").groupBy("cls").agg(F.min("doc").alias("rep"), F.min("n").alias("n")), "classes")
 
-    dealt = docs.mapInArrow(postings(level, buckets), "bucket int, rows binary").repartition(width, "bucket")
+    dealt = docs.mapInArrow(postings(level, keys), "bucket int, rows binary").repartition(width, "bucket")
     posts = work.save(dealt.mapInArrow(shared_postings, "tok long, cls long, n long, pos long, leader long"), "posts")
 
     led = posts.filter("cls <> leader").groupBy("cls", "leader").agg(F.count(F.lit(1)).alias("shared"))
@@ -347,9 +347,9 @@ def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_co
     main = crowds.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("tok").agg(F.max(F.struct("size", "comp")).alias("top")).select("tok", F.col("top.comp").alias("main"))
     fews = few.groupBy("rep").agg(F.count(F.lit(1)).alias("fews"))
     strays = crowds.join(main, "tok").filter("comp <> main").join(in_crowds, "rep").join(fews, "rep", "left").fillna(0, ["fews"]).select("tok", "rep", "comp", "n", "pos", (F.col("crowds") + F.col("fews")).alias("shared"))
-    targets = crowds.groupBy("tok", "cell", "cell_salt").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.expr("9 * pos <= n")).alias("early"))
+    targets = crowds.groupBy("tok", "cell", "cell_salt").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.expr("CASE WHEN 9 * pos <= n THEN n END")).alias("early"))
     # the first shingle that linked sets share is within the first ninth of the smaller one
-    visits = strays.join(targets, "tok").filter("(9 * pos <= n or early) and 5 * n >= 4 * least and 4 * n <= 5 * most and not (lo = comp and hi = comp)")
+    visits = strays.join(targets, "tok").filter("(9 * pos <= n and most >= n or early <= n) and 5 * n >= 4 * least and 4 * n <= 5 * most and not (lo = comp and hi = comp)")
     visits = visits.groupBy("cell", "cell_salt", "rep", "comp").agg(F.min("shared").alias("shared"), F.min("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
     # at most this many prefix shingles are shared with any set of the cell; the bound is largest at an extreme size
     rest = "9 * (shared + greatest(n - (n - ceil(n * 4 / 5) + 1), {m} - ({m} - ceil({m} * 4 / 5) + 1))) >= 4 * (n + {m})"

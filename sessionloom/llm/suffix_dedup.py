@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import Workspace, semi_by_id, shuffle_width
+from ._work import Workspace, routes, semi_by_id, shuffle_width
 from ._words import mix, powers, text_chunks
 
 #: Bytes of a repeated string, of an anchor, and the anchors' places in a window.
@@ -85,7 +85,7 @@ def _packed(rows: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.
     return order, keys, first
 
 
-def anchors(buckets: int):
+def anchors(keys: list[int]):
     """Task function over (doc, text): anchors by bucket."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,9 +94,9 @@ def anchors(buckets: int):
         def flush() -> pa.RecordBatch:
             rows = np.concatenate(parts) if parts else np.zeros(0, _ANCHORS)
             parts.clear()
-            order, keys, first = _packed(rows, buckets)
+            order, found, first = _packed(rows, len(keys))
             rows = rows[order]
-            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array([x.tobytes() for x in np.split(rows, first[1:])] if len(keys) else [], pa.binary())], ["bucket", "rows"])
+            return pa.RecordBatch.from_arrays([pa.array([keys[k] for k in found], pa.int32()), pa.array([x.tobytes() for x in np.split(rows, first[1:])] if len(found) else [], pa.binary())], ["bucket", "rows"])
 
         for batch in batches:
             for ids, data, bounds in text_chunks(batch.column(0), batch.column(1)):
@@ -133,7 +133,7 @@ def recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _by_doc(doc[order], off[order], "offs")
 
 
-def slices(buckets: int):
+def slices(keys: list[int]):
     """Task function over (doc, text, recurring offsets): slices by bucket of their anchor, and marks (bucket -1 - n)."""
 
     def cut(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -170,15 +170,15 @@ def slices(buckets: int):
                     span = np.stack([off[marks], off[marks] + lengths[marks]], 1).astype("<u4")
                     order = np.argsort(ids[row[marks]], kind="stable")
                     for done in _by_doc(ids[row[marks]][order], span[order], "spans"):
-                        yield pa.RecordBatch.from_arrays([pa.array((mix(done.column(0).to_numpy().astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)), done.column(0), done.column(1), pa.array([b""] * len(done), pa.binary())], ["bucket", "doc", "meta", "bytes"])
+                        yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in mix(done.column(0).to_numpy().astype(np.uint64)) % np.uint64(len(keys))], pa.int32()), done.column(0), done.column(1), pa.array([b""] * len(done), pa.binary())], ["bucket", "doc", "meta", "bytes"])
                 rest = np.flatnonzero(~same)
                 meta = np.empty(len(rest), _SLICES)
                 meta["hash"], meta["doc"], meta["off"], meta["windows"] = hashes[rest], ids[row[rest]], off[rest], windows[rest]
-                order, keys, begin = _packed(meta, buckets)
+                order, found, begin = _packed(meta, len(keys))
                 meta, rest = meta[order], rest[order]
                 text = cut(data, first[rest], lengths[rest])
                 cuts = np.concatenate(([0], np.cumsum(lengths[rest])))[begin]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.nulls(len(keys), pa.int64()), pa.array([x.tobytes() for x in np.split(meta, begin[1:])], pa.binary()), pa.array([x.tobytes() for x in np.split(text, cuts[1:])], pa.binary())], ["bucket", "doc", "meta", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in found], pa.int32()), pa.nulls(len(found), pa.int64()), pa.array([x.tobytes() for x in np.split(meta, begin[1:])], pa.binary()), pa.array([x.tobytes() for x in np.split(text, cuts[1:])], pa.binary())], ["bucket", "doc", "meta", "bytes"])
 
     return task
 
@@ -343,11 +343,11 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     ids = copies.select("doc")
     base = docs.filter(f"octet_length(text) >= {SPAN}").join(F.broadcast(ids) if n_copies <= 500_000 else ids, "doc", "left_anti")
 
-    buckets = 8 * width
-    found = base.mapInArrow(anchors(buckets), "bucket int, rows binary").repartition(width, "bucket").mapInArrow(recurring, "doc long, offs binary")
+    keys = routes(spark, width)
+    found = base.mapInArrow(anchors(keys), "bucket int, rows binary").repartition(width, "bucket").mapInArrow(recurring, "doc long, offs binary")
     live = work.save(found.groupBy("doc").agg(F.collect_list("offs").alias("offs")), "live")
     texts = semi_by_id(base, live.select("doc"), "doc", live.count()).join(live, "doc").select("doc", "text", "offs")
-    dealt = texts.mapInArrow(slices(buckets), "bucket int, doc long, meta binary, bytes binary").repartition(width, "bucket")
+    dealt = texts.mapInArrow(slices(keys), "bucket int, doc long, meta binary, bytes binary").repartition(width, "bucket")
     spans = work.save(dealt.mapInArrow(repeats, "doc long, spans binary").groupBy("doc").agg(F.collect_list("spans").alias("spans")), "spans")
 
     n_cut = spans.count()
