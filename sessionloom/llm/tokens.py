@@ -8,14 +8,28 @@ tokenizer whole. Strings of special tokens are ordinary text.
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from collections.abc import Iterable
 from itertools import islice
 
+import numpy as np
+
 #: Pieces that a worker keeps within a task and from task to task; others are encoded anew for each group of texts.
 KEEP, HOLD = 600_000, 250_000
 
+MARK = "|"
+#: White space other than space, line feed, tab and carriage return.
+SPACES = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _latin(text: str) -> bool:
+    """Whether all characters are Latin-1: there, lower case is one character for one and nothing composes."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
 
 class PieceEncoder:
     """Ids, as little-endian unsigned 32-bit bytes, of texts by one tokenizer file."""
@@ -27,30 +41,51 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = kind == "byte"  # a piece takes the space before it along
-        self.odd = re.compile(r"[^\S \n]|  | \n|\n |\n\n\n|^\s|\s\Z" if self.spaced else r"[^\S \n\r\t]")
+        self.marker = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
         self.known: dict[str, bytes] = {"": b""}
         self.stops = dict(zip(".,", self._encode([".", ","]), strict=True))
 
+    def odd(self, text: str) -> bool:
+        """Whether the text has white space that is not simple: substring searches, no regular expression."""
+        if any(c in text for c in SPACES):
+            return True
+        return self.spaced and bool(text) and (any(c in text for c in ("\t", "\r", "  ", " \n", "\n ", "\n\n\n")) or text[0] in " \n" or text[-1] in " \n")
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        if self.spaced:
+            return self._encode([x if x[0] == "\n" else " " + x for x in pieces])
+        if any(MARK in x for x in pieces):
+            return self._encode(pieces)
+        out: list[bytes] = []  # several pieces to a text, a mark that none of them has between them
+        for x in self.tokenizer.encode_batch_fast([f" {MARK} ".join(pieces[k : k + 64]) for k in range(0, len(pieces), 64)], add_special_tokens=False):
+            ids = np.array(x.ids, "<u4")
+            raw, at = ids.tobytes(), 0
+            for k in (4 * np.flatnonzero(ids == self.marker)).tolist():
+                out.append(raw[at:k])
+                at = k + 4
+            out.append(raw[at:])
+        return out
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: Iterable[str]) -> list[bytes]:
         pieces: list[list[str] | str] = []
         for text in texts:
-            if self.odd.search(text):
+            if self.odd(text):
                 pieces.append(text)
             elif self.spaced:
                 pieces.append(("\n" + text).replace("\n", " \n").split(" ") if text else [])
             else:
-                pieces.append(text.split())
+                pieces.append((text.lower() if text.isascii() or _latin(text) else text).split())
         known = self.known
         fresh = list(set().union(*(x for x in pieces if isinstance(x, list))).difference(known))
         # a stop or comma after nothing but letters is a token of its own: such pieces are put together
         stopped = [x for x in fresh if x[-1] in ".," and x[:-1].isalpha()]
         alone = list(set(fresh).difference(stopped).union(x[:-1] for x in stopped).difference(known))
-        for lo in range(0, len(alone), 20_000):
-            own = alone[lo : lo + 20_000]
-            known.update(zip(own, self._encode([x if x[0] == "\n" else " " + x for x in own] if self.spaced else own), strict=True))
+        for own in ([x for x in alone if MARK not in x], [x for x in alone if MARK in x]):
+            for lo in range(0, len(own), 20_000):
+                known.update(zip(own[lo : lo + 20_000], self._encode_pieces(own[lo : lo + 20_000]), strict=True))
         known.update([(x, known[x[:-1]] + self.stops[x[-1]]) for x in stopped])
         fresh = alone + stopped
         skip = 4 if self.spaced else 0  # the id of the line feed set before the text
