@@ -30,6 +30,18 @@ def channel_b(scored: DataFrame, k: int) -> DataFrame:
     return top_k(scored, k, ["query_id"], [F.desc("score"), F.col("ordinal"), F.col("src"), F.col("dst")])
 
 
+def contenders(scores: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """The scores (query_id, id, score) that can reach a question's top k among items (vec): fewer than k items score higher.
+
+    Items share vectors; counting them by vector first keeps all others out of the join with the items.
+    """
+    sizes = items.groupBy(F.col("vec").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("query_id").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    level = Window.partitionBy("query_id", "score")
+    rows = scores.join(sizes, "id").withColumn("_higher", F.sum("_n").over(upto) - F.sum("_n").over(level))
+    return rows.filter(F.col("_higher") < k).select("query_id", "id", "score")
+
+
 def channel_b_sessions(top: DataFrame) -> DataFrame:
     """(query_id, session_id, score, triples): the greatest score of each session, above 0, and its triples."""
     rows = top.groupBy("query_id", "session_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("triples"))

@@ -41,7 +41,8 @@ class Flow:
 
     @kept
     def top(self):
-        return S.channel_b(self.edges.join(self.cos, F.col("vec") == F.col("id")).drop("id"), 20)
+        scores = S.contenders(self.cos, self.edges, 20)
+        return S.channel_b(self.edges.join(scores, F.col("vec") == F.col("id")).drop("id"), 20)
 
     @property
     def a(self):
