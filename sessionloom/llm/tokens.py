@@ -15,7 +15,7 @@ from itertools import islice
 import numpy as np
 
 #: Pieces that a worker keeps within a task and from task to task; others are encoded anew for each group of texts.
-KEEP, HOLD = 600_000, 250_000
+KEEP, HOLD = 700_000, 400_000
 
 MARK = "|"
 #: White space other than space, line feed, tab and carriage return.
