@@ -14,6 +14,7 @@ class Fusion:
     top_triples: int = 20
     alpha: float = 0.5
     sessions: int = 15
+    prompt_summaries: int = 2
     rrf_k: int = 60
     rrf_weights: tuple[float, float] = (0.6, 0.4)
     rrf_pools: tuple[int, int] = (15, 10)

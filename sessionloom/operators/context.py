@@ -48,11 +48,12 @@ def chunk_fallback(wanted: DataFrame, chunks: DataFrame, edges: DataFrame, k: in
     return rows.select("chunk_id", F.coalesce("text", "made").alias("text"))
 
 
-def prompt(question: Column, triples: Column, chunks: Column, summaries: Column) -> Column:
-    """The prompt of a question; a missing part is named as such, the summaries' part only appears where there is one."""
+def prompt(question: Column, triples: Column, chunks: Column, summaries: Column, question_time: Column | None = None) -> Column:
+    """The prompt of a question; a missing part is named as such, the summaries' and the time's only appear where there is one."""
     part = lambda title, c: F.concat(F.lit(f"{title}:\n"), F.coalesce(F.nullif(c, F.lit("")), F.lit(NONE)), F.lit("\n\n"))
     with_summaries = F.when(F.coalesce(summaries, F.lit("")) != "", part("Session summaries", summaries)).otherwise("")
-    return F.concat(F.lit("Answer from the memory below; say so if it is not enough.\n\n"), part("Facts", triples), part("Passages", chunks), with_summaries, F.lit("Question: "), question)
+    asked = F.lit("") if question_time is None else F.when(F.coalesce(question_time, F.lit("")) != "", F.concat(F.lit("Question time: "), question_time, F.lit("\n"))).otherwise("")
+    return F.concat(F.lit("Answer from the memory below; say so if it is not enough.\n\n"), part("Facts", triples), part("Passages", chunks), with_summaries, asked, F.lit("Question: "), question)
 
 
 def relevance_bands(triples: DataFrame) -> DataFrame:

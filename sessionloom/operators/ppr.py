@@ -44,10 +44,14 @@ def anchor_argmax(scores: DataFrame, nodes: DataFrame, mass: float = 0.2) -> Dat
     return top_k(rows, 1, ["query_id"], [F.desc("score"), F.col("node")]).select("query_id", "node", F.lit(mass).alias("score"))
 
 
-def session_seeds(fused: DataFrame, latest: DataFrame, question_time: str, weight: float = 0.5, exponent: float = 0.2) -> DataFrame:
-    """(query_id, node, score): selected sessions by fusion score and the decay of their age relative to the median's."""
+def session_seeds(fused: DataFrame, latest: DataFrame, question_time: str | DataFrame, weight: float = 0.5, exponent: float = 0.2) -> DataFrame:
+    """(query_id, node, score): selected sessions by fusion score and the decay of their age relative to the median's.
+
+    ``question_time``: one for all questions, or (query_id, question_time); a blank or missing one gives no age.
+    """
     rows = fused.select("query_id", F.concat(F.lit("sess:"), "session_id").alias("node"), "fusion").join(latest.select("query_id", F.col("session").alias("node"), "latest"), ["query_id", "node"], "left")
-    rows = rows.withColumn("gap", F.when(F.col("latest").isNotNull(), time_gap(F.lit(question_time), "latest")).otherwise(0.0))
+    rows = rows.withColumn("question_time", F.lit(question_time)) if isinstance(question_time, str) else rows.join(question_time, "query_id", "left")
+    rows = rows.withColumn("gap", F.when(F.col("latest").isNotNull(), time_gap("question_time", "latest")).otherwise(0.0))
     rows = rows.withColumn("median", F.greatest(F.median("gap").over(Window.partitionBy("query_id")), F.lit(1.0)))
     return rows.select("query_id", "node", (weight * F.col("fusion") * decay("gap", "median", exponent)).alias("score")).filter("score > 0")
 

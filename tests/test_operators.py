@@ -144,3 +144,27 @@ def test_readers(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps([group]))
     groups = ingest.read_groups(spark, f"file://{tmp_path}/b.json").withColumn("group_id", F.lit(1))
     assert [tuple(r) for r in ingest.group_sessions(groups).collect()] == [(1, 1, "D1", "2023/05/08", '"A": "t (attached is cat)"')]
+
+
+def test_answers_use_names_synonyms_times_and_summaries(spark):
+    from sessionloom.plans.answering import answer, build_memory
+
+    said = ["Alice met Robert in Paris. Robert likes Chess very much indeed.", "Zoe visited Oslo with Yann. Yann likes Skiing in winter snow.", "robert! Then ROBERT saw Berlin. Berlin pleased Carla a lot."]
+    turns = spark.createDataFrame([(i, f"S{i}", f"2024/01/{1 + 9 * i:02d}", 0, "user", f"so. {x}") for i, x in enumerate(said)], "doc_id bigint, session_id string, session_time string, turn int, speaker string, content string")
+    memory = build_memory(turns)
+    schema = "query_id bigint, question string, question_time string"
+    seeds, ranked = [], ppr.seeds
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ppr, "seeds", lambda *x: seeds.append(x) or ranked(*x))
+        rows = answer(spark.createDataFrame([(1, "What of Chess and Skiing?", "2024/01/01"), (2, "What of Chess and Skiing?", "2024/03/01 (Fri)"), (3, "what then", None)], schema), memory).collect()
+    _, anchors, sessions = seeds[0]
+    assert {(r.query_id, r.node) for r in anchors.collect()} == {(q, n) for q in (1, 2) for n in ("Chess", "Skiing")}
+    by_time = {(r.query_id, r.node): r.score for r in sessions.collect()}
+    assert any(by_time[1, n] != by_time[2, n] for q, n in by_time if q == 1)
+    prompts = {r.query_id: r.prompt for r in rows}
+    assert all("Session summaries:\nSession S" in prompts[q] and prompts[q].count("\n  Keys: ") == 2 for q in (1, 2))
+    assert "Question time: 2024/03/01 (Fri)\n" in prompts[2] and "Question time" not in prompts[3]
+    from sessionloom.plans.answering import local_synonyms
+
+    nodes = spark.createDataFrame([(1, "Robert"), (1, "ROBERT"), (1, "Oslo"), (2, "robert")], "query_id bigint, node string")
+    assert {(r.query_id, r.src, r.dst, round(r.score, 6)) for r in local_synonyms(nodes, 64, 0.8).collect()} == {(1, "Robert", "ROBERT", 1.0), (1, "ROBERT", "Robert", 1.0)}
