@@ -295,6 +295,18 @@ def _salted(rows: DataFrame, key: list[str], by: str) -> DataFrame:
     return rows.join(parts, key).withColumn("salt", F.expr(f"pmod(xxhash64({by}), parts)")).drop("parts")
 
 
+def reachable() -> str:
+    """SQL condition over (n, shared, least, most): a set of n shingles can be linked to one of a cell's sizes.
+
+    At most ``shared`` prefix shingles are common. For the prefix of n the bound is loosest at the least size m. For the
+    prefix of m, 9 * ceil(0.8 m) - 4 m grows by 5 from one m to the next and falls by 4 only from 5 k + 4 to 5 k + 5: it is
+    loosest at the greatest size or the one below.
+    """
+    rest = "9 * (shared + greatest(n - (n - ceil(n * 4 / 5) + 1), {m} - ({m} - ceil({m} * 4 / 5) + 1))) >= 4 * (n + {m})"
+    low, high = "greatest(least, ceil(n * 4 / 5))", "least(most, floor(n * 5 / 4))"
+    return " or ".join(f"({rest.format(m=m)})" for m in (low, high, f"greatest({low}, {high} - 1)"))
+
+
 def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each document."""
     spark = documents.sparkSession
@@ -351,10 +363,7 @@ def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_co
     # the first shingle that linked sets share is within the first ninth of the smaller one
     visits = strays.join(targets, "tok").filter("(9 * pos <= n and most >= n or early <= n) and 5 * n >= 4 * least and 4 * n <= 5 * most and not (lo = comp and hi = comp)")
     visits = visits.groupBy("cell", "cell_salt", "rep", "comp").agg(F.min("shared").alias("shared"), F.min("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
-    # at most this many prefix shingles are shared with any set of the cell; the bound is largest at an extreme size
-    rest = "9 * (shared + greatest(n - (n - ceil(n * 4 / 5) + 1), {m} - ({m} - ceil({m} * 4 / 5) + 1))) >= 4 * (n + {m})"
-    sizes = ("greatest(least, ceil(n * 4 / 5))", "least(most, floor(n * 5 / 4))")
-    visits = visits.filter(" or ".join(f"({rest.format(m=m)})" for m in sizes)).select("cell", "cell_salt", "rep", "comp")
+    visits = visits.filter(reachable()).select("cell", "cell_salt", "rep", "comp")
     visits = work.save(_salted(visits, ["cell", "cell_salt"], "rep").withColumn("salt", F.expr("shiftleft(cell_salt, 20) + salt")), "visits")
     hosts = visits.select("cell", "cell_salt", "salt").distinct().join(placed.select("cell", "cell_salt", F.col("rep").alias("doc"), F.col("comp").alias("part")), ["cell", "cell_salt"])
     members = hosts.select(F.col("cell").alias("a"), "salt", "doc", "part", F.lit(False).alias("probe"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from sessionloom.llm import decontam, license_scan, packing, pii, quality, quotes, token_files, warc
 from sessionloom.llm import suffix_dedup as sd
-from sessionloom.llm.ngram_join import near_duplicate_classes
+from sessionloom.llm.ngram_join import near_duplicate_classes, reachable
 from sessionloom.llm.registry import tokenizer_path
 from sessionloom.llm.tokens import PieceEncoder
 
@@ -327,3 +327,20 @@ def test_text_chunks_respect_slices():
     texts = pa.array(["ab", None, "", "cdé"])[1:]
     got = [(k.tolist(), bytes(d), b.tolist()) for k, d, b in text_chunks(pa.array([1, 2, 3]), texts)]
     assert got == [([1, 2, 3], "cdé".encode(), [0, 0, 0, 4])]
+
+
+def test_crowd_visits_reach_every_size_of_a_cell(spark):
+    up, cells, expected = lambda m: -(-4 * m // 5), [], {}
+    for n in range(1, 45):
+        for least in range(up(n) - 1, n * 5 // 4 + 2):
+            for most in range(least, n * 5 // 4 + 2):
+                for shared in range(1, n // 5 + 3):
+                    sizes = [m for m in range(max(least, up(n)), min(most, n * 5 // 4) + 1)]
+                    if sizes:
+                        cells.append((n, shared, least, most))
+                        expected[cells[-1]] = any(9 * (shared + max(up(n), up(m)) - 1) >= 4 * (n + m) for m in sizes)
+    cells += [(123, 9, 126, 130)]
+    expected[cells[-1]] = True
+    assert expected[13, 1, 12, 15] and expected[13, 1, 13, 15] and not all(expected.values())
+    rows = spark.createDataFrame(cells, "n bigint, shared bigint, least bigint, most bigint")
+    assert {tuple(r) for r in rows.filter(reachable()).collect()} == {k for k, v in expected.items() if v}
