@@ -7,7 +7,9 @@
    first message of all others with that hash; a whole passage counts before its longest line. Originals are reduced
    to one per hash and conversation, and to one per hash, before they meet passages: a common text makes no pairs.
 4. A message replies to what its first passage of the lowest linked level quotes. Conversations linked across are one
-   thread; in a thread ``order_conv, order_turn, is_reply, conv_id, turn`` sorts a reply after what it replies to.
+   thread. A message comes after what it replies to, one that replies to nothing after the turn before it: ``depth`` is
+   its distance to the start of that chain, ``position`` its number, from 0, in its thread by depth, conversation and
+   turn. Where conversations quote each other in a circle, the circle's first message starts the chain.
 5. The text of a message goes on without quoted lines and the attribution line before them.
 
 Cases: null texts are empty; passages without letters or digits link to nothing; quotes of unknown text have no target;
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._work import Workspace
+from ._work import Workspace, shuffle_width
 from .components import connected_components
 
 QUOTE = r"^(?:[ \t]*>)+"
@@ -32,7 +34,7 @@ def normalised(text: Column) -> Column:
 
 
 def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, turn, role, text, n_quoted_lines, n_passages, n_linked, reply_conv, reply_turn, thread_id, order_conv, order_turn, is_reply)."""
+    """(conv_id, turn, role, text, n_quoted_lines, n_passages, n_linked, reply_conv, reply_turn, thread_id, order_conv, order_turn, is_reply, depth, position)."""
     work = Workspace(messages.sparkSession, "quotes")
     rows = messages.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("lines", F.split("text", "\n"))
@@ -69,14 +71,55 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
     reply = linked.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_linked"), F.min(F.struct("level", "passage", "to_conv", "to_turn")).alias("to"))
     passages = whole.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_passages"))
     threads = connected_components(linked.filter("to_conv <> conv_id").select(F.col("conv_id").alias("a"), F.col("to_conv").alias("b")).distinct(), work, "threads")
-    out = rows.join(passages, ["conv_id", "turn"], "left").join(reply, ["conv_id", "turn"], "left").join(threads.withColumnRenamed("node", "conv_id"), "conv_id", "left")
+    reply = work.save(reply, "reply")
+    depths = chain_depths(rows.select("conv_id", "turn").distinct(), reply, work)
+    out = rows.join(passages, ["conv_id", "turn"], "left").join(reply, ["conv_id", "turn"], "left").join(threads.withColumnRenamed("node", "conv_id"), "conv_id", "left").join(depths, ["conv_id", "turn"], "left")
+    out = numbered(out.withColumn("depth", F.coalesce("depth", F.lit(0))).withColumn("thread", F.coalesce("component", "conv_id")), work)
     return out.select(
         F.col("conv_id").alias(conv), F.col("turn").alias(turn), F.col("role").alias(role), F.col("body").alias(text), "n_quoted_lines", F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
-        F.col("to.to_conv").alias("reply_conv"), F.col("to.to_turn").alias("reply_turn"), F.coalesce("component", "conv_id").alias("thread_id"),
-        F.coalesce("to.to_conv", "conv_id").alias("order_conv"), F.coalesce("to.to_turn", "turn").alias("order_turn"), F.col("to").isNotNull().alias("is_reply"),
+        F.col("to.to_conv").alias("reply_conv"), F.col("to.to_turn").alias("reply_turn"), F.col("thread").alias("thread_id"),
+        F.coalesce("to.to_conv", "conv_id").alias("order_conv"), F.coalesce("to.to_turn", "turn").alias("order_turn"), F.col("to").isNotNull().alias("is_reply"), "depth", "position",
     )
 
 
+def chain_depths(nodes: DataFrame, reply: DataFrame, work: Workspace) -> DataFrame:
+    """(conv_id, turn, depth) of messages (conv_id, turn): steps along replies ``to``, else the turn before, to the chain's start.
+
+    Each round doubles the steps that a message knows (``up``, ``depth``); ``low`` is the first message among them. When
+    neither the open messages nor their ``low`` change, the open ones lead into circles; a circle's first message sees
+    itself as ``low`` and becomes a start. Messages whose start is known are not joined again.
+    """
+    before = F.lag(F.struct("conv_id", "turn")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    state = nodes.withColumn("before", before).join(reply.select("conv_id", "turn", F.struct("to.to_conv", "to.to_turn").cast("struct<conv_id:bigint,turn:bigint>").alias("target")), ["conv_id", "turn"], "left")
+    first = state = work.save(state.select(F.struct("conv_id", "turn").alias("node"), F.coalesce("target", "before").alias("up")), "chains")
+    start = lambda df: df.select("node", "up", F.col("up").isNotNull().cast("long").alias("depth"), F.col("up").alias("low"))
+    state, seen, round_no = start(first), None, 0
+    while True:
+        state = work.save(state, f"chains-{round_no}")
+        now = state.filter("up IS NOT NULL").agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "low").cast("decimal(38,0)"))).first()
+        if not now[0]:
+            return state.select("node.conv_id", "node.turn", "depth")
+        round_no += 1
+        ended, going = state.filter("up IS NULL"), state.filter("up IS NOT NULL")
+        if now == seen:
+            again = first.join(going.select("node", (F.col("low") == F.col("node")).alias("cut")), "node").select("node", F.when(~F.col("cut"), F.col("up")).alias("up"))
+            state, seen = ended.unionByName(start(again)), None
+            continue
+        seen, done = now, state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("low").alias("lower"))
+        going = going.join(done, "up", "left").select("node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.least("low", "lower").alias("low"))
+        state = ended.unionByName(going)
+
+
+def numbered(rows: DataFrame, work: Workspace) -> DataFrame:
+    """Adds ``position``: the number in its thread by depth, conv_id and turn, by ranges, so that a thread can be of any size."""
+    order = ["depth", "conv_id", "turn", "role", "text"]
+    parts = work.save(rows.repartitionByRange(shuffle_width(work.spark), "thread", *order).withColumn("part", F.spark_partition_id()), "parts")
+    earlier = Window.partitionBy("thread").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.groupBy("thread", "part").agg(F.count(F.lit(1)).alias("size")).select("thread", "part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
+    own = F.row_number().over(Window.partitionBy("thread", "part").orderBy(*order))
+    return parts.withColumn("own", own).join(offsets, ["thread", "part"]).withColumn("position", F.col("offset") + F.col("own") - 1)
+
+
 def _two_firsts(met: DataFrame) -> DataFrame:
     """(hash, first, second): the first messages of the two first conversations that have a hash."""
     first = met.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
@@ -84,7 +127,7 @@ def _two_firsts(met: DataFrame) -> DataFrame:
     return first.join(second, "hash", "left")
 
 
-def conversations(linked: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def conversations(linked: DataFrame, role: str = "role", text: str = "text") -> DataFrame:
     """(thread_id, messages): each thread's messages in reply order, without quotes."""
-    message = F.struct("order_conv", "order_turn", "is_reply", F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("content"))
+    message = F.struct("position", F.col(role).alias("role"), F.col(text).alias("content"))
     return linked.groupBy("thread_id").agg(F.transform(F.array_sort(F.collect_list(message)), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))

@@ -196,6 +196,15 @@ def test_quotes(spark):
     assert quotes.link_quotations(frame.limit(0)).count() == 0
 
 
+def test_quotes_order_chains_across_conversations(spark):
+    rows = [(1, 0, "> the third\nthe start"), (1, 1, "> the start\nafter it"), (5, 0, "zero"), (5, 1, "one"), (5, 2, "two"), (5, 3, "the third"), (7, 0, "> pong\nping"), (8, 0, "> ping\npong"), (8, 1, "end"), (6, 0, "> pong\ntail")]
+    frame = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id bigint, turn bigint, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotations(frame).collect()}
+    order = lambda thread: [(r.conv_id, r.turn) for r in sorted((r for r in got.values() if r.thread_id == thread), key=lambda r: r.position)]
+    assert order(1) == [(5, 0), (5, 1), (5, 2), (5, 3), (1, 0), (1, 1)] and order(6) == [(7, 0), (8, 0), (6, 0), (8, 1)]
+    assert [got[k].depth for k in order(6)] == [0, 1, 2, 2] and [got[k].position for k in order(1)] == list(range(6))
+
+
 TRICKY = ["", " ", "a  b", "\n\n\nx", "x\n\ny \n", "\tz", "don't we'll  go", "a b", "x\x1cy z", "Ünïcödé, très.  bien", "<|endoftext|> end", "<|startoftext|>", "word.word, a. b,", "日本語 テキスト。", "é ́x", "trailing ", "a\r\nb", " ", "1,000.5 3.", "😀 emoji. 😀"]
 
 
