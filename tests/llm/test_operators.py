@@ -353,3 +353,18 @@ def test_crowd_visits_reach_every_size_of_a_cell(spark):
     assert expected[13, 1, 12, 15] and expected[13, 1, 13, 15] and not all(expected.values())
     rows = spark.createDataFrame(cells, "n bigint, shared bigint, least bigint, most bigint")
     assert {tuple(r) for r in rows.filter(reachable()).collect()} == {k for k, v in expected.items() if v}
+
+
+def test_decontamination_of_repeated_shingles(spark):
+    rng = random.Random(3)
+    items, texts = {}, {}
+    for k in range(8):
+        words = _words(rng, 274).split()
+        at = rng.randrange(20, 220)
+        items[k], blank = " ".join(words), words[:at] + ["blank"] * 25 + words[at + 25 :]
+        texts[k] = " ".join(blank)
+        items[k + 20], texts[k + 20] = " ".join(["other", *blank]), " ".join(["other", *words])
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(frame, bench).collect()}
+    assert {(k, k) for k in items} <= set(got) and got == _leaks(texts, items)
