@@ -6,7 +6,10 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -24,6 +27,10 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
 
 
+#: Copies of a row that one array element stands for where repeated rows are written out again.
+COPIES = 100_000
+
+
 class Workspace:
     """A folder of its own below the shared root, for the tables one operator writes and reads again."""
 
@@ -55,8 +62,6 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def semi_by_id(docs: DataFrame, ids: DataFrame, key: str, n_ids: int, bound: int = 500_000) -> DataFrame:
     """Rows of ``docs`` whose key is in ``ids``: a broadcast for at most ``bound`` ids, else a shuffled join."""
-    from pyspark.sql import functions as F
-
     return docs.join(F.broadcast(ids) if n_ids <= bound else ids, key, "left_semi")
 
 
@@ -66,9 +71,44 @@ _routes: dict[int, list[int]] = {}
 def routes(spark: SparkSession, n: int) -> list[int]:
     """For each of n partitions an int that ``repartition(n, column)`` sends there: buckets dealt out evenly, one each."""
     if n not in _routes:
-        from pyspark.sql import functions as F
-
         found = spark.range(40 * n).select(F.col("id").cast("int").alias("k")).groupBy(F.expr(f"pmod(hash(k), {n})").alias("p")).agg(F.min("k").alias("k")).collect()
         keys = {r.p: r.k for r in found}
         _routes[n] = [keys.get(p, p) for p in range(n)]
     return _routes[n]
+
+
+def numbered(rows: DataFrame, order: list[str], work: Workspace, name: str, within: str | None = None) -> DataFrame:
+    """Adds ``number``, from 0 in the order given (in each value of ``within``), by ranges: no task sees more than its range."""
+    group = [within] if within else []
+    parts = work.save(rows.repartitionByRange(shuffle_width(work.spark), *group, *order).withColumn("_part", F.spark_partition_id()), name)
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select(*(F.col(g).alias("_group") for g in group), F.col("_part").alias("_of"), F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
+    on = F.col("_part") == F.col("_of")
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col("_group"))
+    own = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))
+    out = parts.withColumn("_own", own).join(F.broadcast(offsets) if not within else offsets, on)
+    return out.withColumn("number", (F.col("_offset") + F.col("_own") - 1).cast("long")).drop("_part", "_of", "_group", "_own", "_offset")
+
+
+def by_document(documents: DataFrame, id_col: str, text_col: str, work: Workspace, apply: Callable[[DataFrame], DataFrame], refer: tuple[str, ...] = ()) -> DataFrame:
+    """``apply`` on (doc, text) with one row for each ``doc``; its result's ``doc``, and the columns ``refer``, name ids.
+
+    Where an id repeats or is null, rows of one id and text count as one document, which stands in order of id (null
+    first) and then of its text's digest; the result has a row for each of its copies.
+    """
+    docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    if docs.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc is null").isEmpty():
+        return apply(docs)
+    texts = docs.select(F.col("doc").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    texts = numbered(texts.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text")), ["id", "digest"], work, "texts")
+    texts = work.save(texts.select(F.col("number").alias("doc"), "id", "copies", "text"), "numbered")
+    out = apply(texts.select("doc", "text"))
+    for column in refer:
+        names = texts.select(F.col("doc").alias(column), F.col("id").alias("_id"))
+        out = out.join(names, column).select(*(F.col("_id").alias(c) if c == column else F.col(c) for c in out.columns))
+    names = texts.select("doc", F.col("id").alias("_id"), "copies")
+    out = out.join(names, "doc").withColumn("_k", F.explode(F.expr(f"sequence(0, cast((copies - 1) div {COPIES} as int))")))
+    out = out.withColumn("_j", F.explode(F.expr(f"sequence(1, cast(least({COPIES}, copies - {COPIES} * _k) as int))")))
+    return out.select(*(F.col("_id").alias(c) if c == "doc" else F.col(c) for c in out.columns if c not in ("_id", "copies", "_k", "_j")))

@@ -18,8 +18,9 @@ are shared along common paths; a subtree goes when the overlap so far plus what
 of it is in the probe's component already.
 
 Cases: null, empty or blank text has an empty set, ``n_shingles`` 0 and links with nothing; fewer words than five
-make one shingle; repeated rows are one class; ``component_id`` is the smallest ``doc_id``; ids are expected to be
-unique; columns other than id and text are ignored.
+make one shingle; equal texts are one class; ``component_id`` is the smallest ``doc_id``; repeated rows of one id and
+text are one document, reported for each; of an id with several texts each text is a document (a null id comes before
+all others); columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import Workspace, routes, semi_by_id, shuffle_width
+from ._work import Workspace, by_document, routes, semi_by_id, shuffle_width
 from ._words import mix, shingle_sets
 from .components import connected_components
 
@@ -230,7 +231,7 @@ class Trie:
 
 
 def spanning_links(sets: dict[int, np.ndarray], parts: dict[int, int], probes: list[int]) -> list[tuple[int, int]]:
-    """Links that join up what links with the probes make of the sets; ``parts``: components known before."""
+    """Edges (set, smallest of its new component) that say what links with the probes make of the sets; ``parts``: components known before."""
     head: dict[int, int] = {}
     parent = {k: head.setdefault(parts[k], k) for k, x in sets.items() if len(x)}
     left = len(head) - 1
@@ -241,7 +242,7 @@ def spanning_links(sets: dict[int, np.ndarray], parts: dict[int, int], probes: l
             k = parent[k]
         return k
 
-    trie, out = Trie(sets), []
+    trie = Trie(sets)
     for probe in probes:
         if not left:
             break
@@ -252,8 +253,10 @@ def spanning_links(sets: dict[int, np.ndarray], parts: dict[int, int], probes: l
             if (other := find(k)) != root:
                 parent[other] = root
                 left -= 1
-                out.append((probe, k))
-    return out
+    joined: dict[int, list[int]] = {}
+    for k in head.values():
+        joined.setdefault(find(k), []).append(k)
+    return [(k, min(group)) for group in joined.values() for k in group if k != min(group)]
 
 
 def compare(level: Broadcast):
@@ -283,6 +286,8 @@ def compare(level: Broadcast):
 def compared(docs: DataFrame, members: DataFrame, level: Broadcast, work: Workspace, name: str) -> DataFrame:
     """The links (a, b) found in the groups (a, salt) of ``members(a, salt, doc, part, probe)``."""
     members = work.save(members, f"{name}-members")
+    if members.isEmpty():
+        return work.spark.createDataFrame([], "a long, b long")
     ids = work.save(members.select("doc").distinct(), f"{name}-ids")
     texts = semi_by_id(docs, ids, "doc", ids.count())
     rows = members.join(texts, "doc").select("a", "salt", "doc", "part", "probe", "text").repartition(shuffle_width(work.spark), "a", "salt").sortWithinPartitions("a", "salt")
@@ -309,9 +314,14 @@ def reachable() -> str:
 
 def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each document."""
-    spark = documents.sparkSession
-    work, width = Workspace(spark, "ngram-join"), 2 * shuffle_width(spark)
-    docs = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    work = Workspace(documents.sparkSession, "ngram-join")
+    out = by_document(documents, id_col, text_col, work, lambda docs: _classes(docs, work), refer=("component_id",))
+    return out.withColumnRenamed("doc", id_col)
+
+
+def _classes(docs: DataFrame, work: Workspace) -> DataFrame:
+    """(doc, n_shingles, component_id) of (doc, text)."""
+    spark, width = work.spark, 2 * shuffle_width(work.spark)
     signs = work.save(docs.mapInArrow(describe, "doc long, cls long, n long"), "signed")
     keys = routes(spark, width)
     tables = docs.mapInArrow(dealt_shingles(keys), "bucket int, rows binary").repartition(width, "bucket").mapInArrow(counted_levels, "part long, levels binary")
@@ -373,4 +383,4 @@ def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_co
     level.destroy()  # every comparison is written
     final = connected_components(links.unionByName(late).unionByName(last), work, "last")
     named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
-    return signs.join(named, "cls", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
+    return signs.join(named, "cls", "left").select("doc", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))

@@ -1,13 +1,13 @@
 """Operator 7: packing by power-of-two decomposition.
 
 A document's ids (its text's, then the end id) are split into pieces of ``max_length`` and the powers of two of the
-rest, longest first. Pieces of equal length share a bucket and each is a sequence of its own, so no sequence crosses
-documents and none needs padding.
+rest, longest first. Each piece is a sequence of its own, so no sequence crosses documents and none needs padding;
+pieces of equal length are written to the folder of their bucket, from which batches of one length are read.
 
 ``sequence_id`` is ``(partition << 33) + place``: unique, and the same when a lost task is run again. No shuffle.
 
-Cases: null and empty texts are the end id alone; repeated rows are packed each; an empty table gives no rows; other
-columns are ignored; a text of any length is encoded whole.
+Cases: null and empty texts are the end id alone; null ids stay null; repeated rows are packed each; an empty table
+gives no rows; other columns are ignored; a text of any length is encoded whole.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._work import Workspace
-from .tokens import encoder, groups
+from .tokens import encoder, groups, release
 
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 SCHEMA = "doc long, start long, length long, ids binary, doc_tokens long, sequence_id long"
 
 
@@ -46,7 +48,7 @@ def packer(path: str, kind: str, end_id: int, longest: int):
                         at += length
                         place += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 3 else pa.int64()) for k, x in enumerate(rows)], ["doc", "start", "length", "ids", "doc_tokens", "sequence_id"])
-        enc.trim()
+        release()
 
     return task
 
@@ -62,5 +64,26 @@ def pack(documents: DataFrame, tokenizer: str, kind: str = "byte", end_id: int =
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
-    """Sequences as Parquet, a folder for each length: batches from one folder need no padding."""
-    packed.write.partitionBy("bucket").parquet(path)
+    """Sequences as Parquet, a folder for each length: batches from one folder need no padding.
+
+    A task keeps a file open for each of its lengths, a handful, so nothing is sorted or shuffled.
+    """
+    conf, before = packed.sparkSession.conf, packed.sparkSession.conf.get(WRITERS)
+    conf.set(WRITERS, str(max(64, int(before))))
+    try:
+        packed.write.option("compression", "zstd").partitionBy("bucket").parquet(path)
+    finally:
+        conf.set(WRITERS, before)
+
+
+def read_buckets(spark: SparkSession, path: str, schema: StructType, length: int | None = None) -> DataFrame:
+    """What ``write_buckets`` wrote; of one length, only its folder."""
+    rows = spark.read.schema(schema).parquet(path)
+    return rows if length is None else rows.filter(F.col("bucket") == length)
+
+
+def packed_buckets(documents: DataFrame, tokenizer: str, **options) -> DataFrame:
+    """``pack``, brought together by length: written to a folder for each bucket and read back."""
+    packed, work = pack(documents, tokenizer, **options), Workspace(documents.sparkSession, "packing")
+    write_buckets(packed, f"{work.path}/buckets")
+    return read_buckets(work.spark, f"{work.path}/buckets", packed.schema)

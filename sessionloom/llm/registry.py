@@ -12,7 +12,7 @@ from .decontam import contaminated
 from .license_scan import oracle_sql as license_sql
 from .license_scan import scan_licenses
 from .ngram_join import near_duplicate_classes
-from .packing import pack
+from .packing import packed_buckets
 from .pii import replace_pii
 from .quality import oracle_sql as quality_sql
 from .quality import quality
@@ -50,7 +50,7 @@ def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    packed = packed_buckets(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

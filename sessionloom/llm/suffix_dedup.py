@@ -15,7 +15,9 @@ removed; strings are judged on the input, matches stay within documents and may
 5. Of equal windows all but the first are marked; marks become spans, and spans are cut out of the texts.
 
 Cases: null is empty; texts under 100 bytes and empty tables lose nothing; bytes are compared as they are, so a cut
-may fall inside a character (the digest is of the bytes); ids are expected to be unique; other columns are ignored.
+may fall inside a character (the digest is of the bytes); repeated rows of one id and text are one document, reported
+for each and not repeated by itself; the texts of one id are in the order of their digests, those of a null id come
+first; a text of 2**28 bytes or more raises an error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import Workspace, routes, semi_by_id, shuffle_width
+from ._work import Workspace, by_document, routes, semi_by_id, shuffle_width
 from ._words import mix, powers, text_chunks
 
 #: Bytes of a repeated string, of an anchor, and the anchors' places in a window.
@@ -49,6 +51,8 @@ EMPTY_SHA256 = hashlib.sha256().hexdigest()
 def anchored(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, first window, windows, anchor hash, slice hash) of each run of windows with one anchor in a chunk."""
     n = len(data)
+    if n > int(_POS):
+        raise ValueError(f"a text of {n} bytes: places are counted in 28 bits")
     none = np.zeros(0, np.int64)
     if n < SPAN:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
@@ -333,9 +337,14 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row for each document."""
-    spark = documents.sparkSession
-    work, width = Workspace(spark, "suffix-dedup"), shuffle_width(spark)
-    docs = documents.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    work = Workspace(documents.sparkSession, "suffix-dedup")
+    return by_document(documents, id_col, text_col, work, lambda docs: _cut(docs, work)).withColumnRenamed("doc", id_col)
+
+
+def _cut(docs: DataFrame, work: Workspace) -> DataFrame:
+    """(doc, n_bytes, n_removed, n_spans, kept_sha256) of (doc, text)."""
+    spark, width = work.spark, shuffle_width(work.spark)
+    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     named = work.save(docs.filter(f"octet_length(text) >= {SPAN}").select("doc", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("n")), "named")
     firsts = named.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     copies = work.save(named.join(firsts, "digest").filter("doc <> first").select("doc", F.col("n").cast("long")), "copies")
@@ -356,4 +365,4 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     touched = spans.select("doc").unionByName(ids)
     whole = docs.join(F.broadcast(touched) if n_cut + n_copies <= 500_000 else touched, "doc", "left_anti")
     whole = whole.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
-    return cut.unionByName(gone).unionByName(whole).withColumnRenamed("doc", id_col)
+    return cut.unionByName(gone).unionByName(whole)

@@ -6,13 +6,12 @@ each segment of a file lists where its blocks begin, so any block can be decoded
 operations. Segments (header, document ids, their counts, block offsets, words) follow one another in a file; files and
 the documents in them are in ascending order of id.
 
-Cases: null and empty texts are the end id alone; repeated ids are written each; an empty table gives no rows; a
+Cases: null and empty texts are the end id alone; repeated ids are written each; null ids come first and stay null; an empty table gives no rows; a
 text of any length is encoded whole; other columns are ignored. A lost task writes its file anew, equal to the last.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +22,15 @@ from pyspark.sql import functions as F
 
 from ._files import reading, writing
 from ._work import Workspace, shuffle_width
-from .tokens import encoder, groups
+from .tokens import encoder, groups, release
 
 MAGIC = 0x5338424C53544F4B
 #: Ids a word and bits an id for the selectors 1 to 14.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 BLOCK, SEGMENT = 1024, 1 << 19
+#: Stands for a null id in files; no document has it.
+NO_ID = -(1 << 63)
 _IDS_OF = np.array([0, *COUNTS, 1])
 
 
@@ -120,7 +121,7 @@ def segment(docs: list[int], ids: list[bytes]) -> bytes:
     values = np.frombuffer(b"".join(ids), "<u4")
     words, blocks = encode(values)
     head = np.array([MAGIC, len(docs), len(values), len(blocks), len(words)], "<u8")
-    return b"".join((head.tobytes(), np.array(docs, "<i8").tobytes(), np.array([len(x) // 4 for x in ids], "<u8").tobytes(), blocks.astype("<u8").tobytes(), words.astype("<u8").tobytes()))
+    return b"".join((head.tobytes(), np.array([NO_ID if x is None else x for x in docs], "<i8").tobytes(), np.array([len(x) // 4 for x in ids], "<u8").tobytes(), blocks.astype("<u8").tobytes(), words.astype("<u8").tobytes()))
 
 
 def segments(file) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -159,7 +160,7 @@ def writer(root: str, path: str, kind: str, end_id: int):
             if docs:
                 out.write(segment(docs, ids))
                 n_docs, n_ids = n_docs + len(docs), n_ids + size
-        enc.trim()
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([part], pa.int64()), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], ["file", "number", "docs", "ids"])
 
     return task
@@ -177,13 +178,14 @@ def read_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             with reading(name) as file:
-                for docs, counts, _, words in segments(file):
-                    ids = decode(words).astype("<u4")
+                for docs, counts, blocks, words in segments(file):
                     ends = np.cumsum(counts.astype(np.int64))
                     starts = ends - counts.astype(np.int64)
                     for lo in range(0, len(docs), 4096):
-                        own = [ids[a:b].tobytes() for a, b in zip(starts[lo : lo + 4096].tolist(), ends[lo : lo + 4096].tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(docs[lo : lo + 4096]), pa.array(base + starts[lo : lo + 4096]), pa.array(own, pa.binary())], ["doc", "start", "ids"])
+                        first, last = int(starts[lo]), int(ends[lo : lo + 4096][-1])
+                        ids = ids_at(blocks, words, first, last - first).astype("<u4")  # the blocks of these documents only
+                        own = [ids[a - first : b - first].tobytes() for a, b in zip(starts[lo : lo + 4096].tolist(), ends[lo : lo + 4096].tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(docs[lo : lo + 4096], mask=docs[lo : lo + 4096] == NO_ID), pa.array(base + starts[lo : lo + 4096]), pa.array(own, pa.binary())], ["doc", "start", "ids"])
                     base += int(ends[-1]) if len(ends) else 0
 
 
@@ -203,6 +205,3 @@ def token_files(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     manifest = work.save(write_token_files(documents, f"{work.path}/files", tokenizer, id_col=id_col, text_col=text_col), "manifest")
     return read_token_files(manifest, id_col)
 
-
-def crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)

@@ -1,12 +1,14 @@
-"""Token ids from the public tokenizer files, with a bounded cache of the pieces between white space.
+"""Token ids from the public tokenizer files, with a cache of the pieces between white space that is bounded in bytes.
 
 Neither of the two vocabularies has a token that crosses the white space before a piece, so a text's ids are those of
-its pieces in order; each worker encodes a piece once. Texts with other white space than the simple case go to the
-tokenizer whole. Strings of special tokens are ordinary text.
+its pieces in order; each worker encodes a piece once. Texts with other white space than the simple case, or with what
+may be a special token, go to the tokenizer whole. The ids are those of the tokenizer as its file defines it, special
+tokens in a text included.
 """
 
 from __future__ import annotations
 
+import ctypes
 import os
 from array import array
 from collections.abc import Iterable
@@ -14,8 +16,11 @@ from itertools import islice
 
 import numpy as np
 
-#: Pieces that a worker keeps within a task and from task to task; others are encoded anew for each group of texts.
-KEEP, HOLD = 700_000, 400_000
+#: Bytes of pieces that a worker keeps within a task and from task to task, all encoders together; others are encoded
+#: anew for each group of texts. ENTRY: what one piece takes besides its characters and ids.
+KEEP, HOLD, ENTRY = 64 << 20, 16 << 20, 190
+#: Pieces encoded as one text.
+JOIN = 64
 
 MARK = "|"
 #: White space other than space, line feed, tab and carriage return.
@@ -39,25 +44,38 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.spaced = kind == "byte"  # a piece takes the space before it along
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.heads = {token.content[:2].lower() for token in self.tokenizer.get_added_tokens_decoder().values()}
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that start with a space
+        self.begins[[i for token, i in vocabulary.items() if token[0] == "Ġ"]] = True
         self.marker = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
         self.known: dict[str, bytes] = {"": b""}
+        self.size = 0
         self.stops = dict(zip(".,", self._encode([".", ","]), strict=True))
 
     def odd(self, text: str) -> bool:
-        """Whether the text has white space that is not simple: substring searches, no regular expression."""
-        if any(c in text for c in SPACES):
+        """Whether the text has white space that is not simple, or the start of a special token."""
+        if any(c in text for c in SPACES) or any(x in text for x in self.heads):
             return True
         return self.spaced and bool(text) and (any(c in text for c in ("\t", "\r", "  ", " \n", "\n ", "\n\n\n")) or text[0] in " \n" or text[-1] in " \n")
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Several pieces to a text; a space, or a mark that none of them has, tells where each begins."""
         if self.spaced:
-            return self._encode([x if x[0] == "\n" else " " + x for x in pieces])
+            lined = [x for x in pieces if x[0] == "\n"]
+            plain = [x for x in pieces if x[0] != "\n"]
+            done = dict(zip(lined, self._encode(lined), strict=True))
+            for x in self.tokenizer.encode_batch_fast([" " + " ".join(plain[k : k + JOIN]) for k in range(0, len(plain), JOIN)], add_special_tokens=False):
+                ids = np.array(x.ids, "<u4")
+                raw, first = ids.tobytes(), (4 * np.flatnonzero(self.begins[ids])).tolist()
+                at = len(done) - len(lined)
+                done.update(zip(plain[at : at + JOIN], [raw[a:b] for a, b in zip(first, [*first[1:], len(raw)], strict=True)], strict=True))
+            return [done[x] for x in pieces]
         if any(MARK in x for x in pieces):
             return self._encode(pieces)
-        out: list[bytes] = []  # several pieces to a text, a mark that none of them has between them
-        for x in self.tokenizer.encode_batch_fast([f" {MARK} ".join(pieces[k : k + 64]) for k in range(0, len(pieces), 64)], add_special_tokens=False):
+        out: list[bytes] = []
+        for x in self.tokenizer.encode_batch_fast([f" {MARK} ".join(pieces[k : k + JOIN]) for k in range(0, len(pieces), JOIN)], add_special_tokens=False):
             ids = np.array(x.ids, "<u4")
             raw, at = ids.tobytes(), 0
             for k in (4 * np.flatnonzero(ids == self.marker)).tolist():
@@ -80,8 +98,8 @@ class PieceEncoder:
                 pieces.append((text.lower() if text.isascii() or _latin(text) else text).split())
         known = self.known
         fresh = list(set().union(*(x for x in pieces if isinstance(x, list))).difference(known))
-        # a stop or comma after nothing but letters is a token of its own: such pieces are put together
-        stopped = [x for x in fresh if x[-1] in ".," and x[:-1].isalpha()]
+        # a stop or comma after nothing but ASCII letters is a token of its own: such pieces are put together
+        stopped = [x for x in fresh if x[-1] in ".," and x.isascii() and x[:-1].isalpha()]
         alone = list(set(fresh).difference(stopped).union(x[:-1] for x in stopped).difference(known))
         for own in ([x for x in alone if MARK not in x], [x for x in alone if MARK in x]):
             for lo in range(0, len(own), 20_000):
@@ -90,14 +108,24 @@ class PieceEncoder:
         fresh = alone + stopped
         skip = 4 if self.spaced else 0  # the id of the line feed set before the text
         out = [b"".join(map(known.__getitem__, x))[skip:] if isinstance(x, list) else self._encode([x])[0] for x in pieces]
-        for x in fresh[max(0, len(fresh) - max(0, len(known) - KEEP)) :]:
-            del known[x]
+        for x in fresh:
+            if self.size >= KEEP:
+                del known[x]
+            else:
+                self.size += ENTRY + len(x) + len(known[x])
         return out
 
-    def trim(self) -> None:
-        """Lets go of all but the first pieces seen, which are the common ones: idle workers stay small."""
-        if len(self.known) > HOLD:
-            self.known = dict(islice(self.known.items(), HOLD))
+    def trim(self, most: int) -> None:
+        """Lets go of all but the first pieces seen, which are the common ones."""
+        if self.size > most:
+            size, count = 0, 0
+            for piece, ids in self.known.items():
+                size += ENTRY + len(piece) + len(ids)
+                if size > most:
+                    break
+                count += 1
+            self.known = dict(islice(self.known.items(), count))
+            self.size = min(size, most)
 
 
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
@@ -110,6 +138,16 @@ def encoder(path: str, kind: str) -> PieceEncoder:
     return _encoders[path, kind]
 
 
+def release() -> None:
+    """At a task's end: the worker's encoders keep HOLD bytes between them and give the rest back to the system."""
+    for own in _encoders.values():
+        own.trim(HOLD // len(_encoders))
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: it keeps what it likes
+        pass
+
+
 def groups(column, size: int = 1 << 20) -> Iterable[tuple[int, list[str]]]:
     """(first row, texts) of an Arrow string column in groups of about ``size`` characters. Null: empty."""
     own, first, n = [], 0, 0
