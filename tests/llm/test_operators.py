@@ -4,7 +4,6 @@ import collections
 import hashlib
 import random
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -213,22 +212,39 @@ def test_pieces_give_the_tokenizers_ids(name, kind):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_path(name))
-    plain.encode_special_tokens = True
-    texts = [*TRICKY, *(t for _, t, *_ in documents() if t)]
+    rng = random.Random(6)
+    bits = ["İ", "ı", "a", "B", "é", "ß", "'s", "<|endoftext|>", "<|", "|", " ", "  ", "\n", "\n\n", ",", ".", "日", "12", "́", "Σ", "\t", "\u3000", "Å", "<|ENDOFTEXT|>", "Ġa"]
+    mixed = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+    texts = [*TRICKY, "Türkiye'de İ. Yılmaz", "Ali İ, b", "a <|endoftext|> b", *mixed, *(t for _, t, *_ in documents() if t)]
     got = PieceEncoder(tokenizer_path(name), kind).ids(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def _ids(name, text, end):
+    from tokenizers import Tokenizer
+
+    return np.array([*Tokenizer.from_file(tokenizer_path(name)).encode(text or "", add_special_tokens=False).ids, end], "<u4").tobytes()
+
+
+def test_buckets_hold_one_length(docs, tmp_path):
+    path = f"file://{tmp_path}/buckets"
+    packed = packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    packing.write_buckets(packed, path)
+    for length in (1, 2, 64, 1024):
+        own = packing.read_buckets(packed.sparkSession, path, packed.schema, length)
+        assert {r.length for r in own.select("length").collect()} == {length}
+        assert own.count() == packed.filter(F.col("length") == length).count()
+
+
 def test_packing(docs, empty):
-    enc = PieceEncoder(tokenizer_path("byte_bpe_50k.json"), "byte")
-    expected = {r[0]: enc.ids([r[1] or ""])[0] + b"\0\0\0\0" for r in documents()}
-    rows, whole = packing.pack(docs, tokenizer_path("byte_bpe_50k.json")).collect(), collections.defaultdict(dict)
+    expected = {r[0]: _ids("byte_bpe_50k.json", r[1], 0) for r in documents()}
+    rows, whole = packing.packed_buckets(docs, tokenizer_path("byte_bpe_50k.json")).collect(), collections.defaultdict(dict)
     assert len({r.sequence_id for r in rows}) == len(rows)
     for r in rows:
         assert r.length & (r.length - 1) == 0 and r.length <= 1024 and r.offset == 0 and r.bucket == r.length and len(r.ids) == 4 * r.length and r.doc_tokens * 4 == len(expected[r.doc_id])
         whole[r.doc_id][r.start] = bytes(r.ids)
     assert {k: b"".join(v[s] for s in sorted(v)) for k, v in whole.items()} == expected
-    assert packing.pack(empty, tokenizer_path("byte_bpe_50k.json")).count() == 0
+    assert packing.packed_buckets(empty, tokenizer_path("byte_bpe_50k.json")).count() == 0
     assert packing.pieces(2051, 1024) == [1024, 1024, 2, 1]
 
 
@@ -245,13 +261,12 @@ def test_simple8b_codec():
 
 
 def test_token_files(docs, empty):
-    enc, at = PieceEncoder(tokenizer_path("word_bpe_49k.json"), "word"), 0
+    at = 0
     got = {r.doc_id: (r.start, bytes(r.ids)) for r in token_files.token_files(docs, tokenizer_path("word_bpe_49k.json")).collect()}
     for key, text, *_ in sorted(documents(), key=lambda r: r[0]):
-        ids = enc.ids([text or ""])[0] + b"\x02\0\0\0"
+        ids = _ids("word_bpe_49k.json", text, 2)
         assert got[key] == (at, ids)
         at += len(ids) // 4
-    assert token_files.crc32(b"abc") == zlib.crc32(b"abc")
     assert token_files.token_files(empty, tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
@@ -368,3 +383,33 @@ def test_decontamination_of_repeated_shingles(spark):
     bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
     got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(frame, bench).collect()}
     assert {(k, k) for k in items} <= set(got) and got == _leaks(texts, items)
+
+
+def _repeated(texts):
+    """Rows of unique ids and, beside them, repeated rows, an id with two texts and null ids."""
+    rows = [(k, t) for k, t in enumerate(texts)]
+    return rows + [rows[1], rows[1], (2, texts[4]), (None, texts[3]), (None, texts[3]), (None, None), (3, texts[5])]
+
+
+def _by_rows(rows, brute):
+    """The results of ``brute`` on rows where those of one id and text are one document; null ids first."""
+    keys = sorted({(k is not None, k or 0, hashlib.sha256((t or "").encode()).hexdigest(), t or "") for k, t in rows})
+    got = brute({i: key[3] for i, key in enumerate(keys)})
+    place = {(key[0], key[1], key[2]): i for i, key in enumerate(keys)}
+    name = [key[1] if key[0] else None for key in keys]
+    own = [(k, got[place[k is not None, k or 0, hashlib.sha256((t or "").encode()).hexdigest()]]) for k, t in rows]
+    return own, name
+
+
+def test_repeated_and_null_ids(spark):
+    rng = random.Random(8)
+    base = [_words(rng, 70) for _ in range(6)]
+    base[4] = base[0] + " one more"
+    base[5] = f"{_words(rng, 20)} {base[2][:200]} {_words(rng, 20)}"
+    rows = _repeated(base)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    key = lambda x: (x[0] is not None, *(str(y) for y in x))
+    own, _ = _by_rows(rows, _cut)
+    assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.repeated_passages(frame).collect()], key=key) == sorted([(k, *v) for k, v in own], key=key)
+    own, name = _by_rows(rows, _classes)
+    assert sorted([tuple(r) for r in near_duplicate_classes(frame).collect()], key=key) == sorted([(k, v[0], name[v[1]]) for k, v in own], key=key)
