@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sessionloom.llm._work import Workspace
 from sessionloom.llm.decontam import contaminated
 from sessionloom.llm.ngram_join import near_duplicate_classes
-from sessionloom.llm.packing import pack
+from sessionloom.llm.packing import packed_buckets
 from sessionloom.llm.pii import replace_pii
 from sessionloom.llm.quality import quality
 from sessionloom.llm.registry import tokenizer_path
@@ -50,7 +50,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of power-of-two length."""
-    packed = pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    packed = packed_buckets(docs, tokenizer_path("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
 
