@@ -27,6 +27,8 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
 
 
+#: Stands for a null id where ids travel as plain integers; no document has it.
+NO_ID = -(1 << 63)
 #: Copies of a row that one array element stands for where repeated rows are written out again.
 COPIES = 100_000
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._files import reading, writing
-from ._work import Workspace, shuffle_width
+from ._work import NO_ID, Workspace, shuffle_width
 from .tokens import encoder, groups, release
 
 MAGIC = 0x5338424C53544F4B
@@ -29,8 +29,6 @@ MAGIC = 0x5338424C53544F4B
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 BLOCK, SEGMENT = 1024, 1 << 19
-#: Stands for a null id in files; no document has it.
-NO_ID = -(1 << 63)
 _IDS_OF = np.array([0, *COUNTS, 1])
 
 
