@@ -3,18 +3,25 @@
 Each document gets five statistics of its whole text, two plain rules (``base_failed``), and a verdict: its transformed
 statistics are held against minimum-covariance-determinant estimates of its language and source.
 
-The estimates start from medians and median deviations, keep the three quarters of a group nearest to them, and repeat
-"location and covariance of the kept, distances of all, keep the nearest" ``STEPS`` times (concentration steps, which
-never raise the determinant). The covariance is scaled to the group's median distance and every variance has a floor,
-so that a statistic that is constant in clean text does not make every small deviation an outlier. A document whose
-squared Mahalanobis distance exceeds ``CUTOFF`` is rejected.
+For each source of a language, each language and the whole table, two starts (the sum of squares and the greatest of the
+deviations from medians, in median deviations) choose the three quarters of the rows nearest to the centre. Concentration
+steps - location and covariance of the chosen rows, distances of all, the nearest again - go on until no determinant
+falls; of the two results that with the smaller determinant counts. Its covariance is scaled to the median distance and
+every variance has a floor, so that a statistic that is constant in clean text does not make every small deviation an
+outlier.
+
+A group's estimates are drawn to those of its language, and a language's to those of all rows, with the weight of
+``DRAW`` rows: n rows count n to ``DRAW``, at every size alike, so a small group has no singular covariance and a large
+one its own. A document whose squared Mahalanobis distance exceeds ``CUTOFF`` is rejected. That is chi-square's quantile
+(five degrees of freedom) at 1 - 1.2e-11: of 10**10 clean documents with normal statistics less than one is lost, and
+documents are judged by gross deviations only.
 
-Groups with fewer than ``LEAST`` rows use the estimates of their language, languages with fewer those of all documents.
 Only documents that pass the plain rules enter the estimates. All sums are of whole numbers, so results do not depend
 on partitions; everything travels as partial sums, so a source with a third of the rows burdens no task.
 
 Cases: null, empty and blank texts have no words and fail the plain rules; null languages and sources are groups of
-their own; an empty table gives no rows; repeated rows count each; other columns are ignored.
+their own; null ids stay null; an empty table gives no rows; repeated rows count each and are reported each; other
+columns are ignored; windows of three words are compared by 64-bit hashes, whatever the length of the text.
 """
 
 from __future__ import annotations
@@ -24,12 +31,18 @@ from pyspark.sql import functions as F
 
 from ._work import Workspace
 
-#: Concentration steps, rows of a group of its own, share kept, and the squared distance beyond which a document goes.
-STEPS, LEAST, SHARE, CUTOFF = 3, 100, 0.75, 60.0
+#: Share of the rows an estimate is from, rows that the wider estimate counts for, the least fall of the log determinant
+#: that goes on, and the squared distance beyond which a document goes.
+SHARE, DRAW, GAIN, CUTOFF = 0.75, 100.0, 1e-6, 60.0
 #: The medians of chi-square with five degrees of freedom and of the absolute standard normal.
 CHI_MEDIAN, NORMAL_MEDIAN = 4.351460191, 0.6744897502
 SPACE = r"[\x20\x09-\x0D]+"
 NAMES = ("x0", "x1", "x2", "x3", "x4")
+P = len(NAMES)
+COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+VERDICT = f"NOT base_failed AND coalesce(d2, 0) <= {CUTOFF}"
+#: Names of a row's language and of its source there; lengths and a mark for null keep them apart.
+GROUPS = {"lang_name": "'l' || coalesce(length(lang) || ':' || lang, 'n')", "group_name": "'s' || coalesce(length(lang) || ':' || lang, 'n') || coalesce('=' || source, '~')"}
 #: Transformed statistics, in thousandths: log length, log word length, log symbols and log repeated lines per hundred words, repeated share.
 VECTOR = {
     "x0": "round(1000 * ln(1 + n_words))",
@@ -55,33 +68,23 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     out = out.select(
         *kept, "word_chars", "n_symbols", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), F.size("_h").cast("long").alias("n_words"),
-        F.expr("shiftleft(1L, length(bin(size(_h))))").alias("_m"),
         F.expr("CASE WHEN size(_h) >= 3 THEN transform(sequence(0, size(_h) - 3), i -> xxhash64(get(_h, i), get(_h, i + 1), get(_h, i + 2))) ELSE cast(array() AS array<bigint>) END").alias("_w"),
     )
-    # a window's hash and its place in one number: sorting brings equal windows together
-    out = out.withColumn("_s", F.expr("CASE WHEN size(array_distinct(_w)) < size(_w) THEN sort_array(transform(_w, (h, i) -> h - pmod(h, _m) + i)) ELSE cast(array() AS array<bigint>) END"))
-    out = out.withColumn("_p", F.expr("sort_array(transform(filter(_s, (x, k) -> x - pmod(x, _m) <=> get(_s, k - 1) - pmod(get(_s, k - 1), _m) OR x - pmod(x, _m) <=> get(_s, k + 1) - pmod(get(_s, k + 1), _m)), x -> pmod(x, _m)))"))
+    # sorting by hash, then place, brings equal windows together
+    out = out.withColumn("_s", F.expr("CASE WHEN size(array_distinct(_w)) < size(_w) THEN sort_array(transform(_w, (h, i) -> struct(h, cast(i AS bigint) AS i))) ELSE cast(array() AS array<struct<h: bigint, i: bigint>>) END"))
+    out = out.withColumn("_p", F.expr("sort_array(transform(filter(_s, (x, k) -> x.h <=> get(_s, k - 1).h OR x.h <=> get(_s, k + 1).h), x -> x.i))"))
     out = out.withColumn("n_repeat_words", F.expr("aggregate(_p, named_struct('last', -3L, 'n', 0L), (a, i) -> named_struct('last', i, 'n', a.n + least(3L, i - a.last)), a -> a.n)"))
     return out.select(*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words").alias("base_failed"))
 
 
-def distance_sql(names: tuple[str, ...] = NAMES) -> str:
-    """The squared Mahalanobis distance of x0.. from m0.. under the covariance c00.., by a Cholesky factor, as nested selects.
-
-    Columns l*: the factor; y*: the solution of the triangular system. The text is valid in Spark and DuckDB.
-    """
-    layers, p = [], len(names)
-    for i in range(p):
-        for j in range(i + 1):
-            inner = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
-            layers.append(f"sqrt(greatest(c{j}{i}{inner}, 1e-3)) AS l{i}{i}" if i == j else f"(c{j}{i}{inner}) / l{j}{j} AS l{i}{j}")
-    for i in range(p):
-        layers.append(f"(x{i} - m{i}" + "".join(f" - l{i}{k} * y{k}" for k in range(i)) + f") / l{i}{i} AS y{i}")
-    layers.append(" + ".join(f"y{i} * y{i}" for i in range(p)) + " AS d2")
-    sql = "{source}"
-    for layer in layers:
-        sql = f"(SELECT *, {layer} FROM {sql})"
-    return sql
+def _estimates() -> str:
+    """Location and floored covariance from the sums of the kept rows."""
+    cells = [f"s{i} / n AS m{i}" for i in range(P)]
+    for i in range(P):
+        for j in range(i, P):
+            cell = f"(s{i}{j} - s{i} * s{j} / n) / n"
+            cells.append((f"greatest({cell}, {float(FLOORS[NAMES[i]] ** 2)})" if i == j else cell) + f" AS c{i}{j}")
+    return ", ".join(cells)
 
 
 def _moments(exact: str) -> str:
@@ -91,67 +94,114 @@ def _moments(exact: str) -> str:
     return ", ".join(["cast(count(*) AS double) AS n", *sums])
 
 
-def _estimates() -> str:
-    cells = [f"s{i} / n AS m{i}" for i in range(5)]
-    for i in range(5):
-        for j in range(i, 5):
-            cell = f"(s{i}{j} - s{i} * s{j} / n) / n"
-            cells.append((f"greatest({cell}, {float(FLOORS[NAMES[i]] ** 2)})" if i == j else cell) + f" AS c{i}{j}")
-    return ", ".join(cells)
+def factored(source: str) -> str:
+    """Adds the Cholesky factor l* of the covariance c* and its log determinant, as nested selects of both engines."""
+    sql = source
+    for i in range(P):
+        for j in range(i + 1):
+            inner = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            cell = f"sqrt(greatest(c{j}{i}{inner}, 1e-3)) AS l{i}{i}" if i == j else f"(c{j}{i}{inner}) / l{j}{j} AS l{i}{j}"
+            sql = f"(SELECT *, {cell} FROM {sql})"
+    return f"(SELECT *, {' + '.join(f'ln(l{i}{i})' for i in range(P))} AS logdet FROM {sql})"
+
+
+def distanced(source: str) -> str:
+    """Adds d2, the squared Mahalanobis distance of x* from m* under the factor l*."""
+    sql = source
+    for i in range(P):
+        sql = f"(SELECT *, (x{i} - m{i}" + "".join(f" - l{i}{k} * y{k}" for k in range(i)) + f") / l{i}{i} AS y{i} FROM {sql})"
+    return f"(SELECT *, {' + '.join(f'y{i} * y{i}' for i in range(P))} AS d2 FROM {sql})"
+
+
+CELLS = [f"m{i}" for i in range(P)] + [f"c{i}{j}" for i in range(P) for j in range(i, P)]
+FACTOR = [f"m{i}" for i in range(P)] + [f"l{i}{j}" for i in range(P) for j in range(i + 1)]
+#: A distance as a whole number that grows with it, so that percentiles are exact over few values.
+KEY = "cast(round(1000 * ln(1 + {d2})) AS bigint)"
+Step = list[tuple[str, str]]
 
 
-def verdict_steps(percentile, exact: str) -> list[tuple[str, str]]:
-    """(name, SQL) of the steps from ``stats(doc_id, lang, source, ..., x0..x4, base_failed)`` to ``verdict(doc_id, d2)``.
+def first_steps(percentile) -> Step:
+    """From ``stats(lang_name, group_name, x*, base_failed)`` to ``near0(grp, st, x*, near)``, the distances of both starts.
 
     ``percentile``: (expression, share) -> SQL of the exact percentile of an engine.
     """
-    scaled = f"least(round(100 * d2), 1000000)"  # a bounded set of values, so percentiles stay small
-    steps = [
-        ("sizes", "SELECT lang, source, count(*) AS n FROM stats WHERE NOT base_failed GROUP BY lang, source"),
-        ("langs", "SELECT lang, sum(n) AS n FROM sizes GROUP BY lang"),
-        ("rows_in", f"""SELECT s.doc_id, s.base_failed, {', '.join(f's.{x}' for x in NAMES)},
-            CASE WHEN z.n >= {LEAST} THEN concat('s:', coalesce(s.lang, ''), ':', coalesce(s.source, ''), CASE WHEN s.lang IS NULL THEN ':n' ELSE '' END, CASE WHEN s.source IS NULL THEN ':n' ELSE '' END)
-                 WHEN l.n >= {LEAST} THEN concat('l:', coalesce(s.lang, ''), CASE WHEN s.lang IS NULL THEN ':n' ELSE '' END) ELSE 'all' END AS grp
-            FROM stats s LEFT JOIN sizes z ON s.lang IS NOT DISTINCT FROM z.lang AND s.source IS NOT DISTINCT FROM z.source LEFT JOIN langs l ON s.lang IS NOT DISTINCT FROM l.lang"""),
-        # a language's or the whole table's estimates are from all its rows, those of large sources included
-        ("pools", f"""SELECT grp, {', '.join(NAMES)} FROM rows_in WHERE NOT base_failed AND grp LIKE 's:%'
-            UNION ALL SELECT concat('l:', coalesce(lang, ''), CASE WHEN lang IS NULL THEN ':n' ELSE '' END) AS grp, {', '.join(NAMES)} FROM stats WHERE NOT base_failed AND EXISTS (SELECT 1 FROM rows_in r WHERE r.grp LIKE 'l:%')
-            UNION ALL SELECT 'all' AS grp, {', '.join(NAMES)} FROM stats WHERE NOT base_failed AND EXISTS (SELECT 1 FROM rows_in r WHERE r.grp = 'all')"""),
+    xs = ", ".join(NAMES)
+    return [
+        ("pools", " UNION ALL ".join(f"SELECT {grp} AS grp, {xs} FROM stats WHERE NOT base_failed" for grp in ("group_name", "lang_name", "'all'"))),
         ("centres", f"SELECT grp, {', '.join(f'{percentile(x, 0.5)} AS m{i}' for i, x in enumerate(NAMES))} FROM pools GROUP BY grp"),
         ("spreads", f"SELECT p.grp, {', '.join(f'greatest({percentile(f"round(abs({x} - m{i}))", 0.5)} / {NORMAL_MEDIAN}, {float(FLOORS[x])}) AS w{i}' for i, x in enumerate(NAMES))} FROM pools p JOIN centres c ON p.grp = c.grp GROUP BY p.grp"),
-        ("near0", f"SELECT p.*, {' + '.join(f'((x{i} - m{i}) / w{i}) * ((x{i} - m{i}) / w{i})' for i in range(5))} AS d2 FROM pools p JOIN centres c ON p.grp = c.grp JOIN spreads w ON p.grp = w.grp"),
+        ("scaled", f"SELECT p.*, {', '.join(f'abs(x{i} - m{i}) / w{i} AS z{i}' for i in range(P))} FROM pools p JOIN centres c ON p.grp = c.grp JOIN spreads w ON p.grp = w.grp"),
+        ("near0", f"SELECT grp, 0 AS st, {xs}, {KEY.format(d2=' + '.join(f'z{i} * z{i}' for i in range(P)))} AS near FROM scaled UNION ALL SELECT grp, 1 AS st, {xs}, {KEY.format(d2='greatest(' + ', '.join(f'z{i}' for i in range(P)) + ')')} AS near FROM scaled"),
     ]
-    for k in range(STEPS):
-        steps += [
-            (f"edge{k}", f"SELECT grp, {percentile(scaled, SHARE)} AS edge FROM near{k} GROUP BY grp"),
-            (f"fit{k}", f"SELECT grp, {_estimates()} FROM (SELECT a.grp, {_moments(exact)} FROM near{k} a JOIN edge{k} e ON a.grp = e.grp WHERE {scaled} <= edge GROUP BY a.grp)"),
-            (f"near{k + 1}", f"SELECT grp, {', '.join(NAMES)}, d2 FROM {distance_sql().format(source=f'(SELECT p.*, {_cells("f")} FROM pools p JOIN fit{k} f ON p.grp = f.grp)')}"),
-        ]
-    steps += [
-        ("spread", f"SELECT grp, greatest({percentile(scaled, 0.5)} / {100 * CHI_MEDIAN}, 1.0) AS factor FROM near{STEPS} GROUP BY grp"),
-        ("verdict", f"SELECT doc_id, d2 / factor AS d2 FROM {distance_sql().format(source=f'(SELECT r.*, {_cells("f")}, g.factor FROM rows_in r JOIN fit{STEPS - 1} f ON r.grp = f.grp JOIN spread g ON r.grp = g.grp WHERE NOT base_failed)')}"),
-    ]
-    return steps
 
 
-def _cells(alias: str) -> str:
-    return ", ".join([f"{alias}.m{i}" for i in range(5)] + [f"{alias}.c{i}{j}" for i in range(5) for j in range(i, 5)])
+def step(k: int, percentile, exact: str) -> Step:
+    """Concentration step k: ``best{k}``, of the estimate before and that from the nearest rows the one of the smaller determinant."""
+    cells = ", ".join(dict.fromkeys(("grp", "st", *CELLS, *FACTOR, "logdet")))
+    fit = f"SELECT grp, st, {_estimates()} FROM (SELECT a.grp, a.st, {_moments(exact)} FROM near{k} a JOIN edge{k} e ON a.grp = e.grp AND a.st = e.st WHERE near <= edge GROUP BY a.grp, a.st)"
+    steps = [("edge" + str(k), f"SELECT grp, st, {percentile('near', SHARE)} AS edge FROM near{k} GROUP BY grp, st"), ("fit" + str(k), f"SELECT {cells} FROM {factored(f'({fit})')}")]
+    if k == 0:
+        return [*steps, ("best0", "SELECT *, true AS moved FROM fit0")]
+    chosen = ", ".join(f"CASE WHEN f.logdet < b.logdet - {GAIN} THEN f.{c} ELSE b.{c} END AS {c}" for c in cells.split(", ")[2:])
+    return [*steps, (f"best{k}", f"SELECT b.grp, b.st, {chosen}, f.logdet < b.logdet - {GAIN} AS moved FROM best{k - 1} b JOIN fit{k} f ON b.grp = f.grp AND b.st = f.st")]
+
+
+def distances(k: int) -> Step:
+    """``near{k + 1}``: all rows by their distance under ``best{k}``."""
+    own = f"(SELECT p.grp, b.st, {', '.join(f'p.{x}' for x in NAMES)}, {', '.join(f'b.{c}' for c in FACTOR)} FROM pools p JOIN best{k} b ON p.grp = b.grp)"
+    return [(f"near{k + 1}", f"SELECT grp, st, {', '.join(NAMES)}, {KEY.format(d2='d2')} AS near FROM {distanced(own)}")]
+
+
+def last_steps(k: int, percentile) -> Step:
+    """From ``best{k}`` and ``near{k + 1}`` to ``verdict``: stats with d2 under the group's estimates, drawn to wider ones."""
+    ahead = "b.logdet < a.logdet OR b.logdet = a.logdet AND b.st < a.st"
+    scale = f"greatest((exp({percentile('near', 0.5)} / 1000.0) - 1) / {CHI_MEDIAN}, 1.0)"
+    covariances = [c for c in CELLS if c[0] == "c"]
+    mixed = lambda own, wide: ", ".join(f"(g.n * g.{c} + {DRAW} * w.{c}) / (g.n + {DRAW}) AS {c}" for c in CELLS)
+    return [
+        ("chosen", f"SELECT a.* FROM best{k} a WHERE NOT EXISTS (SELECT 1 FROM best{k} b WHERE a.grp = b.grp AND ({ahead}))"),
+        ("scales", f"SELECT n.grp, {scale} AS factor, cast(count(*) AS double) AS n FROM near{k + 1} n JOIN chosen c ON n.grp = c.grp AND n.st = c.st GROUP BY n.grp"),
+        ("mcd", f"SELECT c.grp, s.n, {', '.join(f'c.{c}' for c in CELLS if c[0] == 'm')}, {', '.join(f'factor * c.{c} AS {c}' for c in covariances)} FROM chosen c JOIN scales s ON c.grp = s.grp"),
+        ("groups", "SELECT DISTINCT group_name, lang_name FROM stats WHERE NOT base_failed"),
+        ("langs", f"SELECT g.grp, {mixed('g', 'w')} FROM mcd g CROSS JOIN (SELECT * FROM mcd WHERE grp = 'all') w WHERE g.grp LIKE 'l%'"),
+        ("drawn", f"SELECT k.group_name, {mixed('g', 'w')} FROM groups k JOIN mcd g ON k.group_name = g.grp JOIN langs w ON k.lang_name = w.grp"),
+        ("models", f"SELECT group_name AS model, {', '.join(FACTOR)} FROM {factored('drawn')}"),
+        ("verdict", f"SELECT * FROM {distanced(f'(SELECT s.*, {', '.join(f'd.{c}' for c in FACTOR)} FROM stats s LEFT JOIN models d ON s.group_name = d.model)')}"),
+    ]
 
 
 def quality(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance)."""
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept), one row for each document."""
+    return judged(documents, id_col, text_col, lang_col, source_col).select(id_col, *COLUMNS, F.expr(VERDICT).alias("kept"))
+
+
+def judged(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """The id (or the columns ``keep``) of every row with its statistics and squared distance ``d2``."""
     spark = documents.sparkSession
     work = Workspace(spark, "quality")
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    stats = work.save(statistics(docs), "texts").select("*", *(F.expr(f"cast({sql} AS bigint)").alias(x) for x, sql in VECTOR.items()))
+    kept = [id_col] if keep is None else keep
+    docs = documents.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").alias("_text"))
+    stats = work.save(statistics(docs, "_text"), "texts").select("*", *(F.expr(f"cast({sql} AS bigint)").alias(x) for x, sql in VECTOR.items()), *(F.expr(sql).alias(x) for x, sql in GROUPS.items()))
     views = {"stats": stats}
-    kept_tables = {"rows_in", "pools", "centres", "spreads", *(f"{x}{k}" for x in ("edge", "fit") for k in range(STEPS)), "spread"}
-    for name, sql in verdict_steps(lambda x, share: f"percentile({x}, {share})", "decimal(38, 0)"):
-        result = spark.sql(_with_views(sql, views), **{k: v for k, v in views.items() if _uses(sql, k)})
-        views[name] = work.save(result, name) if name in kept_tables else result
-    out = stats.join(views["verdict"], "doc_id", "left")
-    keep = F.expr(f"NOT base_failed AND coalesce(d2, 0) <= {CUTOFF}")
-    return out.select(F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", keep.alias("kept"))
+
+    def run(steps: Step) -> None:
+        for name, sql in steps:
+            result = spark.sql(_with_views(sql, views), **{k: v for k, v in views.items() if _uses(sql, k)})
+            views[name] = work.save(result, name) if name.rstrip("0123456789") in ("pools", "centres", "spreads", "near", "best", "mcd", "drawn") else result
+
+    percentile, exact, k = (lambda x, share: f"percentile({x}, {share})"), "decimal(38, 0)", 0
+    run(first_steps(percentile))
+    run(step(0, percentile, exact))
+    while True:  # each chain's determinant falls by a factor at every step it takes and has a floor, so this ends
+        run(distances(k))
+        work.drop(f"near{k}")
+        run(step(k + 1, percentile, exact))
+        k += 1
+        if not views[f"best{k}"].filter("moved").take(1):
+            break
+    run([x for x in last_steps(k - 1, percentile)])
+    work.drop("pools")
+    return views["verdict"].select("_row.*", *COLUMNS, "d2")
 
 
 def _uses(sql: str, name: str) -> bool:
@@ -185,14 +235,17 @@ def stats_sql() -> str:
         WHERE n > 1) GROUP BY doc_id) r ON d.doc_id = r.doc_id"""
 
 
-def oracle_ctes() -> str:
-    """The DuckDB CTEs up to ``verdict``."""
-    steps = [("texts", stats_sql()), ("stats", "SELECT *, " + ", ".join(f"cast({sql} AS bigint) AS {x}" for x, sql in VECTOR.items()) + " FROM texts")]
-    steps += verdict_steps(lambda x, share: f"quantile_cont({x}, {share})", "hugeint")
-    return ",\n".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in steps)
+def oracle_ctes(steps: int = 12) -> str:
+    """The DuckDB CTEs up to ``verdict``; concentration steps beyond the last that lowers a determinant change nothing."""
+    percentile, exact = (lambda x, share: f"quantile_cont({x}, {share})"), "hugeint"
+    out = [("texts", stats_sql()), ("stats", "SELECT *, " + ", ".join([f"cast({sql} AS bigint) AS {x}" for x, sql in VECTOR.items()] + [f"{sql} AS {x}" for x, sql in GROUPS.items()]) + " FROM texts")]
+    out += [*first_steps(percentile), *step(0, percentile, exact)]
+    for k in range(steps):
+        out += [*distances(k), *step(k + 1, percentile, exact)]
+    out += last_steps(steps - 1, percentile)
+    return ",\n".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in out)
 
 
 def oracle_sql() -> str:
     return f"""WITH {oracle_ctes()}
-SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d2, 0) <= {CUTOFF} AS kept
-FROM stats s LEFT JOIN verdict v ON s.doc_id = v.doc_id"""
+SELECT doc_id, {', '.join(COLUMNS)}, NOT base_failed AND coalesce(d2, 0) <= {CUTOFF} AS kept FROM verdict"""

@@ -413,3 +413,21 @@ def test_repeated_and_null_ids(spark):
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.repeated_passages(frame).collect()], key=key) == sorted([(k, *v) for k, v in own], key=key)
     own, name = _by_rows(rows, _classes)
     assert sorted([tuple(r) for r in near_duplicate_classes(frame).collect()], key=key) == sorted([(k, v[0], name[v[1]]) for k, v in own], key=key)
+
+
+def test_quality_of_repeated_rows_and_long_texts(spark):
+    """Rows of one id are judged each; windows of a long text are told apart by whole hashes."""
+    rng = random.Random(12)
+    long = " ".join([f"w{k}" for k in range(300_000)] + ["w7", "w8", "w9"])
+    rows = [(1, _words(rng, 60), "a:b", "c"), (1, _words(rng, 70), "a", "b:c"), (None, _words(rng, 80), None, None), (None, None, "n", None), (2, long, "en", "s"), (2, long, "en", "s")]
+    got = [tuple(r) for r in quality.quality(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(map(str, ((r[0], *r[1:7]) for r in got))) == sorted(str((k, *_statistics(t))) for k, t, *_ in rows)
+    assert [r[5] for r in got if r[0] == 2] == [6, 6]
+
+
+def test_determinants_fall_and_contamination_is_left_out(spark):
+    """A quarter of a source's rows far off in one direction neither moves the centre nor widens the covariance."""
+    rng = random.Random(13)
+    rows = [(k, _words(rng, rng.randint(60, 300)), "en", "s") for k in range(300)] + [(1000 + k, "$ # | ".join(_words(rng, 90).split()), "en", "s") for k in range(70)]
+    got = {r.doc_id: r.d2 for r in quality.judged(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert max(v for k, v in got.items() if k < 1000) < quality.CUTOFF < min(v for k, v in got.items() if k >= 1000)
