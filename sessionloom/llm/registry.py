@@ -33,6 +33,11 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The surrogates' key: the setting ``spark.sessionloom.pii.key``, which every real run sets; a stated one for tests."""
+    return spark.conf.get("spark.sessionloom.pii.key", None) or "not-a-secret: set spark.sessionloom.pii.key"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,7 +69,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(_table(spark, sf_dir, "documents"), count_col="n_mentions").select("doc_id", "text", "n_mentions")
+    return replace_pii(_table(spark, sf_dir, "documents"), pii_key(spark), count_col="n_mentions").select("doc_id", "text", "n_mentions")
 
 
 def op5_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
