@@ -16,7 +16,7 @@ from sessionloom.llm.ngram_join import near_duplicate_classes
 from sessionloom.llm.packing import packed_buckets
 from sessionloom.llm.pii import replace_pii
 from sessionloom.llm.quality import quality
-from sessionloom.llm.registry import tokenizer_path
+from sessionloom.llm.registry import pii_key, tokenizer_path
 
 #: Most ids that are broadcast.
 BROADCAST_IDS = 500_000
@@ -45,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gets surrogates."""
-    return replace_pii(docs).select(*docs.columns)
+    return replace_pii(docs, pii_key(spark)).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
