@@ -13,7 +13,9 @@
 5. The text of a message goes on without quoted lines and the attribution line before them.
 
 Cases: null texts are empty; passages without letters or digits link to nothing; quotes of unknown text have no target;
-repeated rows are linked each; empty tables give no rows; other columns are ignored. An unquoted message is unchanged.
+rows of one conversation and turn are one message with the passages of all their texts, and each is returned; null
+conversations and turns are one of their own and stay null; empty tables give no rows; other columns are ignored. An
+unquoted message is unchanged.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._work import Workspace, shuffle_width
+from ._work import NO_ID, Workspace, numbered, shuffle_width
 from .components import connected_components
 
 QUOTE = r"^(?:[ \t]*>)+"
@@ -34,26 +36,32 @@ def normalised(text: Column) -> Column:
 
 
 def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, turn, role, text, n_quoted_lines, n_passages, n_linked, reply_conv, reply_turn, thread_id, order_conv, order_turn, is_reply, depth, position)."""
+    """(conv_id, turn, role, text, n_quoted_lines, n_passages, n_linked, reply_conv, reply_turn, thread_id, is_reply, depth, position)."""
     work = Workspace(messages.sparkSession, "quotes")
-    rows = messages.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    ids = (F.coalesce(F.col(c).cast("long"), F.lit(NO_ID)).alias(name) for c, name in ((conv, "conv_id"), (turn, "turn")))
+    rows = messages.select(*ids, F.col(role).cast("string").alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("lines", F.split("text", "\n"))
     level = f"length(regexp_replace(regexp_extract(l, '{QUOTE.replace(chr(92), chr(92) * 2)}', 0), '[^>]', ''))"
     rows = rows.withColumn("levels", F.expr(f"transform(lines, l -> {level})")).withColumn("n_quoted_lines", F.expr("size(filter(levels, x -> x > 0))").cast("long"))
     attributed = ATTRIBUTION.replace("\\", "\\\\")
     own = f"filter(lines, (l, i) -> get(levels, i) = 0 AND NOT (coalesce(get(levels, i + 1), 0) > 0 AND l rlike '{attributed}'))"
     rows = rows.withColumn("body", F.when(F.col("n_quoted_lines") > 0, F.regexp_replace(F.array_join(F.expr(own), "\n"), r"^\n+|\n+$", "")).otherwise(F.col("text")))
-    rows = work.save(rows, "rows")
+    kept = ["conv_id", "turn", "role", "text", "body", "n_quoted_lines"]
+    every = work.save(rows, "rows")
+    # of repeated (conv_id, turn) the passages of all texts count together; each text is read once
+    rows = every.select("conv_id", "turn", "text", "body", "lines", "levels", "n_quoted_lines", F.sha2("text", 256).alias("digest"))
+    if not every.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        rows = rows.dropDuplicates(["conv_id", "turn", "digest"])
 
     units = F.array_distinct(F.concat(F.array("body"), F.split("body", r"\n[ \t]*\n"), F.split("body", "\n")))
     originals = rows.select("conv_id", "turn", F.explode(units).alias("unit")).select("conv_id", "turn", normalised(F.col("unit")).alias("unit")).filter("unit <> ''").select("conv_id", "turn", F.sha2("unit", 256).alias("hash")).distinct()
 
-    quoted = rows.filter("n_quoted_lines > 0").select("conv_id", "turn", F.posexplode(F.arrays_zip("lines", "levels")).alias("at", "l")).select("conv_id", "turn", "at", F.col("l.lines").alias("line"), F.col("l.levels").alias("level"))
-    by_line = Window.partitionBy("conv_id", "turn").orderBy("at")
+    quoted = rows.filter("n_quoted_lines > 0").select("conv_id", "turn", "digest", F.posexplode(F.arrays_zip("lines", "levels")).alias("at", "l")).select("conv_id", "turn", "digest", "at", F.col("l.lines").alias("line"), F.col("l.levels").alias("level"))
+    by_line = Window.partitionBy("conv_id", "turn", "digest").orderBy("at")
     quoted = quoted.withColumn("new", (F.col("level") != F.coalesce(F.lag("level").over(by_line), F.lit(0))).cast("int")).withColumn("passage", F.sum("new").over(by_line.rowsBetween(Window.unboundedPreceding, 0))).filter("level > 0")
-    quoted = work.save(quoted.select("conv_id", "turn", "passage", "level", "at", F.trim(F.regexp_replace("line", QUOTE, "")).alias("line")), "quoted")
-    whole = quoted.groupBy("conv_id", "turn", "passage", "level").agg(F.expr("array_join(transform(array_sort(collect_list(struct(at, line))), x -> x.line), '\n')").alias("unit"))
-    keys = whole.withColumn("whole", F.lit(1)).unionByName(quoted.select("conv_id", "turn", "passage", "level", F.col("line").alias("unit"), F.lit(0).alias("whole")))
+    quoted = work.save(quoted.select("conv_id", "turn", "digest", "passage", "level", "at", F.trim(F.regexp_replace("line", QUOTE, "")).alias("line")), "quoted")
+    whole = quoted.groupBy("conv_id", "turn", "digest", "passage", "level").agg(F.expr("array_join(transform(array_sort(collect_list(struct(at, line))), x -> x.line), '\n')").alias("unit"))
+    keys = whole.drop("digest").withColumn("whole", F.lit(1)).unionByName(quoted.select("conv_id", "turn", "passage", "level", F.col("line").alias("unit"), F.lit(0).alias("whole")))
     keys = keys.withColumn("unit", normalised(F.col("unit"))).filter("unit <> ''").select("conv_id", "turn", "passage", "level", "whole", F.length("unit").alias("size"), F.sha2("unit", 256).alias("hash"))
     keys = work.save(keys, "keys")
 
@@ -73,12 +81,14 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
     threads = connected_components(linked.filter("to_conv <> conv_id").select(F.col("conv_id").alias("a"), F.col("to_conv").alias("b")).distinct(), work, "threads")
     reply = work.save(reply, "reply")
     depths = chain_depths(rows.select("conv_id", "turn").distinct(), reply, work)
-    out = rows.join(passages, ["conv_id", "turn"], "left").join(reply, ["conv_id", "turn"], "left").join(threads.withColumnRenamed("node", "conv_id"), "conv_id", "left").join(depths, ["conv_id", "turn"], "left")
-    out = numbered(out.withColumn("depth", F.coalesce("depth", F.lit(0))).withColumn("thread", F.coalesce("component", "conv_id")), work)
+    out = every.join(passages, ["conv_id", "turn"], "left").join(reply, ["conv_id", "turn"], "left").join(threads.withColumnRenamed("node", "conv_id"), "conv_id", "left").join(depths, ["conv_id", "turn"], "left")
+    out = out.withColumn("depth", F.coalesce("depth", F.lit(0))).withColumn("thread", F.coalesce("component", "conv_id"))
+    out = numbered(out.select(*kept, "n_passages", "n_linked", "to", "thread", "depth"), ["depth", "conv_id", "turn", "role", "text"], work, "parts", "thread")
+    known = lambda column: F.nullif(column, F.lit(NO_ID))
     return out.select(
-        F.col("conv_id").alias(conv), F.col("turn").alias(turn), F.col("role").alias(role), F.col("body").alias(text), "n_quoted_lines", F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
-        F.col("to.to_conv").alias("reply_conv"), F.col("to.to_turn").alias("reply_turn"), F.col("thread").alias("thread_id"),
-        F.coalesce("to.to_conv", "conv_id").alias("order_conv"), F.coalesce("to.to_turn", "turn").alias("order_turn"), F.col("to").isNotNull().alias("is_reply"), "depth", "position",
+        known(F.col("conv_id")).alias(conv), known(F.col("turn")).alias(turn), F.col("role").alias(role), F.col("body").alias(text), "n_quoted_lines", F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
+        known(F.col("to.to_conv")).alias("reply_conv"), known(F.col("to.to_turn")).alias("reply_turn"), known(F.col("thread")).alias("thread_id"),
+        F.col("to").isNotNull().alias("is_reply"), "depth", F.col("number").alias("position"),
     )
 
 
@@ -110,16 +120,6 @@ def chain_depths(nodes: DataFrame, reply: DataFrame, work: Workspace) -> DataFra
         state = ended.unionByName(going)
 
 
-def numbered(rows: DataFrame, work: Workspace) -> DataFrame:
-    """Adds ``position``: the number in its thread by depth, conv_id and turn, by ranges, so that a thread can be of any size."""
-    order = ["depth", "conv_id", "turn", "role", "text"]
-    parts = work.save(rows.repartitionByRange(shuffle_width(work.spark), "thread", *order).withColumn("part", F.spark_partition_id()), "parts")
-    earlier = Window.partitionBy("thread").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.groupBy("thread", "part").agg(F.count(F.lit(1)).alias("size")).select("thread", "part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
-    own = F.row_number().over(Window.partitionBy("thread", "part").orderBy(*order))
-    return parts.withColumn("own", own).join(offsets, ["thread", "part"]).withColumn("position", F.col("offset") + F.col("own") - 1)
-
-
 def _two_firsts(met: DataFrame) -> DataFrame:
     """(hash, first, second): the first messages of the two first conversations that have a hash."""
     first = met.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
@@ -127,7 +127,6 @@ def _two_firsts(met: DataFrame) -> DataFrame:
     return first.join(second, "hash", "left")
 
 
-def conversations(linked: DataFrame, role: str = "role", text: str = "text") -> DataFrame:
-    """(thread_id, messages): each thread's messages in reply order, without quotes."""
-    message = F.struct("position", F.col(role).alias("role"), F.col(text).alias("content"))
-    return linked.groupBy("thread_id").agg(F.transform(F.array_sort(F.collect_list(message)), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+def write_conversations(linked: DataFrame, path: str) -> None:
+    """The messages as Parquet in reading order, thread after thread, dealt out by ranges: a thread of any size needs no task of its own."""
+    linked.repartitionByRange(shuffle_width(linked.sparkSession), "thread_id", "position").sortWithinPartitions("thread_id", "position").write.parquet(path)

@@ -9,7 +9,9 @@ records with the digest, the length and a reference to it. Digests are grouped b
 payload that a third of all pages share is one row a task.
 
 Cases: null payloads are empty; null addresses have no target header, control characters in them are escaped; an empty
-table writes no file; ids are expected to be unique; other columns are ignored. A lost task writes its file anew.
+table writes no file; rows of one id are written each, and equal ones are not revisits of one another; rows with a null
+id are responses that no record refers to, and their id is read back as null; other columns are ignored. A lost task
+writes its file anew.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._files import reading, writing
-from ._work import Workspace, shuffle_width
+from ._work import NO_ID, Workspace, shuffle_width
 
 #: Least bytes of a payload that is stored once, plain bytes of a frame, and plain bytes of a file.
 MIN_REVISIT, FRAME, FILE = 100, 1 << 18, 1 << 28
@@ -144,11 +146,14 @@ def writer(root: str, date: str):
 def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes the bundles below ``root``; the index (page, file, frame, place, length)."""
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    named = rows.select("page", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("size"))
-    firsts = named.filter(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("digest", "first")
-    marked = named.join(firsts, "digest", "left").select("page", "digest", F.expr(f"CASE WHEN size >= {MIN_REVISIT} AND first <> page THEN first END").alias("first"))
+    rows = rows.withColumn("page", F.coalesce("page", F.lit(NO_ID)))
+    named = rows.select("page", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("size")).distinct()
+    firsts = named.filter(f"size >= {MIN_REVISIT} AND page <> {NO_ID}").groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("digest", "first")
+    marked = named.join(firsts, "digest", "left").select("page", "digest", F.expr(f"CASE WHEN size >= {MIN_REVISIT} AND first <> page AND page <> {NO_ID} THEN first END").alias("first"))
+    marked = marked.groupBy("page").agg(F.collect_list(F.struct("digest", "first")).alias("own"))  # one, but for an id with several payloads
     width = shuffle_width(pages.sparkSession)
-    dealt = rows.join(marked, "page").select("page", "url", "payload", "digest", "first").repartition(width, "page").sortWithinPartitions("page")
+    found = F.expr("CASE WHEN size(own) = 1 THEN own[0] ELSE filter(own, x -> x.digest = sha2(payload, 256))[0] END")
+    dealt = rows.join(marked, "page").withColumn("own", found).select("page", "url", "payload", "own.digest", "own.first").repartition(width, "page").sortWithinPartitions("page")
     return dealt.mapInArrow(writer(root, date), "page long, file string, frame long, place long, length long")
 
 
@@ -183,4 +188,4 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """Writes the archives and reads them back: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
     work = Workspace(pages.sparkSession, "warc")
     index = work.save(write_archives(pages, f"{work.path}/files", id_col, url_col, payload_col), "index")
-    return read_archives(index).select(F.col("page").alias(id_col), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("first").alias("refers_to"))
+    return read_archives(index).select(F.nullif("page", F.lit(NO_ID)).alias(id_col), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("first").alias("refers_to"))

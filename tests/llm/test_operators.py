@@ -184,14 +184,15 @@ def test_quality_rejects_outliers_only(spark):
     assert all(got[k] for k, *_ in clean) and not any(got[k] for k, *_ in junk)
 
 
-def test_quotes(spark):
+def test_quotes(spark, tmp_path):
     rows = [(1, 0, "user", "Hello there.\nHow are you?"), (1, 1, "assistant", "> How are you?\nFine!"), (1, 2, "user", "On Monday X wrote:\n>> How are you?\n> Fine!\nGood\n\n> unknown"), (2, 0, "user", "> hello THERE\n> how are you\nlinked"), (3, 0, None, None), (4, 0, "user", "a > b"), (5, 0, "user", ">\n> !!\nx")]
     frame = spark.createDataFrame([(*r, 9) for r in rows], "conv_id bigint, turn bigint, role string, text string, hash int")
     linked = quotes.link_quotations(frame)
     got = {(r.conv_id, r.turn): (r.text, r.n_quoted_lines, r.n_passages, r.n_linked, r.reply_conv, r.reply_turn, r.thread_id) for r in linked.collect()}
     assert got == {(1, 0): (rows[0][3], 0, 0, 0, None, None, 1), (1, 1): ("Fine!", 1, 1, 1, 1, 0, 1), (1, 2): ("Good", 3, 3, 2, 1, 1, 1), (2, 0): ("linked", 2, 1, 1, 1, 0, 1), (3, 0): ("", 0, 0, 0, None, None, 3), (4, 0): ("a > b", 0, 0, 0, None, None, 4), (5, 0): ("x", 2, 1, 0, None, None, 5)}
-    threads = {r.thread_id: [m.content for m in r.messages] for r in quotes.conversations(linked).collect()}
-    assert threads[1] == ["Hello there.\nHow are you?", "Fine!", "linked", "Good"]
+    quotes.write_conversations(linked, f"file://{tmp_path}/threads")
+    thread = sorted((r for r in spark.read.parquet(f"file://{tmp_path}/threads").collect() if r.thread_id == 1), key=lambda r: r.position)
+    assert [r.text for r in thread] == ["Hello there.\nHow are you?", "Fine!", "linked", "Good"]
     assert quotes.link_quotations(frame.limit(0)).count() == 0
 
 
@@ -490,3 +491,67 @@ def test_pii_in_a_filled_space(spark):
     rows = [(k, f"at {k // 9 + 1}.{k % 9 + 1}.{a}.{b} end") for k in range(81) for a in range(1, 10) for b in range(1, 10)]
     got = pii.replace_pii(spark.createDataFrame(rows, "doc_id bigint, text string"), "k").collect()
     assert len({r.text for r in got}) == len(rows) and not {r.text for r in got} & {t for _, t in rows}
+
+
+def _linked(rows):
+    """Brute force for quote-free turns before quoting ones: (passages, linked, target) by comparing every passage with every text."""
+    norm = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
+    level = lambda line: len(re.match(r"[ \t>]*", line)[0].replace(" ", "")) if re.match(r"[ \t]*>", line) else 0
+    own = {}
+    for c, t, x in rows:
+        body = "\n".join(line for line in (x or "").split("\n") if not level(line)).strip("\n")
+        own[c, t] = {norm(u) for u in (body, *re.split(r"\n[ \t]*\n", body), *body.split("\n"))} - {""}
+    out = {}
+    for c, t, x in rows:
+        passages, before = [], 0
+        for line in (x or "").split("\n"):
+            now = level(line)
+            if now and now != before:
+                passages.append((now, len(passages), []))
+            if now:
+                passages[-1][2].append(re.sub(r"^[ \t>]*", "", line))
+            before = now
+        targets = []
+        for now, k, lines in passages:
+            best = None
+            for whole, unit in [(1, norm("\n".join(lines))), *((0, norm(x)) for x in lines)]:
+                same = [tt for (cc, tt), units in own.items() if cc == c and tt < t and unit and unit in units]
+                other = [(cc, tt) for (cc, tt), units in own.items() if cc != c and unit and unit in units]
+                if same or other:
+                    found = (1, whole, len(unit), max(same), c) if same else (0, whole, len(unit), min(other)[1], min(other)[0])
+                    best = max(best, found) if best else found
+            if best:
+                targets.append((now, k, best[4], best[3]))
+        out[c, t] = len(passages), len(targets), min(targets)[2:] if targets else (None, None)
+    return out
+
+
+def test_quotes_against_brute_force(spark):
+    rng, rows = random.Random(31), []
+    for c in range(60):
+        said = []
+        for t in range(rng.randint(2, 7)):
+            lines = [_words(rng, rng.randint(1, 3)) for _ in range(rng.randint(1, 3))]
+            if said and rng.random() < 0.7:
+                quoted = rng.choice(said if rng.random() < 0.7 else [r[2].split("\n")[-1] for r in rows] or said).split("\n")
+                lines = [f"{'>' * rng.choice((1, 1, 2))} {x.upper() if rng.random() < 0.3 else x}" for x in quoted] + lines
+            said.append("\n".join(x for x in lines if x[0] != ">"))
+            rows.append((c, t, "\n".join(lines)))
+    more = rows + [rows[3], rows[3], (None, None, "> nothing"), (None, 1, None)]
+    frame = spark.createDataFrame([(c, t, "user", x) for c, t, x in more], "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    linked = quotes.link_quotations(frame).collect()
+    got = {(r.conv_id, r.turn): (r.n_passages, r.n_linked, (r.reply_conv, r.reply_turn)) for r in linked if r.conv_id is not None}
+    assert len(linked) == len(more) and got == _linked(rows)
+    for thread in {r.thread_id for r in linked}:
+        own = sorted((r for r in linked if r.thread_id == thread), key=lambda r: r.position)
+        assert [r.position for r in own] == list(range(len(own)))
+        place = {(r.conv_id, r.turn): r.position for r in own}
+        assert all(place[r.reply_conv, r.reply_turn] < r.position for r in own if r.is_reply and r.depth)
+
+
+def test_warc_repeated_and_null_ids(spark):
+    rows = [(5, "x" * 100), (5, "x" * 100), (5, "y" * 100), (7, "x" * 100), (7, "y" * 99), (None, "x" * 100), (None, None), (9, None)]
+    got = [tuple(r) for r in warc.archive_round_trip(spark.createDataFrame([(k, "u", t) for k, t in rows], "page_id bigint, url string, html string")).collect()]
+    named = lambda t: (len(t or ""), hashlib.sha256((t or "").encode()).hexdigest())
+    expected = [(k, *named(t), "revisit" if (k, t) == (7, "x" * 100) else "response", 5 if (k, t) == (7, "x" * 100) else None) for k, t in rows]
+    assert sorted(map(str, got)) == sorted(map(str, expected))
