@@ -1,14 +1,15 @@
 """Operator 3: licence scan by canonical digests.
 
-A text is normalised - lower case, copyright lines dropped, equivalent spellings unified, everything but letters and
-digits to single spaces - and the digest of the whole is looked up among the digests of known licences, which go through
+A text is normalised - lower case, copyright and title lines dropped, equivalent spellings unified, everything but letters
+and digits to single spaces - and the digest of the whole is looked up among the digests of known licences, which go through
 the same steps. Built-in expressions only; the join is on digests, so equal texts need no comparison with one another.
 
-The table of known licences is an argument; by default it is the short texts below.
+The table of known licences is an argument; by default it is the texts below: the permissive licences in full and the
+notices by which files refer to longer ones. ``read_licenses`` makes one from a folder of licence texts.
 
 Cases: null texts have no digest and no licence; texts without letters or digits have the digest of the empty text and no
-licence; copies are found each; a known table with two names for one digest keeps the smallest name; empty tables give
-no rows; other columns are ignored.
+licence (a title alone too); copies are found each, whatever their id; a known table with two names for one digest keeps
+the smallest name; empty tables give no rows; other columns are ignored; texts of any length are treated whole.
 """
 
 from __future__ import annotations
@@ -16,8 +17,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines that name a holder: dropped.
-COPYRIGHT = r"(?m)^[^\p{L}\p{N}(©\n]*(copyright[ \t]*(\(c\)|©|[0-9]|by )|(\(c\)|©)[ \t]*[0-9]|all rights reserved)[^\n]*"
+#: Lines that name a holder: dropped. Lines of a licence's own that begin with "copyright notice" or "copyright holders" stay.
+COPYRIGHT = (
+    r"(?m)^[^\p{L}\p{N}(©\n]*("
+    r"((portions|parts)( of [^\n]{1,60})?( (are|is))? )?copyright[ \t]*(\(c\)|©|[0-9]|by )[^\n]*|(portions|parts)( of [^\n]{1,60})?( (are|is))? copyright[^\n]*"
+    r"|copyright [^\n]{1,80}[ ,](inc|ltd|llc|corp|corporation|company|gmbh|foundation|university)[^\p{L}\n]*|(\(c\)|©)[ \t]*[0-9][^\n]*|(\(c\)|©)[^\n]*[ ,][0-9]{4}[^\p{L}\n]*|all rights reserved[^\n]*)$"
+)
+#: Lines that are a licence's title or its version and date, and addresses: dropped.
+TITLE = (
+    r"(?m)^[^\p{L}\p{N}\n]*((the )?(mit|isc|zlib|x11|boost software|apache|bsd|mozilla public|gnu (lesser |affero )?general public|(simplified|new|modified|revised) bsd"
+    r"|([0-4]|two|three|four|zero)[ -]clause bsd|bsd ([0-4]|two|three|four|zero)[ -]clause|mit no attribution)( software)? licen[cs]e|(the )?unlicen[cs]e)"
+    r"[^\p{L}\n]*((mit|isc|bsd|zlib|0bsd|mit-0|bsl-1|bsd-[0-4]-clause|unlicense)[^\p{L}\n]*)?((version|v)[ .]?[0-9][^\n]*)?$"
+    r"|(?m)^[^\p{L}\p{N}\n]*version [0-9.]+,? ([0-9]+ )?[a-z]+( [0-9]+,)? [0-9]{4}[^\p{L}\n]*$|https?://[^ \t\n]+"
+)
 #: Equivalent spellings.
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze",
@@ -40,6 +52,42 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>""",
+    "MIT-0": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "WTFPL": """Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.
+DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
+0. You just DO WHAT THE FUCK YOU WANT TO.""",
+    "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "GPL-3.0-or-later-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "GPL-2.0-or-later-header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    "LGPL-3.0-or-later-header": """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.
+You should have received a copy of the GNU Lesser General Public License along with this library. If not, see <https://www.gnu.org/licenses/>.""",
+    "MPL-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -49,7 +97,7 @@ Permission is granted to anyone to use this software for any purpose, including
 
 def canonical(text: Column) -> Column:
     """The normalised text."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT, "")
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT, ""), TITLE, "")
     out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))  # each word in spaces of its own
     for word, same in SPELLINGS.items():
         out = F.replace(out, F.lit(f" {word} "), F.lit(f" {same} "))
@@ -58,7 +106,7 @@ def canonical(text: Column) -> Column:
 
 def canonical_sql(text: str) -> str:
     """The same in DuckDB SQL."""
-    out = f"' ' || regexp_replace(regexp_replace(lower({text}), '{COPYRIGHT}', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || ' '"
+    out = f"' ' || regexp_replace(regexp_replace(regexp_replace(lower({text}), '{COPYRIGHT}', '', 'g'), '{TITLE}', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || ' '"
     for word, same in SPELLINGS.items():
         out = f"replace({out}, ' {word} ', ' {same} ')"
     return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
@@ -68,6 +116,12 @@ def known_licenses(spark) -> DataFrame:
     return spark.createDataFrame(list(KNOWN.items()), "license string, text string")
 
 
+def read_licenses(spark, path: str) -> DataFrame:
+    """(license, text) of a folder of text files named after their licence."""
+    named = F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"[.](txt|md)$", "")
+    return spark.read.text(path, wholetext=True).select(named.alias("license"), F.col("value").alias("text"))
+
+
 def scan_licenses(documents: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, license): licence is null where the whole text is none that is known."""
     known = known_licenses(documents.sparkSession) if known is None else known
