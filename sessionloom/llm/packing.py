@@ -24,13 +24,22 @@ from pyspark.sql.types import StructType
 from ._work import Workspace
 from .tokens import encoder, groups, release
 
+#: Pieces in a batch, each of at most ``max_length`` ids.
+ROWS = 1 << 11
 WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 SCHEMA = "doc long, start long, length long, ids binary, doc_tokens long, sequence_id long"
 
 
-def pieces(n: int, longest: int) -> list[int]:
-    """Lengths of the pieces of n ids: as many of ``longest``, a power of two, as fit and the rest's binary digits."""
-    return [longest] * (n // longest) + [1 << k for k in range(longest.bit_length() - 2, -1, -1) if n % longest >> k & 1]
+def pieces(sizes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, length) of the pieces of documents of so many ids: as many of ``longest``, a power of two, as fit
+    and the binary digits of the rest, greatest first."""
+    digits = 1 << np.arange(longest.bit_length() - 2, -1, -1)
+    parts = np.concatenate((np.minimum(sizes[:, None] // longest, 1) * longest, sizes[:, None] % longest & digits), 1)  # one column for all whole ones
+    times = np.concatenate((sizes[:, None] // longest, (parts[:, 1:] > 0).astype(np.int64)), 1)
+    doc = np.repeat(np.arange(len(sizes)), times.sum(1))
+    length = np.repeat(parts.ravel(), times.ravel())
+    ends = np.cumsum(length)
+    return doc, ends - length - (np.cumsum(sizes) - sizes)[doc], length
 
 
 def packer(path: str, kind: str, end_id: int, longest: int):
@@ -38,16 +47,18 @@ def packer(path: str, kind: str, end_id: int, longest: int):
         enc, end, place = encoder(path, kind), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 33
         for batch in batches:
             for first, texts in groups(batch.column(1)):
-                rows: tuple[list, ...] = ([], [], [], [], [], [])
-                for doc, ids in zip(batch.column(0)[first : first + len(texts)].to_pylist(), enc.ids(texts), strict=True):
-                    ids += end
-                    at = 0
-                    for length in pieces(len(ids) // 4, longest):
-                        for column, value in zip(rows, (doc, at, length, ids[4 * at : 4 * (at + length)], len(ids) // 4, place), strict=True):
-                            column.append(value)
-                        at += length
-                        place += 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 3 else pa.int64()) for k, x in enumerate(rows)], ["doc", "start", "length", "ids", "doc_tokens", "sequence_id"])
+                ids = enc.ids(texts)
+                sizes = np.array([len(x) // 4 + 1 for x in ids], np.int64)
+                data = end.join([*ids, b""])  # the pieces lie one after the other in it
+                doc, start, length = pieces(sizes, longest)
+                for lo in range(0, len(doc), ROWS):
+                    own, n = length[lo : lo + ROWS], len(doc[lo : lo + ROWS])
+                    base = int(length[:lo].sum()) * 4
+                    offsets = np.concatenate(([0], np.cumsum(4 * own))).astype(np.int32)
+                    cells = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data).slice(base, int(offsets[-1]))])
+                    columns = [batch.column(0).take(pa.array(first + doc[lo : lo + ROWS])), pa.array(start[lo : lo + ROWS]), pa.array(own), cells, pa.array(sizes[doc[lo : lo + ROWS]]), pa.array(place + np.arange(n))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc", "start", "length", "ids", "doc_tokens", "sequence_id"])
+                    place += n
         release()
 
     return task
@@ -71,7 +82,7 @@ def write_buckets(packed: DataFrame, path: str) -> None:
     conf, before = packed.sparkSession.conf, packed.sparkSession.conf.get(WRITERS)
     conf.set(WRITERS, str(max(64, int(before))))
     try:
-        packed.write.option("compression", "zstd").partitionBy("bucket").parquet(path)
+        packed.write.option("compression", "snappy").option("parquet.enable.dictionary", "false").partitionBy("bucket").parquet(path)
     finally:
         conf.set(WRITERS, before)
 

@@ -259,7 +259,8 @@ def test_packing(docs, empty):
         whole[r.doc_id][r.start] = bytes(r.ids)
     assert {k: b"".join(v[s] for s in sorted(v)) for k, v in whole.items()} == expected
     assert packing.packed_buckets(empty, tokenizer_path("byte_bpe_50k.json")).count() == 0
-    assert packing.pieces(2051, 1024) == [1024, 1024, 2, 1]
+    doc, start, length = packing.pieces(np.array([2051, 1, 1024]), 1024)
+    assert doc.tolist() == [0, 0, 0, 0, 1, 2] and start.tolist() == [0, 1024, 2048, 2050, 0, 0] and length.tolist() == [1024, 1024, 2, 1, 1, 1024]
 
 
 def test_simple8b_codec():
