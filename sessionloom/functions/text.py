@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 #: Month names and their abbreviations.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: The forms of a floating-point literal.
+NUMBER = r"^\s*[+-]?(((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?|[nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
 NO_ANSWER = "Context insufficient to answer"
 #: Parts of sentences that are no user utterance.
-NOT_USER = ("assistant", "system", "i can help", "let me", "here is")
+NOT_USER = ("assistant:", "i can help", "here are", "let me", "you should")
 
 
 def col(c) -> Column:
@@ -25,7 +27,7 @@ def parse_long_date(c) -> Column:
     """``1:56 pm on 8 May, 2023`` to ``2023/05/08``; unknown month ``00``; no date: unchanged; null: empty."""
     text, pattern = F.lower(col(c)), r"(\d{1,2})\s+([a-z]+),?\s+(\d{4})"
     month = F.regexp_extract(text, pattern, 2)
-    number = F.coalesce(*(F.when((month == m) | (month == m[:3]) | ((month == "sept") & (k == 8)), F.lit(f"{k + 1:02d}")) for k, m in enumerate(MONTHS)), F.lit("00"))
+    number = F.coalesce(*(F.when((month == m) | (month == m[:3]), F.lit(f"{k + 1:02d}")) for k, m in enumerate(MONTHS)), F.lit("00"))
     date = F.concat_ws("/", F.regexp_extract(text, pattern, 3), number, F.lpad(F.regexp_extract(text, pattern, 1), 2, "0"))
     return F.when(F.coalesce(col(c), F.lit("")) == "", "").when(text.rlike(pattern), date).otherwise(col(c))
 
@@ -75,8 +77,8 @@ def evidence_prefix(evidence) -> Column:
 
 
 def answer_or_default(answer) -> Column:
-    """Empty and zero answers become a fixed sentence."""
-    return F.when(F.coalesce(col(answer), F.lit("")).isin("", "0", "0.0", "false"), NO_ANSWER).otherwise(col(answer))
+    """Empty and missing answers become a fixed sentence."""
+    return F.when(F.coalesce(col(answer), F.lit("")) == "", NO_ANSWER).otherwise(col(answer))
 
 
 def triple_text(src, relation, dst) -> Column:
@@ -99,23 +101,27 @@ def triple_string(src, relation, dst) -> Column:
 
 def summary_text(session_id, session_time, keys, themes) -> Column:
     """One line of a summary for embedding, themes in numeric order."""
-    lines = F.transform(F.array_sort(col(themes)), lambda t: F.concat(F.lit("theme_"), t["i"].cast("string"), F.lit(": "), t["title"], F.lit(" Summary: "), t["summary"]))
+    lines = F.transform(F.array_sort(col(themes)), lambda t: F.concat(F.lit("theme_"), t["i"].cast("string"), F.lit(": "), F.coalesce(t["title"], F.lit("")), F.lit(" Summary: "), F.coalesce(t["summary"], F.lit(""))))
     return F.concat(F.lit("Session "), col(session_id), F.lit(" ("), col(session_time), F.lit(") Keys: "), col(keys), F.lit(" "), F.array_join(lines, " "))
 
 
 def format_summary(session_id, session_time, keys, themes) -> Column:
-    """A summary as an indented block, themes in numeric order."""
-    lines = F.transform(F.array_sort(col(themes)), lambda t: F.concat(F.lit("  - "), t["title"], F.lit(": "), t["summary"]))
-    return F.concat(F.lit("Session "), col(session_id), F.lit(" ("), col(session_time), F.lit(")\n  Keys: "), col(keys), F.lit("\n"), F.array_join(lines, "\n"))
+    """A summary as an indented block, themes in numeric order; empty titles and summaries have no line."""
+    title = lambda t: F.when(F.coalesce(t["title"], F.lit("")) != "", F.concat(F.lit("  theme_"), t["i"].cast("string"), F.lit(": "), t["title"]))
+    summary = lambda t: F.when(F.coalesce(t["summary"], F.lit("")) != "", F.concat(F.lit("    Summary: "), t["summary"]))
+    lines = F.flatten(F.transform(F.array_sort(F.coalesce(col(themes), F.array().cast("array<struct<i:int,title:string,summary:string>>"))), lambda t: F.array(title(t), summary(t))))
+    head = F.concat(F.lit("Session "), F.coalesce(col(session_id), F.lit("")), F.lit(" ("), F.coalesce(col(session_time), F.lit("unknown")), F.lit("):"))
+    return F.array_join(F.array_compact(F.concat(F.array(head, F.concat(F.lit("  Keys: "), col(keys))), lines)), "\n")
 
 
 def user_utterances(text) -> Column:
-    """Lines of the user; else the first two long sentences without assistant phrases; else the first 200 characters."""
-    c = col(text)
-    lines = F.filter(F.split(c, "\n"), lambda x: F.trim(x).startswith("User:"))
-    said = F.array_join(F.transform(lines, lambda x: F.trim(F.substr(F.trim(x), F.lit(6)))), " ")
-    sentences = F.filter(F.transform(F.split(c, r"[.!?]+"), lambda s: F.trim(s)), lambda s: (F.length(s) > 10) & ~F.lower(s).rlike("|".join(NOT_USER)))
-    return F.when(F.size(lines) > 0, said).when(F.size(sentences) > 0, F.array_join(F.slice(sentences, 1, 2), ". ")).otherwise(F.concat(F.substring(c, 1, 200), F.lit("...")))
+    """What the user says in lines; else the first two long sentences without assistant phrases; else the first 200 characters."""
+    c = F.coalesce(col(text), F.lit(""))
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    lines = F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x.startswith("User:"))
+    said = F.filter(F.transform(lines, lambda x: strip(F.substr(x, F.lit(6)))), lambda x: x != "")
+    sentences = F.filter(F.transform(F.split(c, r"[.!?]+"), strip), lambda s: (F.length(s) > 10) & ~F.lower(s).rlike("|".join(NOT_USER)))
+    return F.when(F.size(said) > 0, F.array_join(said, " ")).when(F.size(sentences) > 0, F.array_join(F.slice(sentences, 1, 2), " ")).otherwise(preview(c, 200))
 
 
 def normalize_text(c) -> Column:
@@ -124,8 +130,8 @@ def normalize_text(c) -> Column:
 
 
 def is_numeric(c) -> Column:
-    """A number, or a number and a word."""
-    return col(c).rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$") | col(c).rlike(r"^\d+(\.\d+)?\s*\w*$")
+    """A number as a program writes it (digits may be grouped by ``_``; nan and infinity too), or a number and a word."""
+    return col(c).rlike(NUMBER) | col(c).rlike(r"^\d+(\.\d+)?\s*\w*$")
 
 
 def numeric_match(expected, output) -> Column:
@@ -140,11 +146,15 @@ def exact_match(expected, output) -> Column:
 
 
 def answer_match(expected, output) -> Column:
-    """Substring, else number (then nothing else counts), else normalised substring, else the words of a short answer."""
-    e, o = normalize_text(expected), normalize_text(output)
-    words = F.filter(F.split(e, " "), lambda w: w != "")
-    few = (F.size(words) <= 3) & (F.size(words) > 0) & (F.size(F.array_except(words, F.split(o, " "))) == 0)
-    return F.when(exact_match(expected, output), True).when(is_numeric(expected), numeric_match(expected, output)).otherwise(((e != "") & F.contains(o, e)) | few)
+    """Substring, else number (then nothing else counts), else normalised substring, else the words of a short answer.
+
+    A missing or blank answer or output matches nothing; an answer of punctuation alone normalises to nothing, which is in any.
+    """
+    strip = lambda c: F.regexp_replace(F.coalesce(col(c), F.lit("")), r"^\s+|\s+$", "")
+    raw, out = strip(expected), strip(output)
+    e, o = normalize_text(raw), normalize_text(out)
+    few = (F.size(F.split(raw, r"\s+")) <= 3) & (F.size(F.array_except(F.split(e, " "), F.split(o, " "))) == 0)
+    return F.when((raw == "") | (out == ""), False).when(exact_match(raw, out), True).when(is_numeric(raw), numeric_match(raw, out)).otherwise(F.contains(o, e) | few)
 
 
 def origin_ids(origin) -> Column:

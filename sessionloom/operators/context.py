@@ -9,6 +9,8 @@ from ..functions.text import triple_string
 from .topk import first_seen, ranked, top_k
 
 NONE = "None available"
+#: Fixed value: what stands for a chunk of which neither text nor edges are known.
+UNKNOWN = "Content related to the retrieved triples"
 
 
 def legacy_summary(summaries: DataFrame) -> DataFrame:
@@ -40,12 +42,13 @@ def chunks_for_triples(triples: DataFrame, chunks: DataFrame, k: int) -> DataFra
 
 
 def chunk_fallback(wanted: DataFrame, chunks: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
-    """(chunk_id, text): the stored text, else the first k edges of the chunk as sentences."""
+    """(chunk_id, text): the stored text, else the first k named edges of the chunk, else a sentence that says what it is."""
+    chunks = chunks.filter("text <> ''")
     missing = wanted.join(chunks.select("chunk_id"), "chunk_id", "left_anti")
-    lines = ranked(edges.join(missing, "chunk_id", "left_semi"), ["chunk_id"], [F.col("ordinal"), F.col("src"), F.col("dst")]).filter(F.col("rank") <= k)
-    made = lines.groupBy("chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(" ", "src", "relation", "dst").alias("s")))), lambda x: x["s"]), ". ").alias("made"))
+    lines = ranked(edges.filter("relation <> ''").join(missing, "chunk_id", "left_semi"), ["chunk_id"], [F.col("ordinal"), F.col("src"), F.col("dst")]).filter(F.col("rank") <= k)
+    made = lines.groupBy("chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(" ", "src", "relation", "dst").alias("s")))), lambda x: x["s"]), "; ").alias("made"))
     rows = wanted.join(chunks.select("chunk_id", "text"), "chunk_id", "left").join(made, "chunk_id", "left")
-    return rows.select("chunk_id", F.coalesce("text", "made").alias("text"))
+    return rows.select("chunk_id", F.coalesce("text", F.concat(F.lit("Chunk "), F.col("chunk_id").cast("string"), F.lit(": "), F.coalesce("made", F.lit(UNKNOWN)))).alias("text"))
 
 
 def prompt(question: Column, triples: Column, chunks: Column, summaries: Column, question_time: Column | None = None) -> Column:
@@ -77,5 +80,6 @@ def relationship_chunks(triples: DataFrame) -> DataFrame:
 
 
 def with_time(text: Column, session_time: Column, enabled: bool = True) -> Column:
-    """A chunk's text after its session's time, if there is one."""
-    return F.when(F.coalesce(session_time, F.lit("")) != "", F.concat_ws("\n", session_time, text)).otherwise(text) if enabled else text
+    """A chunk's text after its session's time and a space, if there are both."""
+    both = (F.coalesce(session_time, F.lit("")) != "") & (F.coalesce(text, F.lit("")) != "")
+    return F.when(both, F.concat_ws(" ", session_time, text)).otherwise(text) if enabled else text

@@ -75,6 +75,12 @@ def dedup_greedy(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
     return distinct.groupBy("entity_type").applyInPandas(merge, "entity_type string, key string, canonical string, ordinal bigint")
 
 
+def dedup_untyped(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(name, canonical, ordinal) of lower-case names: the same rule over the names of all types together."""
+    merged = dedup_greedy(entities.select("ordinal", "name", F.lit("").alias("entity_type")), threshold)
+    return merged.select(F.col("key").alias("name"), "canonical", "ordinal")
+
+
 def canonicalize(edges: DataFrame, names: DataFrame) -> DataFrame:
     """Ends replaced by their canonical names of (name, canonical); others stay."""
     out = edges

@@ -39,9 +39,13 @@ def anchor_seeds(entities: DataFrame, ordered: DataFrame, graph: DataFrame, mass
 
 
 def anchor_argmax(scores: DataFrame, nodes: DataFrame, mass: float = 0.2) -> DataFrame:
-    """(query_id, node, score): the most similar node of each question gets the mass."""
+    """(query_id, node, score): each named entity's most similar node gets the mass; masses of one node add up.
+
+    ``scores(query_id, entity, id, score)``: similarities of the questions' entities and the vectors.
+    """
     rows = nodes.join(scores, F.col("vec") == F.col("id"))
-    return top_k(rows, 1, ["query_id"], [F.desc("score"), F.col("node")]).select("query_id", "node", F.lit(mass).alias("score"))
+    best = top_k(rows, 1, ["query_id", "entity"], [F.desc("score"), F.col("node")])
+    return best.groupBy("query_id", "node").agg((F.count(F.lit(1)) * mass).alias("score"))
 
 
 def session_seeds(fused: DataFrame, latest: DataFrame, question_time: str | DataFrame, weight: float = 0.5, exponent: float = 0.2) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import dot, minmax, name_similarity, norm
+from ..functions.similarity import dot, minmax, norm
 from .topk import ranked, top_k
 
 
@@ -123,12 +123,25 @@ def session_triples(edges: DataFrame, selected: DataFrame, scores: DataFrame, k:
     return top_k(rows, k, ["query_id"], [F.desc("score"), F.col("ordinal"), F.col("src"), F.col("dst")])
 
 
-def summary_key_similarity(summaries: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, session_id, score): the mean name similarity of a query's terms and a summary's keys; 0 without keys."""
-    keys = summaries.select("session_id", F.explode_outer(F.filter(F.transform(F.split("keys", ","), lambda k: F.trim(k)), lambda k: k != "")).alias("key"))
-    rows = keys.crossJoin(terms.select("query_id", "term"))
-    score = F.when(F.col("key").isNotNull(), name_similarity("term", "key")).otherwise(0.0)
-    return rows.groupBy("query_id", "session_id").agg(F.avg(score).alias("score"))
+def _mean_direction(texts: DataFrame, vectors: DataFrame, by: list[str]) -> DataFrame:
+    """(by, mean): the mean of the unit vectors of (by, text); a text without a vector counts as zero."""
+    rows = texts.join(vectors, "text", "left").select(*by, F.transform("vec", lambda x: F.try_divide(x.cast("double"), norm("vec"))).alias("unit"))
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    sums = rows.select(*by, F.posexplode("unit").alias("_p", "_x")).groupBy(*by, "_p").agg(F.sum("_x").alias("_x")).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_x"))), lambda e: e["_x"]).alias("_s"))
+    return counts.join(sums, by, "left").select(*by, F.transform("_s", lambda x: x / F.col("_n")).alias("mean"))
+
+
+def summary_key_similarity(summaries: DataFrame, terms: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query_id, session_id, score): the mean cosine of a query's terms and its summaries' keys; 0 without keys.
+
+    ``summaries(query_id, session_id, keys)``: each query's relevant ones; ``vectors(text, vec)``: embeddings of lower-case
+    texts. The mean over all pairs is the inner product of the mean unit vectors, so no pairs are made.
+    """
+    keys = summaries.select("session_id", F.explode(F.filter(F.transform(F.split(F.lower("keys"), ","), lambda k: F.trim(k)), lambda k: k != "")).alias("text")).distinct()
+    listed = _mean_direction(keys, vectors, ["session_id"]).withColumnRenamed("mean", "_keys")
+    asked = _mean_direction(terms.select("query_id", F.lower(F.trim("term")).alias("text")).filter("text <> ''"), vectors, ["query_id"]).withColumnRenamed("mean", "_terms")
+    rows = summaries.select("query_id", "session_id").join(listed, "session_id", "left").join(asked, "query_id", "left")
+    return rows.select("query_id", "session_id", F.coalesce(dot("_keys", "_terms"), F.lit(0.0)).alias("score"))
 
 
 def summary_entity_max(scores: DataFrame, sessions: DataFrame, k: int) -> DataFrame:

@@ -65,6 +65,15 @@ def dedup_entities_greedy(t):
     return G.dedup_greedy(t["parts"], 0.3)
 
 
+@query(f"""WITH RECURSIVE firsts AS (SELECT '' AS entity_type, lower(name) AS key, min(ordinal) AS ordinal, arg_min(name, ordinal) AS name FROM parts GROUP BY 1, 2),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY ordinal, key) AS rn FROM firsts),
+    walk AS (SELECT entity_type, key, ordinal, name AS canonical, [name] AS reps, rn FROM ordered WHERE rn = 1
+        UNION ALL SELECT entity_type, key, ordinal, coalesce(f, name), CASE WHEN f IS NULL THEN list_append(reps, name) ELSE reps END, rn FROM (SELECT r.*, w.reps, list_filter(w.reps, lambda x: {_LIKE})[1] AS f FROM walk w JOIN ordered r ON r.entity_type = w.entity_type AND r.rn = w.rn + 1))
+    SELECT key AS name, canonical, ordinal FROM walk""")
+def dedup_entities_untyped(t):
+    return G.dedup_untyped(t["parts"], 0.3)
+
+
 _ALIAS = "CASE WHEN starts_with({0}, 'Part#') THEN concat('Part~', substr({0}, 6, 2)) ELSE {0} END"
 
 

@@ -207,10 +207,13 @@ def anchor_seeds(t):
     return _round(P.anchor_seeds(f.named, f.nodes, f.graph), "score")
 
 
-@query("SELECT query_id, node, 0.2::double AS score FROM (SELECT c.query_id, n.node, row_number() OVER (PARTITION BY c.query_id ORDER BY c.score DESC, n.node) AS rn FROM allentities n JOIN cos c ON c.id = n.vec) WHERE rn = 1")
+@query("""SELECT query_id, node, round(0.2 * count(*), 6)::double AS score FROM (SELECT c.query_id, entity, n.node, row_number() OVER (PARTITION BY c.query_id, entity ORDER BY c.score DESC, n.node) AS rn FROM allentities n JOIN (
+    SELECT query_id, 'first' AS entity, id, score FROM cos UNION ALL SELECT query_id, 'same', id, score FROM cos UNION ALL SELECT query_id, 'opposite', id, -score FROM cos) c ON c.id = n.vec) WHERE rn = 1 GROUP BY query_id, node""")
 def anchor_argmax(t):
     f = Flow(t)
-    return P.anchor_argmax(f.cos, f._vec(t["entities"].select(F.col("name").alias("node")).distinct()))
+    ours = f.cos.select("query_id", F.lit("first").alias("entity"), "id", "score")
+    scores = ours.unionByName(ours.withColumn("entity", F.lit("same"))).unionByName(ours.select("query_id", F.lit("opposite").alias("entity"), "id", (-F.col("score")).alias("score")))
+    return _round(P.anchor_argmax(scores, f._vec(t["entities"].select(F.col("name").alias("node")).distinct())), "score")
 
 
 @query("SELECT query_id, node, round(mass, 6) AS mass FROM seeds")
@@ -307,15 +310,20 @@ def session_triples(t):
     return _round(S.session_triples(t["edges"], f.fused, f.cos, 15).select("query_id", "rank", "src", "relation", "dst", "score"), "score")
 
 
-_KEYSIM = "CASE WHEN lower(trim(term)) = lower(trim(key)) THEN 1.0 WHEN contains(lower(term), lower(key)) OR contains(lower(key), lower(term)) THEN 0.8 WHEN len(list_intersect(string_split(lower(term), ' '), string_split(lower(key), ' '))) > 0 THEN least(1.0, len(list_intersect(string_split(lower(term), ' '), string_split(lower(key), ' '))) / len(list_distinct(list_concat(string_split(lower(term), ' '), string_split(lower(key), ' ')))) + 0.2) ELSE 0.0 END"
-_TERMS = {0: ("user", "the assistant"), 1: ("system user", "nobody")}
+_TERMS = {0: ("User", "the assistant"), 1: (" system user", "nobody")}
+_SHAPES = "(SELECT text, embedding::double[] AS vec FROM (SELECT lower(trim(speaker)) AS text FROM turns UNION SELECT lower(trim(term)) FROM asked) JOIN embeddings ON vec_id = length(text))"
+_ASKED = ", ".join(f"({q}::bigint, '{w}')" for q, ws in _TERMS.items() for w in ws)
 
 
-@query(f"SELECT query_id, session_id, round(avg({_KEYSIM}), 6)::double AS score FROM (SELECT DISTINCT session_id, speaker AS key FROM turns), (VALUES {', '.join(f'({q}::bigint, {chr(39)}{w}{chr(39)})' for q, ws in _TERMS.items() for w in ws)}) v(query_id, term) GROUP BY query_id, session_id")
+@query(f"""WITH asked AS (SELECT * FROM (VALUES {_ASKED}) v(query_id, term)), shapes AS {_SHAPES}
+    SELECT query_id, session_id, round(avg(list_cosine_similarity(a.vec, k.vec)), 6) AS score FROM (SELECT DISTINCT session_id, lower(speaker) AS speaker FROM turns) s JOIN shapes k ON k.text = speaker, asked JOIN shapes a ON a.text = lower(trim(term)) GROUP BY query_id, session_id""")
 def summary_key_similarity(t):
     keys = t["turns"].groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set("speaker")), ", ").alias("keys"))
     terms = t.spark.createDataFrame([(q, w) for q, ws in _TERMS.items() for w in ws], "query_id bigint, term string")
-    return _round(S.summary_key_similarity(keys, terms), "score")
+    texts = t["turns"].select(F.col("speaker").alias("text")).unionByName(terms.select(F.col("term").alias("text"))).select(F.lower(F.trim("text")).alias("text")).distinct()
+    vectors = texts.join(t["embeddings"].select("vec_id", F.col("embedding").alias("vec")), F.length("text") == F.col("vec_id")).select("text", "vec")
+    relevant = keys.withColumn("query_id", F.explode(F.array(*(F.lit(q).cast("bigint") for q in _TERMS))))
+    return _round(S.summary_key_similarity(relevant, terms, vectors), "score")
 
 
 @query("SELECT query_id, session_id, round(score, 6) AS score, rank FROM (SELECT query_id, session_id, greatest(score, 0.0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY greatest(score, 0.0) DESC, session_id) AS rank FROM channela) WHERE rank <= 10")
@@ -340,7 +348,7 @@ def chunks_for_triples(t):
     return X.chunks_for_triples(Flow(t).top, _stored(t), 8)
 
 
-@query(f"SELECT w.chunk_id, coalesce(s.text, m.made) AS text FROM (SELECT DISTINCT chunk_id FROM edges) w LEFT JOIN ({_STORED}) s ON s.chunk_id = w.chunk_id LEFT JOIN (SELECT chunk_id, string_agg(concat(src, ' ', relation, ' ', dst), '. ' ORDER BY r) AS made FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ordinal, src, dst) AS r FROM edges) WHERE r <= 10 GROUP BY chunk_id) m ON m.chunk_id = w.chunk_id")
+@query(f"SELECT w.chunk_id, coalesce(s.text, concat('Chunk ', cast(w.chunk_id AS string), ': ', coalesce(m.made, 'Content related to the retrieved triples'))) AS text FROM (SELECT DISTINCT chunk_id FROM edges) w LEFT JOIN ({_STORED}) s ON s.chunk_id = w.chunk_id LEFT JOIN (SELECT chunk_id, string_agg(concat(src, ' ', relation, ' ', dst), '; ' ORDER BY r) AS made FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ordinal, src, dst) AS r FROM edges) WHERE r <= 10 GROUP BY chunk_id) m ON m.chunk_id = w.chunk_id")
 def chunk_fallback(t):
     return X.chunk_fallback(t["edges"].select("chunk_id").distinct(), _stored(t), t["edges"])
 

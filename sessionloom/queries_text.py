@@ -145,11 +145,11 @@ def merge_session_docs(t):
 
 def _summaries(t):
     """A summary for each session: its speakers as keys, a theme for each turn."""
-    turns = t["turns"].withColumn("theme", F.struct((F.col("turn") + 1).cast("int").alias("i"), F.concat(F.lit("Turn "), F.col("turn").cast("string")).alias("title"), F.substring(F.regexp_replace("content", "\n", " "), 1, 40).alias("summary")))
+    turns = t["turns"].withColumn("theme", F.struct((F.col("turn") + 1).cast("int").alias("i"), F.concat(F.lit("Turn "), F.col("turn").cast("string")).alias("title"), F.regexp_replace("content", "\n", " ").alias("summary")))
     return turns.groupBy("session_id", "session_time").agg(F.array_join(F.array_sort(F.collect_set("speaker")), ", ").alias("keys"), F.collect_list("theme").alias("themes"))
 
 
-_THEME = "replace(substr(replace(content, chr(10), ' '), 1, 40), chr(10), ' ')"
+_THEME = "replace(content, chr(10), ' ')"
 _SUMMARY = "SELECT session_id, session_time, string_agg(DISTINCT speaker, ', ' ORDER BY speaker) AS keys, {themes} AS themes FROM turns GROUP BY session_id, session_time"
 
 
@@ -158,7 +158,7 @@ def summary_text(t):
     return _summaries(t).select("session_id", T.summary_text("session_id", "session_time", "keys", "themes").alias("text"))
 
 
-@query(f"SELECT session_id, concat('Session ', session_id, ' (', session_time, ')', chr(10), '  Keys: ', keys, chr(10), themes) AS block FROM ({_SUMMARY.format(themes=f'''string_agg(concat('  - Turn ', cast(turn AS string), ': ', {_THEME}), chr(10) ORDER BY turn)''')})")
+@query(f"SELECT session_id, concat('Session ', session_id, ' (', session_time, '):', chr(10), '  Keys: ', keys, chr(10), themes) AS block FROM ({_SUMMARY.format(themes=f'''string_agg(concat('  theme_', cast(turn + 1 AS string), ': Turn ', cast(turn AS string), chr(10), '    Summary: ', {_THEME}), chr(10) ORDER BY turn)''')})")
 def format_summaries(t):
     return _summaries(t).select("session_id", T.format_summary("session_id", "session_time", "keys", "themes").alias("block"))
 
@@ -167,24 +167,24 @@ def format_summaries(t):
 def summary_legacy(t):
     from .operators.context import legacy_summary
 
-    rows = t["turns"].groupBy("session_id", "session_time").agg(F.array_sort(F.collect_set("speaker")).alias("keys"), F.array_sort(F.collect_list(F.struct("turn", F.substring(F.regexp_replace("content", "\n", " "), 1, 40).alias("summary")))).alias("t"))
+    rows = t["turns"].groupBy("session_id", "session_time").agg(F.array_sort(F.collect_set("speaker")).alias("keys"), F.array_sort(F.collect_list(F.struct("turn", F.regexp_replace("content", "\n", " ").alias("summary")))).alias("t"))
     rows = rows.select("session_id", "session_time", "keys", F.transform("t", lambda x: F.struct(F.lit("").alias("title"), x["summary"].alias("summary"))).alias("themes"))
     return legacy_summary(rows).select("session_id", "session_time", "keys", F.array_join(F.transform("themes", lambda x: F.concat(x["i"].cast("string"), F.lit(":"), x["summary"])), "|").alias("themes"))
 
 
-@query(f"""SELECT chunk_id, CASE WHEN len(said) > 0 THEN array_to_string(said, ' ') WHEN len(sentences) > 0 THEN array_to_string(sentences[1:2], '. ') ELSE concat(substr(text, 1, 200), '...') END AS utterances FROM (
-    SELECT chunk_id, text, list_transform(list_filter(string_split(text, chr(10)), lambda x: starts_with(trim(x), 'User:')), lambda x: trim(substr(trim(x), 6))) AS said,
-    list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: trim(s)), lambda s: length(s) > 10 AND NOT regexp_matches(lower(s), '{'|'.join(T.NOT_USER)}')) AS sentences FROM ({_CHUNKS}))""")
+@query(f"""SELECT chunk_id, CASE WHEN len(said) > 0 THEN array_to_string(said, ' ') WHEN len(sentences) > 0 THEN array_to_string(sentences[1:2], ' ') WHEN length(text) > 200 THEN concat(substr(text, 1, 200), '...') ELSE text END AS utterances FROM (
+    SELECT chunk_id, text, list_filter(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: starts_with(x, 'User:')), lambda x: regexp_replace(substr(x, 6), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS said,
+    list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 10 AND NOT regexp_matches(lower(s), 'assistant:|i can help|here are|let me|you should')) AS sentences FROM ({_CHUNKS}))""")
 def user_utterances(t):
     return C.dialog_chunks(t["turns"]).select("chunk_id", T.user_utterances("text").alias("utterances"))
 
 
 _NORM = "trim(regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
-_NUMBER = "regexp_matches(expected, '^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$') OR regexp_matches(expected, '^\\d+(\\.\\d+)?\\s*\\w*$')"
+_NUMBER = f"regexp_matches(expected, '{T.NUMBER}') OR regexp_matches(expected, '^\\d+(\\.\\d+)?\\s*\\w*$')"
 _NUMERIC = "regexp_matches(expected, '\\d+(?:\\.\\d+)?') AND list_contains(regexp_extract_all(output, '\\d+(?:\\.\\d+)?'), regexp_extract(expected, '\\d+(?:\\.\\d+)?'))"
 _EXACT = "contains(lower(trim(output)), lower(trim(expected)))"
-_MATCH = f"""SELECT *, CASE WHEN {_EXACT} THEN true WHEN {_NUMBER} THEN {_NUMERIC} ELSE (e <> '' AND contains(o, e)) OR (len(w) BETWEEN 1 AND 3 AND len(list_filter(w, lambda x: NOT list_contains(string_split(o, ' '), x))) = 0) END AS correct, trim(output) <> '' AS answered FROM (
-    SELECT *, list_filter(string_split(e, ' '), lambda x: x <> '') AS w FROM (SELECT *, {_NORM.format('expected')} AS e, {_NORM.format('output')} AS o FROM answers))"""
+_MATCH = f"""SELECT *, CASE WHEN coalesce(trim(expected), '') = '' OR coalesce(trim(output), '') = '' THEN false WHEN {_EXACT} THEN true WHEN {_NUMBER} THEN {_NUMERIC} ELSE contains(o, e) OR (len(regexp_split_to_array(trim(expected), '\\s+')) <= 3 AND len(list_filter(string_split(e, ' '), lambda x: NOT list_contains(string_split(o, ' '), x))) = 0) END AS correct, trim(output) <> '' AS answered FROM (
+    SELECT *, {_NORM.format('expected')} AS e, {_NORM.format('output')} AS o FROM answers)"""
 
 
 @query(f"SELECT doc_id, {_NORM.format('text')} AS text FROM documents")
@@ -271,11 +271,12 @@ def final_report(t):
     return U.final_report(_priced(t), E.judged(t["answers"]), 120.0)
 
 
-@query("""SELECT a.ordinal, b.ordinal AS other, len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))) AS jaccard FROM (
-    SELECT ordinal, entity_type, list_distinct(list_filter(regexp_split_to_array(lower(name), '\\s+'), lambda w: w <> '')) AS wa FROM parts) a JOIN (SELECT ordinal, entity_type, list_distinct(list_filter(regexp_split_to_array(lower(name), '\\s+'), lambda w: w <> '')) AS wb FROM parts) b ON a.entity_type = b.entity_type AND b.ordinal = a.ordinal + 25""")
+@query("""SELECT a.entity_type, a.name, b.name AS other, len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))) AS jaccard FROM (
+    SELECT DISTINCT entity_type, name, list_distinct(list_filter(regexp_split_to_array(lower(name), '\\s+'), lambda w: w <> '')) AS wa FROM parts) a JOIN (SELECT DISTINCT entity_type, name, list_distinct(list_filter(regexp_split_to_array(lower(name), '\\s+'), lambda w: w <> '')) AS wb FROM parts) b ON a.entity_type = b.entity_type AND a.name < b.name""")
 def jaccard_names(t):
-    rows = t["parts"].alias("a").join(t["parts"].alias("b"), F.expr("a.entity_type = b.entity_type AND b.ordinal = a.ordinal + 25"))
-    return rows.select("a.ordinal", F.col("b.ordinal").alias("other"), S.jaccard(F.col("a.name"), F.col("b.name")).alias("jaccard"))
+    names = t["parts"].select("entity_type", "name").distinct()
+    rows = names.alias("a").join(names.alias("b"), F.expr("a.entity_type = b.entity_type AND a.name < b.name"))
+    return rows.select("a.entity_type", "a.name", F.col("b.name").alias("other"), S.jaccard(F.col("a.name"), F.col("b.name")).alias("jaccard"))
 
 
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda w: w <> ''))"
@@ -318,7 +319,7 @@ def source_preview(t):
     return t["documents"].select("doc_id", T.preview("text").alias("preview"))
 
 
-@query(f"SELECT chunk_id, CASE WHEN doc_id % 2 = 0 THEN concat(session_time, chr(10), text) ELSE text END AS text FROM ({_CHUNKS})")
+@query(f"SELECT chunk_id, CASE WHEN doc_id % 2 = 0 THEN concat(session_time, ' ', text) ELSE text END AS text FROM ({_CHUNKS})")
 def chunk_with_time(t):
     from .operators.context import with_time
 
@@ -328,4 +329,4 @@ def chunk_with_time(t):
 @query("SELECT question_type, n, CASE WHEN question_type = 'view' THEN 'Context insufficient to answer' ELSE question_type END AS answer FROM (SELECT event_type AS question_type, count(*) AS n FROM events GROUP BY event_type)")
 def default_answers(t):
     rows = t["events"].groupBy(F.col("event_type").alias("question_type")).agg(F.count(F.lit(1)).alias("n"))
-    return rows.select("question_type", "n", T.answer_or_default(F.when(F.col("question_type") != "view", F.col("question_type")).otherwise("0")).alias("answer"))
+    return rows.select("question_type", "n", T.answer_or_default(F.when(F.col("question_type") != "view", F.col("question_type")).otherwise("")).alias("answer"))

@@ -46,9 +46,9 @@ def item_sessions(items: DataFrame) -> DataFrame:
 
 
 def item_questions(items: DataFrame) -> DataFrame:
-    """(question_id, question, answer, question_type, question_time, origin, label) of known types."""
+    """(question_id, question, answer, question_type, question_time, origin, label) of known types, as the dump has them; the label is the answer."""
     known = items.filter(F.col("question_type").isin(*SUFFIXES))
-    return known.select("question_id", "question", answer_or_default("answer").alias("answer"), "question_type", date_prefix("question_date").alias("question_time"), F.col("answer_session_ids").alias("origin"), suffix("question_type").alias("label"))
+    return known.select("question_id", "question", "answer", "question_type", F.col("question_date").alias("question_time"), F.col("answer_session_ids").alias("origin"), F.col("answer").alias("label"))
 
 
 def group_sessions(groups: DataFrame) -> DataFrame:
@@ -61,9 +61,14 @@ def group_sessions(groups: DataFrame) -> DataFrame:
 
 
 def group_questions(groups: DataFrame) -> DataFrame:
-    """(group_id, pos, question, answer, question_type, origin) of family B."""
+    """(group_id, pos, question, answer, question_type, origin, label) of family B; the label is the answer."""
     rows = groups.select("group_id", F.posexplode("qa").alias("pos", "q"))
-    return rows.select("group_id", "pos", "q.question", answer_or_default("q.answer").alias("answer"), F.col("q.category").alias("question_type"), evidence_prefix("q.evidence").alias("origin"))
+    return rows.select("group_id", "pos", "q.question", answer_or_default("q.answer").alias("answer"), F.col("q.category").alias("question_type"), evidence_prefix("q.evidence").alias("origin"), answer_or_default("q.answer").alias("label"))
+
+
+def scalar_origin(questions: DataFrame) -> DataFrame:
+    """``origin`` as JSON text for export: one id alone as a string, several as a list."""
+    return questions.withColumn("origin", F.when(F.size("origin") == 1, F.concat(F.lit('"'), F.get("origin", F.lit(0)), F.lit('"'))).otherwise(F.to_json("origin")))
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:

@@ -56,3 +56,16 @@ def write_metrics(row: DataFrame, path: str) -> None:
     """A one-row table as a JSON file of the driver."""
     with open(path, "w") as file:
         json.dump(row.first().asDict(recursive=True), file, indent=2, default=str)
+
+
+def read_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """Summaries (session_id, session_time, keys, themes) from the JSON lines of ``summaries_json``."""
+    rows = spark.read.schema("session_id string, session_time string, keys string, context map<string, string>").json(path)
+    numbered = F.filter(F.map_keys("context"), lambda k: k.startswith("theme_"))
+    theme = lambda k: F.struct(F.substr(k, F.lit(7)).cast("int").alias("i"), F.try_element_at("context", k).alias("title"), F.try_element_at("context", F.concat(F.lit("summary_"), F.substr(k, F.lit(7)))).alias("summary"))
+    return rows.select("session_id", "session_time", "keys", F.array_sort(F.transform(numbered, theme)).alias("themes"))
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """The answers (id, question, answer, output, question_type, origin, top_session_ids) as JSON lines in order of id."""
+    results.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").json(path)

@@ -23,7 +23,7 @@ def test_time_gap(spark, a, b, strict, gap):
     assert one(spark, T.time_gap(F.lit(a), F.lit(b), strict)) == gap
 
 
-@pytest.mark.parametrize(("expected", "output", "match"), [("5", "there are 15", True), ("7", "there are 15", False), ("12 days", "after 12 nights", True), ("12 days", "the days", False), ("Crème, brûlée!", "a crème brûlée", True), ("red big car", "a car that is big and red", True), ("one two three four", "four three two one", False), ("!!", "words", False)])
+@pytest.mark.parametrize(("expected", "output", "match"), [("5", "there are 15", True), ("7", "there are 15", False), ("12 days", "after 12 nights", True), ("12 days", "the days", False), ("Crème, brûlée!", "a crème brûlée", True), ("red big car", "a car that is big and red", True), ("one two three four", "four three two one", False), ("!!", "words", True), ("", "words", False), (None, "words", False), ("words", " ", False), ("1_0", "10", False), ("inf", "x", False)])
 def test_answer_match(spark, expected, output, match):
     assert one(spark, T.answer_match(F.lit(expected), F.lit(output))) is match
 
@@ -32,7 +32,7 @@ def test_names_and_lists(spark):
     assert one(spark, F.array_join(T.evidence_prefix(F.array(*map(F.lit, ("D1:3", "D2", "D1:5", "D3:1:2")))), ",")) == "D1,D3"
     assert one(spark, F.array_join(T.origin_ids(F.lit(" a, b;;c ")), "|")) == "a|b|c"
     assert one(spark, F.array_join(T.session_union(F.array(F.lit("a"), F.lit("")), F.lit("b")), ",")) == "a,b"
-    assert one(spark, T.answer_or_default(F.lit("0"))) == T.NO_ANSWER
+    assert one(spark, T.answer_or_default(F.lit(""))) == T.NO_ANSWER and one(spark, T.answer_or_default(F.lit("0"))) == "0"
     assert one(spark, T.triple_string(F.lit("a"), F.lit(""), F.lit("c"))) is None
     assert one(spark, S.name_similarity(F.lit("Ann Lee"), F.lit("lee smith"))) == pytest.approx(1 / 3 + 0.2)
     assert one(spark, S.jaccard(F.lit(""), F.lit("a"))) == 0.0

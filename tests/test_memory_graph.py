@@ -9,8 +9,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sessionloom.config import Config
+from sessionloom.functions import text as T
 from sessionloom.operators import chunking, context, graph, ppr, rerank, retrieval
-from sessionloom.sources import ingest
+from sessionloom.sources import ingest, tables
 from sessionloom.sources.tables import Memory
 from sessionloom.streaming import memory as streaming
 
@@ -135,7 +136,9 @@ def test_readers(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([item]))
     items = ingest.read_items(spark, f"file://{tmp_path}/a.json")
     assert [tuple(r)[2:] for r in ingest.item_sessions(items).collect()] == [("s1", "2023/05/01", '"user": "hi"')]
-    assert ingest.item_questions(items).first().answer.startswith("Context insufficient")
+    question = ingest.item_questions(items).first()
+    assert (question.answer, question.label, question.question_time) == ("", "", "2023/05/20 (Sat)")
+    assert ingest.scalar_origin(ingest.item_questions(items)).first().origin == '"s1"'
     (tmp_path / "one.jsonl").write_text(json.dumps({"session_id": "s", "session_time": "2023-05-20 00:00:00", "context": "c"}))
     assert [tuple(r)[:3] for r in ingest.read_corpus(spark, f"file://{tmp_path}/one.jsonl").select("doc_id", "session_id", "session_time").collect()] == [(0, "s", "2023/05/20")]
     with pytest.raises(ValueError):
@@ -168,3 +171,25 @@ def test_answers_use_names_synonyms_times_and_summaries(spark):
 
     nodes = spark.createDataFrame([(1, "Robert"), (1, "ROBERT"), (1, "Oslo"), (2, "robert")], "query_id bigint, node string")
     assert {(r.query_id, r.src, r.dst, round(r.score, 6)) for r in local_synonyms(nodes, 64, 0.8).collect()} == {(1, "Robert", "ROBERT", 1.0), (1, "ROBERT", "Robert", 1.0)}
+
+
+def test_summaries_come_back_from_json(spark, tmp_path):
+    rows = spark.createDataFrame([("s1", "2024/01/01", "a, b", [(2, "t2", "x2"), (1, "t1", "x1")]), ("s2", None, None, [])], "session_id string, session_time string, keys string, themes array<struct<i:int,title:string,summary:string>>")
+    tables.summaries_json(rows).write.text(f"file://{tmp_path}/summaries")
+    back = {r.session_id: r for r in tables.read_summaries(spark, f"file://{tmp_path}/summaries").collect()}
+    assert [tuple(x) for x in back["s1"].themes] == [(1, "t1", "x1"), (2, "t2", "x2")] and back["s1"]["keys"] == "a, b" and not back["s2"].themes
+
+
+def test_rendered_texts(spark):
+    """The formats of summaries, user lines and chunks, with the cases that tell near variants apart."""
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    themes = F.array(F.struct(F.lit(10).alias("i"), F.lit("late").alias("title"), F.lit("").alias("summary")), F.struct(F.lit(2).alias("i"), F.lit("early").alias("title"), F.lit("sum").alias("summary")))
+    assert one(T.format_summary(F.lit("s"), F.lit(None).cast("string"), F.lit("k"), themes)) == "Session s (unknown):\n  Keys: k\n  theme_2: early\n    Summary: sum\n  theme_10: late"
+    said = {"User: hi\nAssistant: yo\n  User:\n\tUser: there ": "hi there", "Here are some. You should go now. I like long walks! We met in the park? And so on forever": "I like long walks We met in the park", "short": "short", "": "", "x " * 101 + "you should": ("x " * 101)[:200] + "..."}
+    for text, expected in said.items():
+        assert one(T.user_utterances(F.lit(text))) == expected
+    assert one(context.with_time(F.lit("t"), F.lit("2024"))) == "2024 t" and one(context.with_time(F.lit(""), F.lit("2024"))) == ""
+    wanted = spark.createDataFrame([(0,), (1,), (2,)], "chunk_id bigint")
+    chunks = spark.createDataFrame([(0, "text"), (1, "")], "chunk_id bigint, text string")
+    edges = spark.createDataFrame([(1, 1, "a", "likes", "b"), (1, 2, "a", "", "c"), (1, 3, "b", "knows", "c")], "chunk_id bigint, ordinal bigint, src string, relation string, dst string")
+    assert {r.chunk_id: r.text for r in context.chunk_fallback(wanted, chunks, edges).collect()} == {0: "text", 1: "Chunk 1: a likes b; b knows c", 2: "Chunk 2: Content related to the retrieved triples"}
