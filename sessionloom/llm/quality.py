@@ -172,11 +172,11 @@ def last_steps(k: int, percentile) -> Step:
 
 def quality(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept), one row for each document."""
-    return judged(documents, id_col, text_col, lang_col, source_col).select(id_col, *COLUMNS, F.expr(VERDICT).alias("kept"))
+    return judged(documents, id_col, text_col, lang_col, source_col).select("_row.*", *COLUMNS, F.expr(VERDICT).alias("kept"))
 
 
 def judged(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """The id (or the columns ``keep``) of every row with its statistics and squared distance ``d2``."""
+    """(_row, statistics.., d2): the id, or the columns ``keep``, of every row as a struct, and its squared distance."""
     spark = documents.sparkSession
     work = Workspace(spark, "quality")
     kept = [id_col] if keep is None else keep
@@ -201,7 +201,7 @@ def judged(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
     run([x for x in last_steps(k - 1, percentile)])
     work.drop("pools")
-    return views["verdict"].select("_row.*", *COLUMNS, "d2")
+    return views["verdict"].select("_row", *COLUMNS, "d2")
 
 
 def _uses(sql: str, name: str) -> bool:

@@ -444,7 +444,7 @@ def test_determinants_fall_and_contamination_is_left_out(spark):
     """A quarter of a source's rows far off in one direction neither moves the centre nor widens the covariance."""
     rng = random.Random(13)
     rows = [(k, _words(rng, rng.randint(60, 300)), "en", "s") for k in range(300)] + [(1000 + k, "$ # | ".join(_words(rng, 90).split()), "en", "s") for k in range(70)]
-    got = {r.doc_id: r.d2 for r in quality.judged(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r._row.doc_id: r.d2 for r in quality.judged(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert max(v for k, v in got.items() if k < 1000) < quality.CUTOFF < min(v for k, v in got.items() if k >= 1000)
 
 
@@ -569,3 +569,26 @@ def test_warc_repeated_and_null_ids(spark):
     named = lambda t: (len(t or ""), hashlib.sha256((t or "").encode()).hexdigest())
     expected = [(k, *named(t), "revisit" if (k, t) == (7, "x" * 100) else "response", 5 if (k, t) == (7, "x" * 100) else None) for k, t in rows]
     assert sorted(map(str, got)) == sorted(map(str, expected))
+
+
+def test_pipeline_with_odd_tables(spark, tmp_path):
+    """Empty tables, null and repeated ids, and columns named like the stages' own."""
+    rng = random.Random(17)
+    item = _words(rng, 30)
+    texts = [_words(rng, 120) for _ in range(40)]
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts)] + [(3, texts[3], "en", "s"), (None, texts[5], "en", "s"), (4, "short", "en", "s"), (None, f"{_words(rng, 60)} {item} {_words(rng, 60)}", None, None), (None, _words(rng, 90), "en", "s"), (None, None, None, None)]
+    odd = [F.lit(k).alias(c) for k, c in enumerate(["number", "n_words", "d2", "base_failed", "_row", "whole", "id", "digest", "tie", "component_id", "number_of_row", "_h"])]
+    for name, docs, bench in (("odd", rows, [(1, item), (None, None)]), ("empty", [], [])):
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame(docs, SCHEMA).select("*", *odd).repartition(3).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame(bench, "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+        left = spark.read.parquet(f"{path}/documents.parquet")
+        columns = left.columns
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, left, path).cache()
+            assert left.columns == columns
+        kept = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+        expected = [] if name == "empty" else [(k, t) for k, t in enumerate(texts) if k != 5] + [(None, texts[5]), (None, rows[-2][1])]
+        assert kept == sorted(expected, key=str)
+        packed = corpus_pipeline.STAGES[-1][1](spark, left, path)
+        assert packed.count() == 0 if name == "empty" else {r.doc_id for r in packed.collect()} == {k for k, _ in expected}
