@@ -27,6 +27,10 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
 
 
+#: Written tables after which an operator tidies up the driver.
+TIDY = 8
+#: Characters of a plan's description, which the driver keeps for each of the last thousand steps.
+PLAN_TEXT, PLAN_LENGTH = "spark.sql.maxPlanStringLength", 10_000
 #: Stands for a null id where ids travel as plain integers; no document has it.
 NO_ID = -(1 << 63)
 #: Copies of a row that one array element stands for where repeated rows are written out again.
@@ -42,13 +46,23 @@ class Workspace:
         paths = spark.sparkContext.environment.get("PYTHONPATH", "")
         if root not in paths.split(":"):
             spark.sparkContext.environment["PYTHONPATH"] = ":".join(filter(None, (paths, root)))
-        if int(spark.conf.get(BATCH)) > BATCH_ROWS:
-            spark.conf.set(BATCH, str(BATCH_ROWS))
+        for setting, most in ((BATCH, BATCH_ROWS), (PLAN_TEXT, PLAN_LENGTH)):
+            if int(spark.conf.get(setting).rstrip("b")) > most:
+                spark.conf.set(setting, str(most))
+        self.saved = 0
+        self.tidy()
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
+    def tidy(self) -> None:
+        """Lets the driver give back what finished steps left there: plans, listings, broadcast handles, generated classes."""
+        self.spark._jvm.System.gc()
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and read it back: cuts the lineage and survives lost executors."""
         path = f"{self.path}/{name}"
+        self.saved += 1
+        if self.saved % TIDY == 0:
+            self.tidy()
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
