@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ PLAN_TEXT, PLAN_LENGTH = "spark.sql.maxPlanStringLength", 10_000
 NO_ID = -(1 << 63)
 #: Copies of a row that one array element stands for where repeated rows are written out again.
 COPIES = 100_000
+#: Folders of the workspaces made in each ``discarding`` block that is open.
+_made: list[list[str]] = []
 
 
 class Workspace:
@@ -52,6 +55,8 @@ class Workspace:
         self.saved = 0
         self.tidy()
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        if _made:
+            _made[-1].append(self.path)
 
     def tidy(self) -> None:
         """Lets the driver give back what finished steps left there: plans, listings, broadcast handles, generated classes."""
@@ -67,9 +72,25 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, f"{self.path}/{name}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def discarding(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving the folders of the workspaces made inside: what is returned from there has to be written by then."""
+    made: list[str] = []
+    _made.append(made)
+    try:
+        yield
+    finally:
+        _made.pop()
+        for folder in made:
+            _delete(spark, folder)
 
 
 def shuffle_width(spark: SparkSession) -> int:
