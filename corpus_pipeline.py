@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm._work import Workspace, numbered
+from sessionloom.llm._work import Workspace, discarding, numbered
 from sessionloom.llm.decontam import contaminated
 from sessionloom.llm.ngram_join import near_duplicate_classes
 from sessionloom.llm.packing import packed_buckets
@@ -82,5 +82,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, work = spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
-        docs = work.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        with discarding(spark):  # a stage's tables go once its result is written, and so does the result before it
+            docs = work.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            work.drop(f"stage-{k - 1}")
     return docs
