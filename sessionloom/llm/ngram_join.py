@@ -291,7 +291,9 @@ def compared(docs: DataFrame, members: DataFrame, level: Broadcast, work: Worksp
     ids = work.save(members.select("doc").distinct(), f"{name}-ids")
     texts = semi_by_id(docs, ids, "doc", ids.count())
     rows = members.join(texts, "doc").select("a", "salt", "doc", "part", "probe", "text").repartition(shuffle_width(work.spark), "a", "salt").sortWithinPartitions("a", "salt")
-    return work.save(rows.mapInArrow(compare(level), "a long, b long"), f"{name}-links")
+    links = work.save(rows.mapInArrow(compare(level), "a long, b long"), f"{name}-links")
+    work.tidy()  # the shuffled texts are of no more use
+    return links
 
 
 def _salted(rows: DataFrame, key: list[str], by: str) -> DataFrame:
@@ -325,7 +327,9 @@ def _classes(docs: DataFrame, work: Workspace) -> DataFrame:
     signs = work.save(docs.mapInArrow(describe, "doc long, cls long, n long"), "signed")
     keys = routes(spark, width)
     tables = docs.mapInArrow(dealt_shingles(keys), "bucket int, rows binary").repartition(width, "bucket").mapInArrow(counted_levels, "part long, levels binary")
-    tables = work.save(tables, "levels").repartition(LEVEL_ROWS, "part").mapInArrow(merged_levels, "part long, levels binary")
+    counted = work.save(tables, "levels")
+    work.tidy()  # the shuffled shingles are of no more use
+    tables = counted.repartition(LEVEL_ROWS, "part").mapInArrow(merged_levels, "part long, levels binary")
     level = np.zeros((LEVEL_ROWS, (1 << LEVEL_BITS) // LEVEL_ROWS), np.uint8)
     for row in tables.collect():
         level[row.part] = np.frombuffer(zlib.decompress(bytes(row.levels)), np.uint8)
@@ -334,6 +338,7 @@ def _classes(docs: DataFrame, work: Workspace) -> DataFrame:
 
     dealt = docs.mapInArrow(postings(level, keys), "bucket int, rows binary").repartition(width, "bucket")
     posts = work.save(dealt.mapInArrow(shared_postings, "tok long, cls long, n long, pos long, leader long"), "posts")
+    work.tidy()  # nor are the shuffled postings
 
     led = posts.filter("cls <> leader").groupBy("cls", "leader").agg(F.count(F.lit(1)).alias("shared"))
     led = work.save(led, "led")  # of the leaders with half of the most shared shingles, the one with most followers
