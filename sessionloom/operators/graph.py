@@ -161,10 +161,11 @@ def context_edges(edges: DataFrame, edge_mentions: DataFrame, selected: DataFram
 def synonym_edges(nodes: DataFrame, similar: DataFrame) -> DataFrame:
     """(query_id, src, dst, score), both ways, of nodes (query_id, node, vec) whose vectors are in ``similar(a, b, score)``.
 
-    ``similar`` holds a pair of vectors once, with a = b for one vector that several nodes share.
+    ``similar`` holds a pair of vectors once, with a = b for one vector that several nodes share; with ``query_id``, a
+    question's own pairs.
     """
     left, right = nodes.select("query_id", F.col("node").alias("x"), F.col("vec").alias("a")), nodes.select("query_id", F.col("node").alias("y"), F.col("vec").alias("b"))
-    pairs = left.join(similar, "a").join(right, ["query_id", "b"]).filter("a <> b OR x < y")
+    pairs = left.join(similar, ["query_id", "a"] if "query_id" in similar.columns else "a").join(right, ["query_id", "b"]).filter("a <> b OR x < y")
     return pairs.select("query_id", "score", F.explode(F.array(F.struct(F.col("x").alias("src"), F.col("y").alias("dst")), F.struct(F.col("y").alias("src"), F.col("x").alias("dst")))).alias("p")).select("query_id", "p.src", "p.dst", "score").distinct()
 
 

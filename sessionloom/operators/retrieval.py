@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +21,33 @@ def cosine_scores(questions: DataFrame, items: DataFrame, dim: int | None = None
     return e.crossJoin(q).select("query_id", "id", F.try_divide(dot("_q", "_e", dim), F.col("_nq") * F.col("_ne")).alias("score"))
 
 
-def similar_pairs(items: DataFrame, threshold: float, dim: int | None = None) -> DataFrame:
-    """(a, b, score) with a < b of items whose cosine similarity reaches the threshold."""
-    left, right = (items.select(F.col("id").alias(x), F.col("embedding").alias(f"_{x}"), norm("embedding").alias(f"_n{x}")) for x in "ab")
-    return left.join(right, F.col("a") < F.col("b")).select("a", "b", F.try_divide(dot("_a", "_b", dim), F.col("_na") * F.col("_nb")).alias("score")).filter(F.col("score") >= threshold)
+def similar_within(nodes: DataFrame, items: DataFrame, threshold: float, dim: int, block: int = 1024) -> DataFrame:
+    """(query_id, a, b, score) with a < b of items (id, embedding) whose cosine similarity reaches the threshold, among the
+    vectors that one question's nodes (query_id, vec) have.
+
+    Matrix products of a question's vectors find the pairs near or above the threshold; the score of these decides.
+    """
+
+    def close(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, own = rows["vec"].to_numpy(), [np.asarray(x, float) for x in rows["embedding"]]
+        heads = np.full((len(own), dim), np.nan)
+        for k, x in enumerate(own):
+            heads[k, : len(x)] = x[:dim]
+        with np.errstate(all="ignore"):
+            heads /= np.array([np.sqrt((x * x).sum()) for x in own])[:, None]
+            a, b = [], []
+            for lo in range(0, len(ids), block):
+                x, y = np.nonzero(~(heads[lo : lo + block] @ heads.T < threshold - 1e-6))  # what is no number is left to the score
+                a.append(ids[lo + x])
+                b.append(ids[y])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pd.DataFrame({"query_id": rows["query_id"].iloc[0], "a": a[a < b], "b": b[a < b]}).drop_duplicates()
+
+    near = nodes.select("query_id", "vec").distinct().join(items.select(F.col("id").alias("vec"), "embedding"), "vec").select("query_id", "vec", "embedding")
+    pairs = near.groupBy("query_id").applyInPandas(close, "query_id bigint, a bigint, b bigint")
+    for x in "ab":
+        pairs = pairs.join(items.select(F.col("id").alias(x), F.col("embedding").alias(f"_{x}"), norm("embedding").alias(f"_n{x}")), x)
+    return pairs.select("query_id", "a", "b", F.try_divide(dot("_a", "_b", dim), F.col("_na") * F.col("_nb")).alias("score")).filter(F.col("score") >= threshold)
 
 
 def channel_b(scored: DataFrame, k: int) -> DataFrame:
@@ -35,10 +60,15 @@ def contenders(scores: DataFrame, items: DataFrame, k: int) -> DataFrame:
 
     Items share vectors; counting them by vector first keeps all others out of the join with the items.
     """
-    sizes = items.groupBy(F.col("vec").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
+    return within(scores, items.groupBy("vec").agg(F.count(F.lit(1)).alias("n")), k).join(items.select(F.col("vec").alias("id")).distinct(), "id", "left_semi")
+
+
+def within(scores: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """The scores (query_id, id, score) that fewer than k items score higher than, of ``sizes(vec, n)`` or more items a vector."""
     upto = Window.partitionBy("query_id").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     level = Window.partitionBy("query_id", "score")
-    rows = scores.join(sizes, "id").withColumn("_higher", F.sum("_n").over(upto) - F.sum("_n").over(level))
+    rows = scores.join(sizes.select(F.col("vec").alias("id"), F.col("n").alias("_n")), "id", "left").fillna(0, ["_n"])
+    rows = rows.withColumn("_higher", F.sum("_n").over(upto) - F.sum("_n").over(level))
     return rows.filter(F.col("_higher") < k).select("query_id", "id", "score")
 
 

@@ -13,8 +13,9 @@ from .operators import graph as G
 from .operators import ppr as P
 from .operators import rerank as R
 from .operators import retrieval as S
+from .trade import Trade
 
-DIM, SYNONYM, TIME, STEPS = 64, 0.4, "1998/05/02", 10
+DIM, SYNONYM, TIME, STEPS, TOP, POOL = 64, 0.4, "1998/05/02", 10, 20, 15
 
 
 def kept(step):
@@ -23,30 +24,56 @@ def kept(step):
 
 
 class Flow:
-    """The steps from questions to ranked triples over the fixture tables, each computed once for a query."""
+    """The steps from questions to ranked triples over the fixture tables, each computed once for a query.
 
-    def __init__(self, t, mentions: bool = True):
-        self.t = t
-        if mentions:  # the views below read them several times
-            t.known["mentions"] = cut(t["mentions"])
+    Mentions and edges are made for what a step needs (``Trade``), not for all tables.
+    """
+
+    def __init__(self, t):
+        self.t, self.trade = t, Trade(t)
+
+    @property
+    def items(self):
+        return self.t["embeddings"].select(F.col("vec_id").alias("id"), "embedding")
 
     @kept
     def cos(self):
-        items = self.t["embeddings"].select(F.col("vec_id").alias("id"), "embedding")
-        return S.cosine_scores(items.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), items, DIM)
+        return S.cosine_scores(self.items.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), self.items, DIM)
 
     @kept
-    def edges(self):
-        return self.t["edges"]
+    def top(self):
+        """The best edges. A mention that is not its pair's last is no edge: as long as too few of the best mentions are edges, more are looked at."""
+        sizes, need = cut(self.trade.most()), 8 * TOP
+        total = sizes.agg(F.sum("n")).first()[0] or 0
+        while True:
+            scores = cut(S.within(self.cos, sizes.filter("vec IS NOT NULL"), need))
+            last = self.trade.edges(self.trade.of_vecs(scores.select(F.col("id").alias("vec"))))
+            best = cut(S.channel_b(last.join(scores, F.col("vec") == F.col("id")).drop("id"), need).drop("rank"))
+            whole = self.trade.edges(self.trade.of_pairs(best)).select(*(F.col(c).alias(f"_{c}") for c in ("src", "dst", "ordinal", "session_id")))
+            same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("src", "dst", "ordinal", "session_id")]
+            top = cut(S.channel_b(best.join(whole, same, "left_semi"), TOP))
+            found = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+            if need >= total or scores.select("query_id").distinct().join(found, "query_id", "left").filter(f"coalesce(n, 0) < {TOP}").isEmpty():
+                return top
+            need *= 8
 
     @kept
-    def top(self):
-        scores = S.contenders(self.cos, self.edges, 20)
-        return S.channel_b(self.edges.join(scores, F.col("vec") == F.col("id")).drop("id"), 20)
+    def sessions(self):
+        return self.trade.sessions()
+
+    def _scored(self, scores):
+        return self.sessions.join(scores, F.col("vec") == F.col("id")).select("query_id", "session_id", "score")
 
     @property
     def a(self):
-        return self.t["sessions"].join(self.cos, F.col("vec") == F.col("id")).select("query_id", "session_id", "score")
+        return self._scored(self.cos)
+
+    @kept
+    def some_a(self):
+        """Of channel A what fusions and rankings use: its first ones and the sessions of the best triples."""
+        first = self._scored(S.contenders(self.cos, self.sessions, POOL))
+        own = self.sessions.join(self.top.select("query_id", "session_id").distinct(), "session_id").join(self.cos.withColumnRenamed("id", "vec"), ["query_id", "vec"])
+        return first.unionByName(own.select("query_id", "session_id", "score")).distinct()
 
     @property
     def b(self):
@@ -54,32 +81,60 @@ class Flow:
 
     @kept
     def fused(self):
-        return S.dual_channel_fusion(self.a, self.b)
+        return S.dual_channel_fusion(self.some_a, self.b, POOL)
+
+    @kept
+    def mentioned(self):
+        """All mentions of the selected sessions."""
+        return self.trade.of_sessions(self.fused)
+
+    @kept
+    def edges(self):
+        """The edges that the selected sessions mention."""
+        return self.trade.edges(self.trade.of_pairs(self.mentioned))
+
+    @property
+    def edge_mentions(self):
+        return self.mentioned.select("src", "dst", "session_id").distinct()
 
     @kept
     def relations(self):
-        return G.session_edges(self.edges, self.t["edge_mentions"], self.fused)
+        return G.session_edges(self.edges, self.edge_mentions, self.fused)
 
     @kept
     def contexts(self):
-        return G.context_edges(self.edges, self.t["edge_mentions"], self.fused)
+        return G.context_edges(self.edges, self.edge_mentions, self.fused)
 
     @kept
     def nodes(self):
         """(query_id, node, ordinal, vec) of entity nodes by first appearance."""
         ends = self.relations.select("query_id", F.explode(F.array(F.struct(F.col("src").alias("node"), (F.col("ordinal") * 2).alias("ordinal")), F.struct(F.col("dst").alias("node"), (F.col("ordinal") * 2 + 1).alias("ordinal")))).alias("e"))
-        return self._vec(ends.groupBy("query_id", "e.node").agg(F.min("e.ordinal").alias("ordinal")))
+        return self.trade.with_vec(ends.groupBy("query_id", "e.node").agg(F.min("e.ordinal").alias("ordinal")))
 
-    def _vec(self, nodes, name="node"):
-        n = self.t["embeddings"].agg(F.count(F.lit(1)).alias("_n"))
-        key = F.when(F.contains(name, F.lit("#")), F.try_element_at(F.split(name, "#"), F.lit(2)).cast("bigint"))
-        return nodes.crossJoin(F.broadcast(n)).withColumn("vec", key % F.col("_n")).drop("_n")
+    @kept
+    def similar(self):
+        """(query_id, node, score, rank). Fewer than ten customers alone score higher than what is looked at."""
+        cos, customers = self.cos, self.trade.customers()
+        scores = cos.select("query_id", "id", F.greatest(0.7 * F.col("score") + 0.3, F.lit(0.0)).alias("score"), F.lit(True).alias("customer"))
+        scores = scores.unionByName(cos.select("query_id", "id", F.greatest(0.7 * F.col("score"), F.lit(0.0)).alias("score"), F.lit(False).alias("customer")))
+        # vectors of customers have their numbers, those of other nodes count none
+        scores = scores.withColumn("id", F.struct("id", "customer")).drop("customer")
+        sizes = customers.select(F.struct(F.col("vec").alias("id"), F.lit(True).alias("customer")).alias("vec"), "n")
+        near = cut(S.within(scores, sizes, 10).select("query_id", F.col("id.id").alias("id")).distinct())
+        nodes = cut(self.trade.entities_at(near.select(F.col("id").alias("vec"))))
+        return S.similar_entities(cos.join(near, ["query_id", "id"], "left_semi"), nodes, cos.select("query_id").distinct().withColumn("entity_type", F.lit("customer")), 10)
+
+    @kept
+    def touching(self):
+        """The edges that touch a similar entity."""
+        return self.trade.edges(self.trade.of_nodes(self.similar))
 
     @kept
     def synonyms(self):
-        items = self.t["embeddings"].select(F.col("vec_id").alias("id"), "embedding")
-        same = items.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
-        return G.synonym_edges(self.nodes.filter("vec IS NOT NULL"), S.similar_pairs(items, SYNONYM, DIM).unionByName(same))
+        nodes, items = self.nodes.filter("vec IS NOT NULL"), self.items
+        same = nodes.select("query_id", "vec").distinct().join(items.select(F.col("id").alias("vec")), "vec", "left_semi")
+        same = same.select("query_id", F.col("vec").alias("a"), F.col("vec").alias("b"), F.lit(1.0).alias("score"))
+        return G.synonym_edges(nodes, S.similar_within(nodes, items, SYNONYM, DIM).unionByName(same))
 
     @kept
     def graph(self):
@@ -113,7 +168,7 @@ def _round(df, *names, digits=6):
 def cosine_topk(t):
     from .operators.topk import top_k
 
-    return _round(top_k(Flow(t, mentions=False).cos, 20, ["query_id"], [F.desc("score"), F.col("id")]), "score")
+    return _round(top_k(Flow(t).cos, 20, ["query_id"], [F.desc("score"), F.col("id")]), "score")
 
 
 @query("SELECT query_id, session_id, round(score, 6) AS score FROM channela")
@@ -133,7 +188,8 @@ def channel_b_sessions(t):
 
 @query("SELECT t.query_id, m.session_id, round(max(t.score), 6) AS score FROM toptriples t JOIN edge_mentions m ON m.src = t.src AND m.dst = t.dst GROUP BY t.query_id, m.session_id")
 def session_scores_multi(t):
-    return _round(S.session_scores_multi(Flow(t).top, t["edge_mentions"]), "score")
+    f = Flow(t)
+    return _round(S.session_scores_multi(f.top, f.trade.of_pairs(f.top).select("src", "dst", "session_id").distinct()), "score")
 
 
 @query("SELECT query_id, session_id, round(a_raw, 6) AS a_raw, round(b_raw, 6) AS b_raw, round(a_norm, 6) AS a_norm, round(fusion, 6) AS fusion, source, rank FROM fused")
@@ -149,14 +205,14 @@ _POOL = "(SELECT * FROM (SELECT query_id, session_id, score, row_number() OVER (
     FROM {_POOL.format('channela', 10)} a FULL JOIN {_POOL.format('channelb', 8)} b ON a.query_id = b.query_id AND a.session_id = b.session_id)) WHERE rank <= 15""")
 def linear_merge(t):
     f = Flow(t)
-    return _round(S.linear_merge(f.a, f.b), "score")
+    return _round(S.linear_merge(f.some_a, f.b), "score")
 
 
 @query(f"""SELECT * FROM (SELECT query_id, session_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, session_id) AS rank FROM (
     SELECT query_id, session_id, sum(s) AS score FROM (SELECT query_id, session_id, 0.6::double / (60 + r) AS s FROM {_POOL.format('channela', 15)} UNION ALL SELECT query_id, session_id, 0.4::double / (60 + r) FROM {_POOL.format('channelb', 10)}) GROUP BY query_id, session_id)) WHERE rank <= 15""")
 def rrf_fusion(t):
     f = Flow(t)
-    return _round(S.rrf_fusion(f.a, f.b), "score")
+    return _round(S.rrf_fusion(f.some_a, f.b), "score")
 
 
 @query("SELECT query_id, session_id, r AS rank, round(0.9::double * pow(0.9::double, r - 1), 6) AS place_score FROM (SELECT query_id, session_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, session_id) AS r FROM channela)")
@@ -187,7 +243,7 @@ def local_graph(t):
 @query("SELECT m.query_id, m.src, m.dst, 'relation' AS edge_type, m.relation, m.weight FROM (SELECT f.query_id, x.src, x.dst, x.relation, count(*)::double AS weight FROM mentions x JOIN fused f ON f.session_id = x.session_id GROUP BY f.query_id, x.src, x.dst, x.relation) m UNION ALL SELECT query_id, src, dst, 'synonymy', 'synonym', round(score, 6) FROM synonyms")
 def local_multigraph(t):
     f = Flow(t)
-    return _round(G.local_multigraph(t["mentions"], f.fused, f.synonyms), "weight")
+    return _round(G.local_multigraph(f.mentioned, f.fused, f.synonyms), "weight")
 
 
 @query("SELECT query_id, session, latest FROM latest")
@@ -211,9 +267,11 @@ def anchor_seeds(t):
     SELECT query_id, 'first' AS entity, id, score FROM cos UNION ALL SELECT query_id, 'same', id, score FROM cos UNION ALL SELECT query_id, 'opposite', id, -score FROM cos) c ON c.id = n.vec) WHERE rn = 1 GROUP BY query_id, node""")
 def anchor_argmax(t):
     f = Flow(t)
-    ours = f.cos.select("query_id", F.lit("first").alias("entity"), "id", "score")
-    scores = ours.unionByName(ours.withColumn("entity", F.lit("same"))).unionByName(ours.select("query_id", F.lit("opposite").alias("entity"), "id", (-F.col("score")).alias("score")))
-    return _round(P.anchor_argmax(scores, f._vec(t["entities"].select(F.col("name").alias("node")).distinct())), "score")
+    sizes = cut(f.trade.customers())  # these alone keep all lower scores from being the best
+    near, far = cut(S.within(f.cos, sizes, 1)), cut(S.within(f.cos.withColumn("score", -F.col("score")), sizes, 1))
+    nodes = f.trade.entities_at(near.unionByName(far).select(F.col("id").alias("vec")))
+    scores = [rows.select("query_id", F.lit(entity).alias("entity"), "id", "score") for rows, entity in ((near, "first"), (near, "same"), (far, "opposite"))]
+    return _round(P.anchor_argmax(scores[0].unionByName(scores[1]).unionByName(scores[2]), nodes), "score")
 
 
 @query("SELECT query_id, node, round(mass, 6) AS mass FROM seeds")
@@ -265,13 +323,13 @@ def _placed(df):
 @query(_PLACE.format(9, "SELECT t.*, 0.7::double * t.score + 0.3::double * coalesce(a.score, 0.0) AS final FROM toptriples t LEFT JOIN channela a ON a.query_id = t.query_id AND a.session_id = t.session_id"))
 def simplerank(t):
     f = Flow(t)
-    return _placed(R.simplerank(f.top, f.a, 0.3))
+    return _placed(R.simplerank(f.top, f.some_a, 0.3))
 
 
 @query(_PLACE.format(9, f"SELECT *, (0.3::double * ss + 0.7::double * score) * exp(-pow(gap / greatest(median(gap) OVER (PARTITION BY query_id), 1.0), 0.5)) AS final FROM (SELECT t.*, CASE WHEN coalesce(a.score, 0.0) = 0 THEN 0.01::double ELSE a.score END AS ss, {_GAP} AS gap FROM toptriples t LEFT JOIN channela a ON a.query_id = t.query_id AND a.session_id = t.session_id)"))
 def cognirank(t):
     f = Flow(t)
-    return _placed(R.cognirank(f.top, f.a, "1998/05/02 (Sat) 02:21", 0.3))
+    return _placed(R.cognirank(f.top, f.some_a, "1998/05/02 (Sat) 02:21", 0.3))
 
 
 @query(_PLACE.format(12, f"SELECT *, ppr * exp(-pow(gap / greatest(median(gap) OVER (PARTITION BY query_id), 1.0), 0.5)) AS final FROM (SELECT *, {_HARMONIC} AS ppr, {_GAP} AS gap FROM bothends)"))
@@ -282,12 +340,7 @@ def ppr_temporal_rerank(t):
 
 @query("SELECT query_id, node, round(score, 6) AS score, rank FROM similarentities")
 def similar_entities(t):
-    return _round(_similar(t, Flow(t)), "score")
-
-
-def _similar(t, f):
-    nodes = f._vec(t["entities"].select(F.col("name").alias("node"), "entity_type").distinct())
-    return S.similar_entities(f.cos, nodes, f.cos.select("query_id").distinct().withColumn("entity_type", F.lit("customer")), 10)
+    return _round(Flow(t).similar, "score")
 
 
 _TOUCH = "SELECT s.query_id, e.*, min(s.rank) AS entity_rank FROM edges e JOIN similarentities s ON s.node = e.src OR s.node = e.dst GROUP BY ALL"
@@ -295,19 +348,20 @@ _TOUCH = "SELECT s.query_id, e.*, min(s.rank) AS entity_rank FROM edges e JOIN s
 
 @query(f"SELECT query_id, src, relation, dst, entity_rank FROM ({_TOUCH})")
 def entity_triples(t):
-    return S.entity_triples(t["edges"], _similar(t, Flow(t))).select("query_id", "src", "relation", "dst", "entity_rank")
+    f = Flow(t)
+    return S.entity_triples(f.touching, f.similar).select("query_id", "src", "relation", "dst", "entity_rank")
 
 
 @query(f"SELECT query_id, rank, src, relation, dst, round(final, 6) AS final FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, ordinal, src, dst) AS rank FROM (SELECT x.*, c.score + 0.2::double / x.entity_rank AS final FROM ({_TOUCH}) x JOIN cos c ON c.query_id = x.query_id AND c.id = x.vec)) WHERE rank <= 30")
 def relevant_triples(t):
     f = Flow(t)
-    return _round(S.relevant_triples(S.entity_triples(t["edges"], _similar(t, f)), f.cos, 15).select("query_id", "rank", "src", "relation", "dst", "final"), "final")
+    return _round(S.relevant_triples(S.entity_triples(f.touching, f.similar), f.cos, 15).select("query_id", "rank", "src", "relation", "dst", "final"), "final")
 
 
 @query("SELECT query_id, rank, src, relation, dst, round(score, 6) AS score FROM (SELECT s.*, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.ordinal, s.src, s.dst) AS rank FROM scored s JOIN fused f ON f.query_id = s.query_id AND f.session_id = s.session_id) WHERE rank <= 15")
 def session_triples(t):
     f = Flow(t)
-    return _round(S.session_triples(t["edges"], f.fused, f.cos, 15).select("query_id", "rank", "src", "relation", "dst", "score"), "score")
+    return _round(S.session_triples(f.edges, f.fused, f.cos, 15).select("query_id", "rank", "src", "relation", "dst", "score"), "score")
 
 
 _TERMS = {0: ("User", "the assistant"), 1: (" system user", "nobody")}
@@ -328,7 +382,8 @@ def summary_key_similarity(t):
 
 @query("SELECT query_id, session_id, round(score, 6) AS score, rank FROM (SELECT query_id, session_id, greatest(score, 0.0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY greatest(score, 0.0) DESC, session_id) AS rank FROM channela) WHERE rank <= 10")
 def summary_entity_max(t):
-    return _round(S.summary_entity_max(Flow(t).cos, t["sessions"], 10), "score")
+    f = Flow(t)
+    return _round(S.summary_entity_max(f.cos, f.sessions, 10), "score")
 
 
 @query("SELECT query_id, string_agg(concat('(', src, ', ', relation, ', ', dst, ')'), '; ' ORDER BY rank) AS triples FROM toptriples GROUP BY query_id")
@@ -361,14 +416,16 @@ def viz_bands(t):
 
 @query("SELECT query_id, entity, row_number() OVER (PARTITION BY query_id ORDER BY p, entity) AS place FROM (SELECT query_id, entity, min(p) AS p FROM (SELECT query_id, src AS entity, rank AS p FROM toptriples UNION ALL SELECT query_id, lower(dst), rank FROM toptriples) WHERE entity IN (SELECT name FROM entities) GROUP BY query_id, entity) QUALIFY place <= 5")
 def entity_lookup(t):
-    top = Flow(t).top
-    wanted = top.select("query_id", F.col("rank").alias("place"), F.explode(F.array(F.col("src"), F.lower("dst"))).alias("entity")).groupBy("query_id", "entity").agg(F.min("place").alias("place"))
-    return S.lookup_entities(wanted, t["entities"].select(F.col("name").alias("node")), 5)
+    f = Flow(t)
+    wanted = f.top.select("query_id", F.col("rank").alias("place"), F.explode(F.array(F.col("src"), F.lower("dst"))).alias("entity")).groupBy("query_id", "entity").agg(F.min("place").alias("place"))
+    ends = f.trade.of_nodes(wanted.select(F.col("entity").alias("node"))).select(F.explode(F.array("src", "dst")).alias("node"))
+    return S.lookup_entities(wanted, ends, 5)
 
 
 @query("SELECT f.query_id, f.session_id, s.session_time, row_number() OVER (PARTITION BY f.query_id ORDER BY f.session_id) AS place FROM fused f JOIN sessions s ON s.session_id = f.session_id")
 def relevant_summaries(t):
-    return X.relevant_summaries(Flow(t).fused, t["sessions"].select("session_id", "session_time")).select("query_id", "session_id", "session_time", "place")
+    f = Flow(t)
+    return X.relevant_summaries(f.fused, f.sessions.select("session_id", "session_time")).select("query_id", "session_id", "session_time", "place")
 
 
 @query("SELECT DISTINCT query_id, chunk_id FROM toptriples")
