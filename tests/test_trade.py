@@ -14,6 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 MENTIONS = [
     "anchor_argmax",
     "entity_triples",
+    "phrase_seeds",
 ]
 
 
