@@ -15,6 +15,7 @@ MENTIONS = [
     "anchor_argmax",
     "entity_triples",
     "phrase_seeds",
+    "relevant_triples",
 ]
 
 
