@@ -16,6 +16,7 @@ MENTIONS = [
     "entity_triples",
     "phrase_seeds",
     "relevant_triples",
+    "session_edges",
 ]
 
 
