@@ -17,6 +17,7 @@ MENTIONS = [
     "phrase_seeds",
     "relevant_triples",
     "session_edges",
+    "session_triples",
 ]
 
 
