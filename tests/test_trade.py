@@ -18,6 +18,7 @@ MENTIONS = [
     "relevant_triples",
     "session_edges",
     "session_triples",
+    "similar_entities",
 ]
 
 
