@@ -19,6 +19,7 @@ MENTIONS = [
     "session_edges",
     "session_triples",
     "similar_entities",
+    "context_edges",
 ]
 
 
