@@ -20,6 +20,7 @@ MENTIONS = [
     "session_triples",
     "similar_entities",
     "context_edges",
+    "cognirank",
 ]
 
 
