@@ -21,6 +21,7 @@ MENTIONS = [
     "similar_entities",
     "context_edges",
     "cognirank",
+    "dual_channel_fusion",
 ]
 
 
