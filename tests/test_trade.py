@@ -22,6 +22,7 @@ MENTIONS = [
     "context_edges",
     "cognirank",
     "dual_channel_fusion",
+    "rank_based_summary",
 ]
 
 
