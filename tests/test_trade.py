@@ -23,6 +23,7 @@ MENTIONS = [
     "cognirank",
     "dual_channel_fusion",
     "rank_based_summary",
+    "relevant_summaries",
 ]
 
 
