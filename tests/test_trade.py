@@ -47,6 +47,7 @@ def test_mentions_are_not_made_whole(spark, name, monkeypatch):
 PAIRS = [
     "anchor_seeds",
     "harmonic_rank",
+    "local_graph",
 ]
 
 
