@@ -48,6 +48,7 @@ PAIRS = [
     "anchor_seeds",
     "harmonic_rank",
     "local_graph",
+    "local_multigraph",
 ]
 
 
