@@ -49,6 +49,7 @@ PAIRS = [
     "harmonic_rank",
     "local_graph",
     "local_multigraph",
+    "min_rank",
 ]
 
 
