@@ -50,6 +50,7 @@ PAIRS = [
     "local_graph",
     "local_multigraph",
     "min_rank",
+    "ppr_rank_sessions",
 ]
 
 
