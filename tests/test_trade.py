@@ -51,6 +51,7 @@ PAIRS = [
     "local_multigraph",
     "min_rank",
     "ppr_rank_sessions",
+    "ppr_scores",
 ]
 
 
