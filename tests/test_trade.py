@@ -52,6 +52,7 @@ PAIRS = [
     "min_rank",
     "ppr_rank_sessions",
     "ppr_scores",
+    "ppr_rank_triples",
 ]
 
 
