@@ -53,6 +53,7 @@ PAIRS = [
     "ppr_rank_sessions",
     "ppr_scores",
     "ppr_rank_triples",
+    "ppr_seeds",
 ]
 
 
