@@ -54,6 +54,7 @@ PAIRS = [
     "ppr_scores",
     "ppr_rank_triples",
     "ppr_seeds",
+    "session_latest_ts",
 ]
 
 
