@@ -55,6 +55,7 @@ PAIRS = [
     "ppr_rank_triples",
     "ppr_seeds",
     "session_latest_ts",
+    "synonym_edges",
 ]
 
 
