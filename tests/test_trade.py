@@ -56,6 +56,7 @@ PAIRS = [
     "ppr_seeds",
     "session_latest_ts",
     "synonym_edges",
+    "ppr_temporal_rerank",
 ]
 
 
