@@ -41,6 +41,8 @@ from .components import connected_components
 #: log2 of the level table's slots (a byte each), the rows it travels in, the sets of one trie, and the most classes of a
 #: shingle paired directly. A larger table tells rare shingles apart better; results do not depend on it.
 LEVEL_BITS, LEVEL_ROWS, TRIE_SETS, CROWD = 22, 16, 512, 64
+#: Most members of groups that are broadcast to the texts, which then travel once; beyond that they travel twice.
+BROADCAST_MEMBERS = 500_000
 _PLACE = np.uint64(6)
 
 
@@ -286,11 +288,15 @@ def compare(level: Broadcast):
 def compared(docs: DataFrame, members: DataFrame, level: Broadcast, work: Workspace, name: str) -> DataFrame:
     """The links (a, b) found in the groups (a, salt) of ``members(a, salt, doc, part, probe)``."""
     members = work.save(members, f"{name}-members")
-    if members.isEmpty():
+    n = members.count()
+    if not n:
         return work.spark.createDataFrame([], "a long, b long")
-    ids = work.save(members.select("doc").distinct(), f"{name}-ids")
-    texts = semi_by_id(docs, ids, "doc", ids.count())
-    rows = members.join(texts, "doc").select("a", "salt", "doc", "part", "probe", "text").repartition(shuffle_width(work.spark), "a", "salt").sortWithinPartitions("a", "salt")
+    if n <= BROADCAST_MEMBERS:
+        rows = docs.join(F.broadcast(members), "doc")
+    else:
+        ids = work.save(members.select("doc").distinct(), f"{name}-ids")
+        rows = members.join(semi_by_id(docs, ids, "doc", ids.count()), "doc")
+    rows = rows.select("a", "salt", "doc", "part", "probe", "text").repartition(shuffle_width(work.spark), "a", "salt").sortWithinPartitions("a", "salt")
     links = work.save(rows.mapInArrow(compare(level), "a long, b long"), f"{name}-links")
     work.tidy()  # the shuffled texts are of no more use
     return links

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sessionloom.llm import decontam, license_scan, packing, pii, quality, quotes, token_files, warc
+from sessionloom.llm import _work, decontam, license_scan, ngram_join, packing, pii, quality, quotes, token_files, warc
 from sessionloom.llm import suffix_dedup as sd
 from sessionloom.llm.ngram_join import near_duplicate_classes, reachable
 from sessionloom.llm.registry import tokenizer_path
@@ -94,6 +94,23 @@ def test_near_duplicates_in_a_crowd(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicate_classes(rows).collect()} == _classes(texts)
 
 
+@pytest.mark.parametrize(("most", "by_key"), [(ngram_join.__dict__.get("BROADCAST_MEMBERS"), False), (0, True)])
+def test_compared_texts_travel_once(docs, monkeypatch, most, by_key):
+    """Few members are broadcast, whatever Spark's own threshold; results are the same with a join by key."""
+    joins, save = [], _work.Workspace.save
+    monkeypatch.setattr(ngram_join, "BROADCAST_MEMBERS", most, raising=False)
+    monkeypatch.setattr(_work.Workspace, "save", lambda self, df, name: (name.endswith("-links") and joins.append("SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()), save(self, df, name))[1])
+    conf, name = docs.sparkSession.conf, "spark.sql.autoBroadcastJoinThreshold"
+    before = conf.get(name)
+    conf.set(name, "-1")
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicate_classes(docs).collect()}
+    finally:
+        conf.set(name, before)
+    assert joins and all(x == by_key for x in joins)
+    assert got == _classes({r[0]: r[1] for r in documents()})
+
+
 def _cut(texts):
     seen, out = set(), {}
     for k in sorted(texts):
