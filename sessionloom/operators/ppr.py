@@ -135,10 +135,10 @@ def rank_by_ends(triples: DataFrame, ranks: DataFrame, k: int, combine: str = "h
     return top_k(_both_ends(triples, ranks).withColumn("ppr", score), k, ["query_id"], [F.desc(F.round("ppr", 9)), F.col("ordinal"), F.col("src"), F.col("dst")])
 
 
-def rank_triples(triples: DataFrame, ranks: DataFrame, scores: DataFrame, k: int, beta_ppr: float = 0.8, beta_semantic: float = 0.2) -> DataFrame:
-    """Triples by scaled harmonic rank and similarity to the question."""
+def rank_triples(triples: DataFrame, ranks: DataFrame, k: int, beta_ppr: float = 0.8, beta_semantic: float = 0.2) -> DataFrame:
+    """Triples by scaled harmonic rank and similarity to the question (``score``)."""
     rows = _both_ends(triples, ranks).withColumn("ppr", harmonic("ppr_src", "ppr_dst")).withColumn("ppr_norm", minmax("ppr", Window.partitionBy("query_id"), 1e-12))
-    rows = rows.join(scores.withColumnRenamed("id", "vec"), ["query_id", "vec"]).withColumn("final", beta_ppr * F.col("ppr_norm") + beta_semantic * F.col("score"))
+    rows = rows.withColumn("final", beta_ppr * F.col("ppr_norm") + beta_semantic * F.col("score"))
     return top_k(rows, k, ["query_id"], [F.desc(F.round("final", 9)), F.col("ordinal"), F.col("src"), F.col("dst")])
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,14 +13,100 @@ from ..functions.similarity import dot, minmax, norm
 from .topk import ranked, top_k
 
 
-def cosine_scores(questions: DataFrame, items: DataFrame, dim: int | None = None) -> DataFrame:
+def _heads(rows: DataFrame, key: str, dim: int, *more: str) -> DataFrame:
+    """(key, _v, _norm, more): the first ``dim`` numbers of the embedding, null if there are not so many, and its norm."""
+    whole = (F.size("embedding") >= dim) & ~F.exists(F.slice("embedding", 1, dim), lambda x: x.isNull())
+    return rows.select(key, F.when(whole, F.slice("embedding", 1, dim).cast("array<double>")).alias("_v"), norm("embedding").alias("_norm"), *more)
+
+
+def _matrix(vectors: pa.Array, norms: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, norms and which rows have none (0 there)."""
+    out = np.zeros((len(vectors), dim))
+    out[vectors.is_valid().to_numpy(zero_copy_only=False)] = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return out, norms.fill_null(0.0).to_numpy(zero_copy_only=False), ~(pc.and_(vectors.is_valid(), norms.is_valid()).to_numpy(zero_copy_only=False))
+
+
+def _summed(parts) -> np.ndarray:
+    """The parts' sum in the order of ``dot``, one by one: equal vectors have equal scores wherever they stand."""
+    parts = iter(parts)
+    out = next(parts)
+    for x in parts:
+        out += x
+    return out
+
+
+def _divided(dots: np.ndarray, norms: np.ndarray, none: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The quotients and which are null."""
+    none = none | (norms == 0)
+    with np.errstate(all="ignore"):
+        return np.divide(dots, norms, out=np.zeros_like(dots), where=~none), none
+
+
+def _compared(questions: DataFrame, items: DataFrame, dim: int, k: int | None = None) -> DataFrame:
+    """(query_id, id, score) of questions (query_id, embedding) with items (id, embedding).
+
+    With ``k``, items have ``n``, and scores (then with ``_n``) are left out that k items of the same batch score higher than.
+    The questions go to every task; a batch of items is compared with some of them at a time.
+    """
+    asked = _heads(questions, "query_id", dim).toArrow().combine_chunks()
+    rows = _heads(items.filter("embedding IS NOT NULL"), "id", dim, *(["n"] if k else []))
+    kinds = dict(questions.dtypes)["query_id"], dict(items.dtypes)["id"]
+    parts = -(-rows.count() * len(asked) // 2**19)
+
+    def score(batches):
+        q_ids, (q, q_norm, q_none) = asked["query_id"].combine_chunks(), _matrix(asked["_v"].combine_chunks(), asked["_norm"].combine_chunks(), dim) if len(asked) else (None, None, None)
+        for whole in batches if len(asked) else ():
+            for lo in range(0, len(whole), size := 1024 if k is None else 4096):
+                batch = whole.slice(lo, size)
+                e, e_norm, e_none = _matrix(batch["_v"], batch["_norm"], dim)
+                e = np.ascontiguousarray(e.T)
+                for at in range(0, len(q), 32):
+                    own = q[at : at + 32]
+                    found, none = _divided(_summed(own[:, j, None] * e[j] for j in range(dim)), q_norm[at : at + 32, None] * e_norm, q_none[at : at + 32, None] | e_none)
+                    x, y = np.divmod(np.arange(found.size), len(batch)) if k is None else np.nonzero(_leading(found, none, batch["n"].to_numpy(), k))
+                    columns = [q_ids.take(pa.array(at + x)), batch["id"].take(pa.array(y)), pa.array(found[x, y], mask=none[x, y])]
+                    yield pa.RecordBatch.from_arrays([*columns, batch["n"].take(pa.array(y))], ["query_id", "id", "score", "_n"]) if k else pa.RecordBatch.from_arrays(columns, ["query_id", "id", "score"])
+
+    spread = rows.repartition(parts) if parts > 1 else rows
+    return spread.mapInArrow(score, f"query_id {kinds[0]}, id {kinds[1]}, score double" + (", _n bigint" if k else ""))
+
+
+def _leading(scores: np.ndarray, none: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Where, row by row, the columns of greater scores count fewer than k (nulls are least, what is no number is greatest)."""
+    order = np.where(none, -np.inf, np.where(np.isnan(scores), np.inf, scores))
+    places = np.argsort(-order, axis=1)
+    upto = np.cumsum(sizes[places], axis=1) >= k
+    last = np.where(upto.any(axis=1), upto.argmax(axis=1), order.shape[1] - 1)
+    rows = np.arange(len(order))
+    return order >= order[rows, places[rows, last]][:, None]
+
+
+def cosine_scores(questions: DataFrame, items: DataFrame, dim: int) -> DataFrame:
     """(query_id, id, score) of questions (query_id, embedding) with all items (id, embedding).
 
     Questions are a stated, small set; each scan of the items serves all of them.
     """
-    q = questions.select("query_id", F.col("embedding").alias("_q"), norm("embedding").alias("_nq"))
-    e = items.select("id", F.col("embedding").alias("_e"), norm("embedding").alias("_ne")).filter("_e IS NOT NULL")
-    return e.crossJoin(q).select("query_id", "id", F.try_divide(dot("_q", "_e", dim), F.col("_nq") * F.col("_ne")).alias("score"))
+    return _compared(questions, items, dim)
+
+
+def nearest(questions: DataFrame, items: DataFrame, sizes: DataFrame, k: int, dim: int) -> DataFrame:
+    """What ``within`` keeps of all cosine scores, without making the others: batches of items leave out what their own best exceed."""
+    counted = items.join(sizes.select(F.col("vec").alias("id"), "n"), "id", "left").fillna(0, ["n"])
+    return _counted_within(_compared(questions, counted.select("id", "embedding", F.col("n").cast("bigint").alias("n")), dim, k), k)
+
+
+def with_scores(rows: DataFrame, questions: DataFrame, items: DataFrame, dim: int) -> DataFrame:
+    """The rows (query_id, vec, ..) that have an item, with its ``score``: of ``cosine_scores`` only these pairs are made."""
+
+    @F.arrow_udf("double")
+    def score(q: pa.Array, q_norm: pa.Array, e: pa.Array, e_norm: pa.Array) -> pa.Array:
+        (a, x, none), (b, y, no) = _matrix(q, q_norm, dim), _matrix(e, e_norm, dim)
+        found, none = _divided(_summed(a[:, j] * b[:, j] for j in range(dim)), x * y, none | no)
+        return pa.array(found, mask=none)
+
+    e = _heads(items.filter("embedding IS NOT NULL").withColumnRenamed("id", "vec"), "vec", dim).withColumnsRenamed({"_v": "_e", "_norm": "_ne"})
+    q = _heads(questions, "query_id", dim).withColumnsRenamed({"_v": "_q", "_norm": "_nq"})
+    return rows.join(e, "vec").join(F.broadcast(q), "query_id").select(*rows.columns, score("_q", "_nq", "_e", "_ne").alias("score"))
 
 
 def similar_within(nodes: DataFrame, items: DataFrame, threshold: float, dim: int, block: int = 1024) -> DataFrame:
@@ -55,19 +143,14 @@ def channel_b(scored: DataFrame, k: int) -> DataFrame:
     return top_k(scored, k, ["query_id"], [F.desc("score"), F.col("ordinal"), F.col("src"), F.col("dst")])
 
 
-def contenders(scores: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """The scores (query_id, id, score) that can reach a question's top k among items (vec): fewer than k items score higher.
-
-    Items share vectors; counting them by vector first keeps all others out of the join with the items.
-    """
-    return within(scores, items.groupBy("vec").agg(F.count(F.lit(1)).alias("n")), k).join(items.select(F.col("vec").alias("id")).distinct(), "id", "left_semi")
-
-
 def within(scores: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
     """The scores (query_id, id, score) that fewer than k items score higher than, of ``sizes(vec, n)`` or more items a vector."""
+    return _counted_within(scores.join(sizes.select(F.col("vec").alias("id"), F.col("n").alias("_n")), "id", "left").fillna(0, ["_n"]), k)
+
+
+def _counted_within(rows: DataFrame, k: int) -> DataFrame:
     upto = Window.partitionBy("query_id").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     level = Window.partitionBy("query_id", "score")
-    rows = scores.join(sizes.select(F.col("vec").alias("id"), F.col("n").alias("_n")), "id", "left").fillna(0, ["_n"])
     rows = rows.withColumn("_higher", F.sum("_n").over(upto) - F.sum("_n").over(level))
     return rows.filter(F.col("_higher") < k).select("query_id", "id", "score")
 
@@ -147,9 +230,9 @@ def relevant_triples(touching: DataFrame, scores: DataFrame, k: int) -> DataFram
     return top_k(rows, max(2 * k, 20), ["query_id"], [F.desc("final"), F.col("ordinal"), F.col("src"), F.col("dst")])
 
 
-def session_triples(edges: DataFrame, selected: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+def session_triples(edges: DataFrame, selected: DataFrame, questions: DataFrame, items: DataFrame, dim: int, k: int) -> DataFrame:
     """The k most similar triples of the selected sessions, by each edge's own session."""
-    rows = edges.join(selected.select("query_id", "session_id"), "session_id").join(scores.withColumnRenamed("id", "vec"), ["query_id", "vec"])
+    rows = with_scores(edges.join(selected.select("query_id", "session_id"), "session_id"), questions, items, dim)
     return top_k(rows, k, ["query_id"], [F.desc("score"), F.col("ordinal"), F.col("src"), F.col("dst")])
 
 

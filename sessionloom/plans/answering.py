@@ -71,9 +71,7 @@ def answer(questions: DataFrame, memory: dict[str, DataFrame], dim: int = 64, co
     seed = ppr.seeds(phrases, anchors, sessions)
     ranks = cut(ppr.pagerank_local(net, seed, c.graph.damping, c.graph.max_iterations, c.graph.tolerance))
     semantic = scores.select("query_id", "id.src", "id.dst", "score")
-    ends = local.join(semantic, ["query_id", "src", "dst"]).withColumn("vec", F.xxhash64("src", "dst"))
-    best = ppr.rank_triples(ends.drop("score"), ranks, ends.select("query_id", F.col("vec").alias("id"), "score").distinct(), 15, c.graph.beta_ppr, c.graph.beta_semantic)
-    best = cut(best)
+    best = cut(ppr.rank_triples(local.join(semantic, ["query_id", "src", "dst"]), ranks, 15, c.graph.beta_ppr, c.graph.beta_semantic))
     facts = context.format_triples(best, ["query_id"], "rank")
     passages = context.chunks_for_triples(best, memory["chunks"], 5).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: F.concat(F.lit("Chunk "), x["place"].cast("string"), F.lit(": "), x["text"])), "\n").alias("passages"))
     tops = best.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "session_id"))), lambda x: x["session_id"]).alias("top_session_ids"))

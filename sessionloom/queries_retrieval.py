@@ -36,9 +36,14 @@ class Flow:
     def items(self):
         return self.t["embeddings"].select(F.col("vec_id").alias("id"), "embedding")
 
+    @property
+    def questions(self):
+        return self.items.filter("id % 100 = 0").withColumnRenamed("id", "query_id")
+
     @kept
     def cos(self):
-        return S.cosine_scores(self.items.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), self.items, DIM)
+        """All scores, for queries that return or rank them all; others make those they need."""
+        return S.cosine_scores(self.questions, self.items, DIM)
 
     @kept
     def top(self):
@@ -46,7 +51,7 @@ class Flow:
         sizes, need = cut(self.trade.most()), 8 * TOP
         total = sizes.agg(F.sum("n")).first()[0] or 0
         while True:
-            scores = cut(S.within(self.cos, sizes.filter("vec IS NOT NULL"), need))
+            scores = cut(S.nearest(self.questions, self.items, sizes.filter("vec IS NOT NULL"), need, DIM))
             last = self.trade.edges(self.trade.of_vecs(scores.select(F.col("id").alias("vec"))))
             best = cut(S.channel_b(last.join(scores, F.col("vec") == F.col("id")).drop("id"), need).drop("rank"))
             whole = self.trade.edges(self.trade.of_pairs(best)).select(*(F.col(c).alias(f"_{c}") for c in ("src", "dst", "ordinal", "session_id")))
@@ -61,19 +66,17 @@ class Flow:
     def sessions(self):
         return self.trade.sessions()
 
-    def _scored(self, scores):
-        return self.sessions.join(scores, F.col("vec") == F.col("id")).select("query_id", "session_id", "score")
-
     @property
     def a(self):
-        return self._scored(self.cos)
+        return self.sessions.join(self.cos, F.col("vec") == F.col("id")).select("query_id", "session_id", "score")
 
     @kept
     def some_a(self):
         """Of channel A what fusions and rankings use: its first ones and the sessions of the best triples."""
-        first = self._scored(S.contenders(self.cos, self.sessions, POOL))
-        own = self.sessions.join(self.top.select("query_id", "session_id").distinct(), "session_id").join(self.cos.withColumnRenamed("id", "vec"), ["query_id", "vec"])
-        return first.unionByName(own.select("query_id", "session_id", "score")).distinct()
+        near = cut(S.nearest(self.questions, self.items, cut(self.trade.session_sizes()), POOL, DIM))
+        first = self.trade.sessions_at(near.select(F.col("id").alias("vec"))).join(near, F.col("vec") == F.col("id"))
+        own = S.with_scores(self.trade.with_session_vec(self.top.select("query_id", "session_id").distinct()), self.questions, self.items, DIM)
+        return first.select("query_id", "session_id", "score").unionByName(own.select("query_id", "session_id", "score")).distinct()
 
     @property
     def b(self):
@@ -297,7 +300,7 @@ _FINAL = f"SELECT *, 0.8::double * CASE WHEN max(ppr) OVER w - min(ppr) OVER w <
 @query(_TRIPLES.format("round(final, 9)", _FINAL))
 def ppr_rank_triples(t):
     f = Flow(t)
-    return P.rank_triples(f.relations, f.ranks, f.cos, 15).select("query_id", "rank", "src", "relation", "dst")
+    return P.rank_triples(S.with_scores(f.relations, f.questions, f.items, DIM), f.ranks, 15).select("query_id", "rank", "src", "relation", "dst")
 
 
 @query(_TRIPLES.format("round(ppr, 9)", f"SELECT *, {_HARMONIC} AS ppr FROM bothends"))
@@ -361,7 +364,7 @@ def relevant_triples(t):
 @query("SELECT query_id, rank, src, relation, dst, round(score, 6) AS score FROM (SELECT s.*, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.ordinal, s.src, s.dst) AS rank FROM scored s JOIN fused f ON f.query_id = s.query_id AND f.session_id = s.session_id) WHERE rank <= 15")
 def session_triples(t):
     f = Flow(t)
-    return _round(S.session_triples(f.edges, f.fused, f.cos, 15).select("query_id", "rank", "src", "relation", "dst", "score"), "score")
+    return _round(S.session_triples(f.edges, f.fused, f.questions, f.items, DIM, 15).select("query_id", "rank", "src", "relation", "dst", "score"), "score")
 
 
 _TERMS = {0: ("User", "the assistant"), 1: (" system user", "nobody")}
