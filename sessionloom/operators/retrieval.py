@@ -116,26 +116,24 @@ def similar_within(nodes: DataFrame, items: DataFrame, threshold: float, dim: in
     Matrix products of a question's vectors find the pairs near or above the threshold; the score of these decides.
     """
 
-    def close(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, own = rows["vec"].to_numpy(), [np.asarray(x, float) for x in rows["embedding"]]
-        heads = np.full((len(own), dim), np.nan)
-        for k, x in enumerate(own):
-            heads[k, : len(x)] = x[:dim]
+    def close(rows: pa.Table) -> pa.Table:
+        v, size, none = _matrix(rows["_v"].combine_chunks(), rows["_norm"].combine_chunks(), dim)
+        some = ~none & (size != 0)
+        ids, v, size, found = rows["vec"].to_numpy()[some], v[some], size[some], []
         with np.errstate(all="ignore"):
-            heads /= np.array([np.sqrt((x * x).sum()) for x in own])[:, None]
-            a, b = [], []
+            heads = v / size[:, None]
             for lo in range(0, len(ids), block):
                 x, y = np.nonzero(~(heads[lo : lo + block] @ heads.T < threshold - 1e-6))  # what is no number is left to the score
-                a.append(ids[lo + x])
-                b.append(ids[y])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pd.DataFrame({"query_id": rows["query_id"].iloc[0], "a": a[a < b], "b": b[a < b]}).drop_duplicates()
-
-    near = nodes.select("query_id", "vec").distinct().join(items.select(F.col("id").alias("vec"), "embedding"), "vec").select("query_id", "vec", "embedding")
-    pairs = near.groupBy("query_id").applyInPandas(close, "query_id bigint, a bigint, b bigint")
-    for x in "ab":
-        pairs = pairs.join(items.select(F.col("id").alias(x), F.col("embedding").alias(f"_{x}"), norm("embedding").alias(f"_n{x}")), x)
-    return pairs.select("query_id", "a", "b", F.try_divide(dot("_a", "_b", dim), F.col("_na") * F.col("_nb")).alias("score")).filter(F.col("score") >= threshold)
+                x, y = (z[ids[lo + x] < ids[y]] for z in (lo + x, y))
+                score = _summed(v[x, j] * v[y, j] for j in range(dim)) / (size[x] * size[y])
+                near = ~(score < threshold)
+                found.append((ids[x[near]], ids[y[near]], score[near]))
+        a, b, score = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (ids, ids, size)
+        return pa.table({"query_id": pa.array([rows["query_id"][0].as_py()] * len(a), rows["query_id"].type), "a": a, "b": b, "score": score})
+
+    heads = _heads(items.filter("embedding IS NOT NULL").withColumnRenamed("id", "vec"), "vec", dim)
+    near = nodes.select("query_id", "vec").distinct().join(heads, "vec").select("query_id", "vec", "_v", "_norm")
+    return near.groupBy("query_id").applyInArrow(close, "query_id bigint, a bigint, b bigint, score double")
 
 
 def channel_b(scored: DataFrame, k: int) -> DataFrame:
